@@ -1,13 +1,25 @@
-"""Apply a string expression to every string inside a (possibly nested) column."""
+"""Apply a string expression to every string inside a (possibly nested) column.
+
+Expressions are SQL text here: a table with many text columns then costs one
+parsed expression per column instead of a tree of API calls.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Rewrite = Callable[[str], str]
+
+
+def name(identifier: str) -> str:
+    return "`" + identifier.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
 def holds_text(dtype: T.DataType, nested: bool = True) -> bool:
     """True if a value of this type can contain a string cell."""
@@ -24,34 +36,34 @@ def holds_text(dtype: T.DataType, nested: bool = True) -> bool:
     return False
 
 
-def map_text(c: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
-    """Rewrite every string in ``c``; other values and nulls pass through."""
-    if isinstance(dtype, T.StringType):
-        return fn(c)
-    if isinstance(dtype, T.ArrayType) and holds_text(dtype):
-        return F.transform(c, lambda x: map_text(x, dtype.elementType, fn))
-    if isinstance(dtype, T.MapType) and holds_text(dtype):
-        return F.transform_values(c, lambda _, v: map_text(v, dtype.valueType, fn))
-    if isinstance(dtype, T.StructType) and holds_text(dtype):
-        rebuilt = F.struct(*[map_text(c.getField(f.name), f.dataType, fn).alias(f.name) for f in dtype.fields])
-        return F.when(c.isNotNull(), rebuilt)
-    return c
-
-
-def sum_text(c: Column, dtype: T.DataType, fn: Callable[[Column], Column]) -> Column:
-    """Add up a BIGINT expression over every string in ``c`` (0 when there is none)."""
-    zero = F.lit(0).cast("bigint")
-    if isinstance(dtype, T.StringType):
-        return F.coalesce(fn(c), zero)
-    if isinstance(dtype, T.ArrayType) and holds_text(dtype):
-        total = F.aggregate(c, zero, lambda acc, x: acc + sum_text(x, dtype.elementType, fn))
-        return F.coalesce(total, zero)
-    if isinstance(dtype, T.MapType) and holds_text(dtype):
-        return sum_text(F.map_values(c), T.ArrayType(dtype.valueType), fn)
-    if isinstance(dtype, T.StructType) and holds_text(dtype):
-        parts = [sum_text(c.getField(f.name), f.dataType, fn) for f in dtype.fields if holds_text(f.dataType)]
-        total = parts[0]
-        for part in parts[1:]:
-            total = total + part
-        return total
-    return zero
+def map_text(value: str, dtype: T.DataType, fn: Rewrite, depth: int = 0) -> str:
+    """Rewrite every string in ``value``; map keys, other values and nulls pass through."""
+    if not holds_text(dtype):
+        return value
+    x = f"x{depth}"
+    if isinstance(dtype, T.ArrayType):
+        return f"transform({value}, {x} -> {map_text(x, dtype.elementType, fn, depth + 1)})"
+    if isinstance(dtype, T.MapType):
+        return f"transform_values({value}, (k{depth}, {x}) -> {map_text(x, dtype.valueType, fn, depth + 1)})"
+    if isinstance(dtype, T.StructType):
+        fields = ", ".join(
+            f"{literal(f.name)}, {map_text(f'{value}.{name(f.name)}', f.dataType, fn, depth)}" for f in dtype.fields
+        )
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({fields}) END"
+    return fn(value)
+
+
+def sum_text(value: str, dtype: T.DataType, fn: Rewrite, depth: int = 0) -> str:
+    """Add up a BIGINT expression over every string in ``value`` (0 when there is none)."""
+    if not holds_text(dtype):
+        return "0L"
+    x = f"x{depth}"
+    if isinstance(dtype, T.ArrayType):
+        inner = sum_text(x, dtype.elementType, fn, depth + 1)
+        return f"coalesce(aggregate({value}, 0L, (total{depth}, {x}) -> total{depth} + {inner}), 0L)"
+    if isinstance(dtype, T.MapType):
+        return sum_text(f"map_values({value})", T.ArrayType(dtype.valueType), fn, depth)
+    if isinstance(dtype, T.StructType):
+        parts = (sum_text(f"{value}.{name(f.name)}", f.dataType, fn, depth) for f in dtype.fields)
+        return "(" + " + ".join(p for p in parts if p != "0L") + ")"
+    return f"coalesce({fn(value)}, 0L)"

@@ -10,7 +10,8 @@ sees the text the earlier steps left behind.  Two things keep it fast:
   replace, count).  Each step is its own ``withColumns``, which Catalyst does
   not merge, so no text is computed twice; all columns of a table share it.
 
-Digits, letters and spaces are the Unicode ones.
+Digits, letters and spaces are the Unicode ones.  Expressions are SQL text over
+a named column or a lambda variable (see ``lacuna.functions.nested``).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.nested import map_text, sum_text
+from lacuna.functions.nested import literal, map_text, name, sum_text
 
 # What counts as a hit. \p{Nd} is a decimal digit; WORD is a word
 # character and SPACE a whitespace character in the Unicode sense.
@@ -43,8 +44,8 @@ IP = rf"(?<!{WORD})(?:\p{{Nd}}{{1,3}}\.){{3}}\p{{Nd}}{{1,3}}(?!{WORD})"
 class Pattern:
     name: str
     regex: str
-    gate: Callable[[Column], Column]
-    accept: Callable[[Column], Column] | None = None  # a second test on each match
+    gate: str  # SQL condition on {t}
+    accept: str | None = None  # SQL condition on {m}, a second test on each match
 
     @property
     def token(self) -> str:
@@ -58,50 +59,71 @@ def _decimal_digits() -> tuple[str, str]:
     return "".join(found), "".join(str(unicodedata.decimal(ch)) for ch in found)
 
 
-def luhn_valid(candidate: Column) -> Column:
+def luhn_valid(candidate: str) -> str:
     """Luhn test on the digits of a card candidate."""
-    digits = F.regexp_replace(candidate, r"[ -]", "")
-    ascii_digits = F.when(digits.rlike(r"[^0-9]"), F.translate(digits, *_decimal_digits())).otherwise(digits)
-    return F.call_function("luhn_check", ascii_digits)
+    digits = f"regexp_replace({candidate}, '[ -]', '')"
+    foreign, plain = _decimal_digits()
+    mapped = f"translate({digits}, '{foreign}', '{plain}')"
+    return f"luhn_check(CASE WHEN {digits} RLIKE '[^0-9]' THEN {mapped} ELSE {digits} END)"
 
 
 PATTERNS: Mapping[str, Pattern] = {
     p.name: p
     for p in (
-        Pattern("email", EMAIL, lambda t: t.contains("@")),
-        Pattern("ssn", SSN, lambda t: t.rlike(r"\p{Nd}-\p{Nd}{2}-\p{Nd}")),
-        Pattern("card", CARD, lambda t: t.rlike(r"(?:\p{Nd}[ -]?){13}"), luhn_valid),
-        Pattern("phone", PHONE, lambda t: t.rlike(rf"\p{{Nd}}\)?[{SPACE}.-]?\p{{Nd}}{{3}}[{SPACE}.-]?\p{{Nd}}{{4}}")),
-        Pattern("ip", IP, lambda t: t.rlike(r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}")),
+        Pattern("email", EMAIL, "contains({t}, '@')"),
+        Pattern("ssn", SSN, "{t} RLIKE " + literal(r"\p{Nd}-\p{Nd}{2}-\p{Nd}")),
+        Pattern("card", CARD, "{t} RLIKE " + literal(r"(?:\p{Nd}[ -]?){13}"), luhn_valid("{m}")),
+        Pattern("phone", PHONE, "{t} RLIKE " + literal(rf"\p{{Nd}}\)?[{SPACE}.-]?\p{{Nd}}{{3}}[{SPACE}.-]?\p{{Nd}}{{4}}")),
+        Pattern("ip", IP, "{t} RLIKE " + literal(r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}")),
     )
 }
 
 
-def replace_matches(text: Column, regex: str | Column, rewrite: Callable[[Column], Column]) -> Column:
-    """Replace each match of ``regex`` by ``rewrite(match)``, left to right."""
-    pattern = regex if isinstance(regex, Column) else F.lit(regex)
-    between = F.split(text, regex, -1)
-    swapped = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), rewrite)
-    joined = F.zip_with(between, swapped, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    return F.array_join(joined, "")
+def replace_matches(text: str, regex: str, rewrite: Callable[[str], str]) -> str:
+    """Replace each match of ``regex`` by ``rewrite(match)``, left to right.
 
+    A match-dependent replacement from built-ins: the gaps between the matches
+    and the rewritten matches are zipped back together.
+    """
+    swapped = f"transform(regexp_extract_all({text}, {regex}, 0), m -> {rewrite('m')})"
+    joined = f"zip_with(split({text}, {regex}, -1), {swapped}, (gap, new) -> concat(gap, coalesce(new, '')))"
+    return f"array_join({joined}, '')"
+
+
+def _fill(condition: str, **parts: str) -> str:
+    for key, value in parts.items():
+        condition = condition.replace("{" + key + "}", value)
+    return condition
 
-def scrub(text: Column, p: Pattern) -> Column:
-    """``text`` with the pattern's hits replaced by its token."""
+
+def scrub_sql(text: str, p: Pattern) -> str:
     if p.accept is None:
-        changed = F.regexp_replace(text, p.regex, p.token)
+        changed = f"regexp_replace({text}, {literal(p.regex)}, '{p.token}')"
     else:
-        changed = replace_matches(text, p.regex, lambda m: F.when(p.accept(m), F.lit(p.token)).otherwise(m))
-    return F.when(p.gate(text), changed).otherwise(text)
 
+        def rewrite(m: str) -> str:
+            return f"CASE WHEN {_fill(p.accept, m=m)} THEN '{p.token}' ELSE {m} END"
 
-def hits(text: Column, p: Pattern) -> Column:
-    """How many hits ``scrub`` replaces (BIGINT, NULL for a NULL text)."""
+        changed = replace_matches(text, literal(p.regex), rewrite)
+    return f"CASE WHEN {_fill(p.gate, t=text)} THEN {changed} ELSE {text} END"
+
+
+def hits_sql(text: str, p: Pattern) -> str:
     if p.accept is None:
-        found = F.regexp_count(text, F.lit(p.regex))
+        found = f"regexp_count({text}, {literal(p.regex)})"
     else:
-        found = F.size(F.filter(F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)), p.accept))
-    return F.when(p.gate(text), found).when(text.isNotNull(), 0).cast("bigint")
+        found = f"size(filter(regexp_extract_all({text}, {literal(p.regex)}, 0), m -> {_fill(p.accept, m='m')}))"
+    return f"CAST(CASE WHEN {_fill(p.gate, t=text)} THEN {found} WHEN {text} IS NOT NULL THEN 0 END AS BIGINT)"
+
+
+def scrub(column: str, p: Pattern) -> Column:
+    """The column with the pattern's hits replaced by its token."""
+    return F.expr(scrub_sql(name(column), p))
+
+
+def hits(column: str, p: Pattern) -> Column:
+    """How many hits ``scrub`` replaces (BIGINT, NULL for a NULL text)."""
+    return F.expr(hits_sql(name(column), p))
 
 
 def cascade(
@@ -109,28 +131,29 @@ def cascade(
     columns: Sequence[str],
     enabled: Sequence[str],
     counts: Callable[[str, str], str] | None = None,
-    unless: Mapping[str, Column] | None = None,
+    unless: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Run the enabled patterns over ``columns``, in place.
 
     ``counts(column, pattern)`` names a BIGINT column to add with the hits of
-    that cell.  ``unless[column]`` is a row condition under which the cell is
+    that cell.  ``unless[column]`` is an SQL condition under which the cell is
     left alone.  No shuffle, no Python.
     """
-    dtypes = {name: df.schema[name].dataType for name in columns}
+    dtypes = {c: df.schema[c].dataType for c in columns}
 
-    def for_cell(name: str, changed: Column, unchanged: Column) -> Column:
-        if unless and name in unless:
-            return F.when(F.coalesce(unless[name], F.lit(False)), unchanged).otherwise(changed)
-        return changed
+    def for_cell(column: str, changed: str, unchanged: str) -> Column:
+        if unless and column in unless:
+            return F.expr(f"CASE WHEN {unless[column]} THEN {unchanged} ELSE {changed} END")
+        return F.expr(changed)
 
     for pattern in (PATTERNS[n] for n in PATTERNS if n in enabled):
         step: dict[str, Column] = {}
-        for name, dtype in dtypes.items():
-            cell = F.col(f"`{name}`")
-            step[name] = for_cell(name, map_text(cell, dtype, lambda t, p=pattern: scrub(t, p)), cell)
+        for column, dtype in dtypes.items():
+            cell = name(column)
+            changed = map_text(cell, dtype, lambda t, p=pattern: scrub_sql(t, p))
+            step[column] = for_cell(column, changed, cell)
             if counts is not None:
-                found = sum_text(cell, dtype, lambda t, p=pattern: hits(t, p))
-                step[counts(name, pattern.name)] = for_cell(name, found, F.lit(0).cast("bigint"))
+                found = sum_text(cell, dtype, lambda t, p=pattern: hits_sql(t, p))
+                step[counts(column, pattern.name)] = for_cell(column, found, "0L")
         df = df.withColumns(step)
     return df

@@ -122,7 +122,7 @@ _MODIFIERS = r"^(CREATE) (?:OR REPLACE |TEMP |TEMPORARY |UNLOGGED |UNIQUE |RECUR
 def statement_kind(blanked: Column) -> Column:
     """Grammar name of a non-read statement; NULL if its first word starts none."""
     head = F.regexp_replace(blanked, _MODIFIERS, "$1 ")
-    kinds = F.create_map(*[F.lit(x) for pair in STATEMENT_KINDS.items() for x in pair])
+    kinds = F.expr("map(" + ", ".join(f"'{words}', '{kind}'" for words, kind in STATEMENT_KINDS.items()) + ")")
     pair = F.regexp_extract(head, r"^([A-Z]+ [A-Z]+)\b", 1)
     word = F.regexp_extract(head, r"^([A-Z]+)\b", 1)
     named = F.coalesce(F.try_element_at(kinds, pair), F.try_element_at(kinds, word))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.nested import literal
+
 # Schemas that hold the system's own tables.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
 
@@ -49,6 +51,12 @@ def catalog_tables(spark: SparkSession, schemas: list[str] | None = None) -> dic
     return dict(sorted(found.items()))
 
 
+def rows_from(entries: list[list[str]], columns: str) -> Column:
+    """A generator of one row per list of SQL values, e.g. for ``columns`` = "a, b"."""
+    values = ", ".join(v for entry in entries for v in entry)
+    return F.expr(f"stack({len(entries)}, {values}) AS ({columns})")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
@@ -65,9 +73,6 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).orderBy("table_name")
 
 
-_PROFILE = "struct<ordinal:bigint,column_name:string,family:string,nulls:bigint,distinct_values:bigint,max_length:bigint>"
-
-
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column in ordinal order: type family, nulls, distinct values, longest text.
 
@@ -77,27 +82,20 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     tables is most of the data.
     """
     frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    wide: list[Column] = [F.count(F.lit(1)).alias("n")]
-    distinct = F.count_distinct if exact else F.approx_count_distinct
-    for f in frame.schema.fields:
-        wide.append(F.count(f.name).alias(f"{f.name}_filled"))
-        wide.append(distinct(F.col(f.name)).alias(f"{f.name}_distinct"))
-        if isinstance(f.dataType, T.StringType):
-            wide.append(F.max(F.length(f.name)).alias(f"{f.name}_longest"))
+    wide = ["count(1) AS n"]
     rows = []
     for i, (name, f) in enumerate(zip(df.columns, frame.schema.fields)):
-        longest = F.col(f"{f.name}_longest") if isinstance(f.dataType, T.StringType) else F.lit(None)
-        rows.append(
-            F.struct(
-                F.lit(i + 1),
-                F.lit(name),
-                F.lit(type_family(f.dataType)),
-                F.col("n") - F.col(f"{f.name}_filled"),
-                F.col(f"{f.name}_distinct"),
-                longest,
-            ).cast(_PROFILE)
-        )
-    return frame.agg(*wide).select(F.inline(F.array(*rows)))
+        c = f.name
+        wide.append(f"count({c}) AS {c}_filled")
+        wide.append(f"{f'count(DISTINCT {c})' if exact else f'approx_count_distinct({c})'} AS {c}_distinct")
+        longest = "CAST(NULL AS BIGINT)"
+        if isinstance(f.dataType, T.StringType):
+            wide.append(f"CAST(max(length({c})) AS BIGINT) AS {c}_longest")
+            longest = f"{c}_longest"
+        family = literal(type_family(f.dataType))
+        rows.append([f"{i + 1}L", literal(name), family, f"n - {c}_filled", f"{c}_distinct", longest])
+    summary = frame.agg(*[F.expr(w) for w in wide])
+    return summary.select(rows_from(rows, "ordinal, column_name, family, nulls, distinct_values, max_length"))
 
 
 def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
@@ -110,10 +108,9 @@ def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> Data
 def column_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, ordinal, column_name, filled): every column with its number of non-null cells."""
     parts = []
-    for name, df in tables.items():
+    for table, df in tables.items():
         frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        counted = frame.agg(*[F.count(c).alias(c) for c in frame.columns])
-        rows = [F.struct(F.lit(i + 1), F.lit(c), F.col(f"c{i}")) for i, c in enumerate(df.columns)]
-        typed = F.array(*rows).cast("array<struct<ordinal:bigint,column_name:string,filled:bigint>>")
-        parts.append(counted.select(F.lit(name).alias("table_name"), F.inline(typed)))
+        counted = frame.agg(*[F.expr(f"count({c}) AS {c}") for c in frame.columns])
+        rows = [[literal(table), f"{i + 1}L", literal(c), f"c{i}"] for i, c in enumerate(df.columns)]
+        parts.append(counted.select(rows_from(rows, "table_name, ordinal, column_name, filled")))
     return _union(parts)

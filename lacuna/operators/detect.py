@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.column_rules import MASK_TOKEN
+from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, replace_matches
 from lacuna.sources.sizing import fits_broadcast
 
@@ -39,25 +40,16 @@ INLINE_TERMS = 500
 # ---------------------------------------------------------------- dictionary
 
 
-def _term_regex(term: Column) -> Column:
-    """The term as whole words, its own characters taken literally."""
-    return F.regexp_replace(term, r"([^\p{L}\p{N}\s_])", r"\\$1")
+def _label_in(labels: str) -> Callable[[str], str]:
+    return lambda m: f"concat('<', try_element_at({labels}, {m}), '>')"
 
 
-def _alternation(alternatives: Column) -> Column:
-    return F.concat(F.lit(f"(?<!{WORD})(?:"), F.array_join(alternatives, "|"), F.lit(f")(?!{WORD})"))
-
-
-def _longest_first(terms: Column) -> Column:
-    def order(a: Column, b: Column) -> Column:
-        longer = F.length(b["term"]) - F.length(a["term"])
-        return F.when(longer != 0, longer).when(a["term"] < b["term"], -1).when(a["term"] > b["term"], 1).otherwise(0)
-
-    return F.array_sort(terms, order)
-
-
-def _label_in(labels: Column) -> Callable[[Column], Column]:
-    return lambda m: F.concat(F.lit("<"), F.try_element_at(labels, m), F.lit(">"))
+def _replaced(column: str, regex: str, labels: str, found: str, hits: str) -> dict[str, Column]:
+    text = name(column)
+    return {
+        column: F.expr(f"CASE WHEN {found} THEN {replace_matches(text, regex, _label_in(labels))} ELSE {text} END"),
+        hits: F.expr(f"CAST(CASE WHEN {found} THEN regexp_count({text}, {regex}) ELSE 0 END AS BIGINT)"),
+    }
 
 
 def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
@@ -69,21 +61,14 @@ def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
     if len(terms) > INLINE_TERMS:
         raise ValueError(f"more than {INLINE_TERMS} terms: keep them in a table and use replace_terms")
     ordered = sorted(terms, key=lambda t: (-len(t), t))
+    body = "|".join("".join(c if c.isalnum() or c in "_ " else f"\\{c}" for c in t) for t in ordered)
+    regex = literal(f"(?<!{WORD})(?:{body})(?!{WORD})")
+    labels = "map(" + ", ".join(f"{literal(t)}, {literal(terms[t])}" for t in ordered) + ")"
 
     def transform(df: DataFrame, column: str, hits: str) -> DataFrame:
-        text = F.col(f"`{column}`")
         if not ordered:
-            return df.withColumn(hits, F.lit(0).cast("bigint"))
-        body = "|".join("".join(c if c.isalnum() or c in "_ " else f"\\{c}" for c in t) for t in ordered)
-        regex = f"(?<!{WORD})(?:{body})(?!{WORD})"
-        labels = F.create_map(*[F.lit(x) for t in ordered for x in (t, terms[t])])
-        found = text.rlike(regex)
-        return df.withColumns(
-            {
-                column: F.when(found, replace_matches(text, regex, _label_in(labels))).otherwise(text),
-                hits: F.when(found, F.regexp_count(text, F.lit(regex))).otherwise(0).cast("bigint"),
-            }
-        )
+            return df.withColumn(hits, F.expr("0L"))
+        return df.withColumns(_replaced(column, regex, labels, f"{name(column)} RLIKE {regex}", hits))
 
     return transform
 
@@ -101,37 +86,28 @@ def replace_terms(
     """
     listed = terms.groupBy("term").agg(F.max("label").alias("label"))
     side = F.broadcast(listed) if fits_broadcast(listed) else listed
-    text = F.col(f"`{column}`")
-    words = F.regexp_extract_all(text, F.lit(rf"{WORD}+"), F.lit(0))
-    runs = [
-        F.transform(
-            F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i, n=n: F.array_join(F.slice("_words", i, n), " "),
-        )
-        for n in range(2, max_words + 1)
-    ]
+    words = F.regexp_extract_all(name(column), F.lit(rf"{WORD}+"), F.lit(0))
+    runs = [F.col("_words")]
+    for n in range(2, max_words + 1):  # each run of n words is one of n - 1 words and the next word
+        following = F.slice("_words", n, F.size("_words"))
+        longer = F.zip_with(runs[-1], following, lambda run, word: F.concat(run, F.lit(" "), word))
+        runs.append(F.array_compact(longer))
     spoken = df.select(F.col(key).alias("_key"), words.alias("_words")).select(
-        "_key", F.explode(F.array_distinct(F.concat("_words", *runs))).alias("term")
-    )
-    matched = (
-        spoken.join(side, "term")
-        .groupBy("_key")
-        .agg(_longest_first(F.collect_list(F.struct("term", "label"))).alias("_terms"))
+        "_key", F.explode(F.array_distinct(F.concat(*runs))).alias("term")
     )
+    # Longest first; the terms of one text are at most its own words.
+    longest_first = """array_sort(collect_list(struct(-length(term) AS size, term, label)))"""
+    matched = spoken.join(side, "term").groupBy("_key").agg(F.expr(longest_first).alias("_terms"))
     joined = df.join(matched, df[key] == matched["_key"], "left")
-    regex = _alternation(F.transform("_terms", lambda t: _term_regex(t["term"])))
-    ready = joined.withColumns({"_regex": regex, "_labels": F.map_from_entries("_terms")})
-    found = F.col("_regex").isNotNull()
-    replaced = replace_matches(text, F.col("_regex"), _label_in(F.col("_labels")))
-    out = ready.withColumns(
+    body = "array_join(transform(_terms, t -> t.term), '|')"
+    ready = joined.withColumns(
         {
-            column: F.when(found, replaced).otherwise(text),
-            hits: F.when(found, F.regexp_count(text, F.col("_regex"))).otherwise(0).cast("bigint"),
+            "_regex": F.expr(f"concat({literal(f'(?<!{WORD})(?:')}, {body}, {literal(f')(?!{WORD})')})"),
+            "_labels": F.expr("map_from_entries(transform(_terms, t -> struct(t.term, t.label)))"),
         }
     )
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], hits)
+    out = ready.withColumns(_replaced(column, "_regex", "_labels", "_regex IS NOT NULL", hits))
+    return out.select(*[F.col(name(c)) for c in df.columns], hits)
 
 
 # ------------------------------------------------------------------ detector

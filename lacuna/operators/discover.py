@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.column_rules import hash_token
-from lacuna.functions.nested import holds_text
+from lacuna.functions.nested import holds_text, literal
 from lacuna.functions.patterns import PATTERNS, cascade
+from lacuna.operators.catalog import rows_from
 from lacuna.policy import PatternToggles, RedactPolicy
 
 # A column is suspicious if its lower-cased name contains one of these.
@@ -97,28 +98,22 @@ def content_profile(
         return df.sparkSession.createDataFrame([], _CONTENT)
     keys = [key for key, _ in cells]
     # The cascade rewrites the cells in place, so what was there is noted first.
-    present = {f"{k}_seen": F.col(k).isNotNull().cast("bigint") for k in keys}
-    counted = cascade(frame.select(*keys).withColumns(present), keys, enabled, counts=lambda c, p: f"{c}_{p}")
-    sums: list[Column] = []
-    rows: list[Column] = []
+    present = frame.selectExpr(*keys, *[f"CAST({k} IS NOT NULL AS BIGINT) AS {k}_seen" for k in keys])
+    counted = cascade(present, keys, enabled, counts=lambda c, p: f"{c}_{p}")
+    sums: list[str] = []
+    rows: list[list[str]] = []
     for key, name in cells:
-        sums.append(F.sum(f"{key}_seen").alias(f"{key}_seen"))
+        sums.append(f"coalesce(sum({key}_seen), 0L) AS {key}_seen")
         for p in enabled:
-            hits = F.col(f"{key}_{p}")
-            sums += [F.sum(hits).alias(f"{key}_{p}"), F.count_if(hits > 0).alias(f"{key}_{p}_rows")]
-            rows.append(F.struct(F.lit(name), F.lit(p), f"{key}_seen", f"{key}_{p}_rows", f"{key}_{p}"))
-    zero = F.lit(0).cast("bigint")
-    long = (
-        counted.agg(*sums)
-        .select(F.explode(F.array(*rows).cast(f"array<{_CELL}>")).alias("r"))
-        .select(F.lit(table).alias("table_name"), "r.*")
+            hits = f"{key}_{p}"
+            sums += [f"coalesce(sum({hits}), 0L) AS {hits}", f"count_if({hits} > 0) AS {hits}_rows"]
+            rows.append([literal(table), literal(name), literal(p), f"{key}_seen", f"{hits}_rows", hits])
+    long = counted.agg(*[F.expr(s) for s in sums]).select(
+        rows_from(rows, "table_name, column_name, pattern, scanned, rows_hit, hits")
     )
-    filled = {c: F.coalesce(F.col(c), zero) for c in ("scanned", "rows_hit", "hits")}
-    share = F.when(F.col("scanned") > 0, F.col("rows_hit") / F.col("scanned")).otherwise(F.lit(0.0))
-    return long.withColumns(filled).withColumn("share", share)
+    return long.withColumn("share", F.expr("CASE WHEN scanned > 0 THEN rows_hit / scanned ELSE 0D END"))
 
 
-_CELL = "struct<column_name:string,pattern:string,scanned:bigint,rows_hit:bigint,hits:bigint>"
 _CONTENT = (
     "table_name string, column_name string, pattern string, scanned bigint, rows_hit bigint, hits bigint, share double"
 )

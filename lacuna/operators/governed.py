@@ -164,17 +164,17 @@ def redact_by_source(
     joined = lookup_join(df.withColumn("_rule_source", F.col(source)), own, "_rule_source")
     joined = joined.withColumn("_shared", shared)
 
-    rule_of: dict[str, Column] = {}
+    rule_of: dict[str, str] = {}
     for i, name in enumerate(governed):
         key = F.lit(name.lower())
         joined = joined.withColumn(
             f"_rule{i}",
             F.coalesce(F.try_element_at("_rules", key), F.try_element_at("_shared", key)),
         )
-        rule_of[name] = F.col(f"_rule{i}")
-    changed = {n: _by_rule(F.col(f"`{n}`"), rule_of[n], policy) for n in governed}
+        rule_of[name] = f"_rule{i}"
+    changed = {n: _by_rule(F.col(f"`{n}`"), F.col(rule_of[n]), policy) for n in governed}
     out = joined.withColumns(changed)
-    hashed = {n: (rule_of[n]["strategy"] == "hash") for n in governed}
+    hashed = {n: f"{rule_of[n]}.strategy = 'hash'" for n in governed}
     out = cascade(out, governed, policy.patterns.enabled(), unless=None if policy.rescan_hashed else hashed)
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 

@@ -12,16 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.column_rules import apply_strategy
-from lacuna.functions.nested import holds_text
+from lacuna.functions.nested import holds_text, literal
+from lacuna.functions.nested import name as name_of
 from lacuna.functions.patterns import PATTERNS, cascade
+from lacuna.operators.catalog import rows_from
 from lacuna.policy import ColumnRule, PatternToggles, RedactPolicy
 
 RULES, FREE_TEXT = "column_rules", "free_text"
@@ -40,8 +40,7 @@ def text_hits(
     enabled = (patterns or PatternToggles()).enabled()
     label = name or (lambda pattern: f"{pattern}_hits")
     done = cascade(df, [column], enabled, counts=lambda _, p: label(p))
-    zero = F.lit(0).cast("bigint")
-    return done.withColumn("hits", reduce(add, (F.col(label(p)) for p in enabled), zero))
+    return done.withColumn("hits", F.expr(" + ".join(["0L", *[name_of(label(p)) for p in enabled]])))
 
 
 def apply_rules(df: DataFrame, policy: RedactPolicy) -> DataFrame:
@@ -57,7 +56,7 @@ def redact(df: DataFrame, policy: RedactPolicy) -> DataFrame:
 def redact_with_hits(df: DataFrame, policy: RedactPolicy, hits: str = "redactions") -> DataFrame:
     """``redact`` plus the number of redactions in each row."""
     plan = _Plan.of(df, policy, counting=True)
-    return plan.result(extra=[reduce(add, (plan.kind(k) for k in KINDS)).alias(hits)])
+    return plan.result(extra=[F.expr(plan.every_kind()).alias(hits)])
 
 
 def redaction_counts(df: DataFrame, policy: RedactPolicy) -> DataFrame:
@@ -84,12 +83,11 @@ def column_rule_counts(df: DataFrame, rules: tuple[ColumnRule, ...] | list[Colum
     frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     hit = [(i, name, policy.rule_for(name)) for i, name in enumerate(df.columns)]
     hit = [(i, name, rule) for i, name, rule in hit if rule is not None]
-    entry = "struct<column:string,strategy:string,cells:bigint>"
     if not hit:
         return df.sparkSession.createDataFrame([], "column string, strategy string, cells bigint")
     totals = frame.agg(*[F.count(f"c{i}").alias(f"c{i}") for i, _, _ in hit])
-    rows = [F.struct(F.lit(n), F.lit(r.strategy), F.col(f"c{i}")).cast(entry) for i, n, r in hit]
-    return totals.select(F.inline(F.array(*rows)))
+    rows = [[literal(n), literal(r.strategy), f"c{i}"] for i, n, r in hit]
+    return totals.select(rows_from(rows, "column, strategy, cells"))
 
 
 @dataclass(frozen=True)
@@ -139,19 +137,16 @@ class _Plan:
                     counted[FREE_TEXT].append(f"{key}_free")
         return cls(frame, names, {k: tuple(v) for k, v in counted.items()})
 
-    def kind(self, name: str) -> Column:
-        zero = F.lit(0).cast("bigint")
-        return reduce(add, (F.col(c) for c in self.counted[name]), zero)
+    def kind(self, name: str) -> str:
+        return " + ".join(["0L", *self.counted[name]])
+
+    def every_kind(self) -> str:
+        return " + ".join(self.kind(k) for k in KINDS)
 
     def metrics(self) -> list[Column]:
-        zero = F.lit(0).cast("bigint")
-        per_kind = {k: F.coalesce(F.sum(self.kind(k)), zero) for k in KINDS}
-        total = F.coalesce(F.sum(reduce(add, (self.kind(k) for k in KINDS))), zero)
-        return [
-            *[c.alias(k) for k, c in per_kind.items()],
-            total.alias("redactions"),
-            F.count(F.lit(1)).alias("rows"),
-        ]
+        sums = [F.expr(f"coalesce(sum({self.kind(k)}), 0L) AS {k}") for k in KINDS]
+        total = F.expr(f"coalesce(sum({self.every_kind()}), 0L) AS redactions")
+        return [*sums, total, F.count(F.lit(1)).alias("rows")]
 
     def result(self, frame: DataFrame | None = None, extra: list[Column] | None = None) -> DataFrame:
         cells = [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names)]

@@ -1,72 +1,57 @@
-"""Tables derived from the driver's tables, built by the same arithmetic in Spark and in SQL.
+"""Tables derived from the driver's tables: one select list for Spark and for the SQL oracle.
 
-``k`` is the base table's key.  Each function returns the Spark form; the
-``*_SQL`` constant of the same name is the select for the other engine.
+``k`` is the base table's key.  Both engines evaluate the same text, so they
+see equal data at every scale.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ------------------------------------------------------------------ contacts
 
-# Each text uses {k}-style parts that both engines fill by concatenation.
-CONTACTS_SQL = """
-SELECT k AS contact_id, c_name AS full_name,
-  CASE WHEN k % 11 <> 0 THEN 'user' || k || '@mail' || (k % 9) || '.example.com' END AS email,
-  '+1 (' || (200 + k % 700) || ') 555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') AS phone,
-  (100 + k % 800) || '-' || (10 + k % 90) || '-' || (1000 + k % 9000) AS ssn,
-  CASE k % 3 WHEN 0 THEN '4111111111111111' WHEN 1 THEN '4111-1111-1111-1111' ELSE '1234567890123456' END AS card,
-  '10.' || (k % 256) || '.' || (k % 200) || '.' || (k % 100) AS ip,
-  CASE k % 5
-    WHEN 0 THEN 'write to user' || k || '@mail' || (k % 9) || '.example.com today'
-    WHEN 1 THEN 'call (' || (200 + k % 700) || ') 555-' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || ' after 9'
-    WHEN 2 THEN 'ssn ' || (100 + k % 800) || '-' || (10 + k % 90) || '-' || (1000 + k % 9000) || ' on file'
-    WHEN 3 THEN 'paid with 4111-1111-1111-1111 twice'
-    ELSE 'seen at 10.' || (k % 256) || '.' || (k % 200) || '.' || (k % 100) || ' by mary jones' END AS note,
-  c_nationkey AS nationkey,
-  CASE WHEN k % 2 = 0 THEN 'staging' ELSE 'prod' END AS source
-FROM (SELECT *, c_custkey AS k FROM customer) base
-"""
+def _select(columns: dict[str, str], base: str, key: str) -> str:
+    listed = ", ".join(f"{text} AS {name}" for name, text in columns.items())
+    return f"SELECT {listed} FROM (SELECT *, {key} AS k FROM {base}) base"
+
+
+def _apply(df: DataFrame, columns: dict[str, str], key: str) -> DataFrame:
+    return df.withColumn("k", F.col(key)).selectExpr(*[f"{text} AS {name}" for name, text in columns.items()])
+
 
+# ------------------------------------------------------------------ contacts
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
+_EMAIL = "'user' || k || '@mail' || (k % 9) || '.example.com'"
+_PHONE = "'(' || (200 + k % 700) || ') 555-' || lpad(CAST(k % 10000 AS STRING), 4, '0')"
+_SSN = "(100 + k % 800) || '-' || (10 + k % 90) || '-' || (1000 + k % 9000)"
+_IP = "'10.' || (k % 256) || '.' || (k % 200) || '.' || (k % 100)"
+_CONTACTS = {
+    "contact_id": "k",
+    "full_name": "c_name",
+    "email": f"CASE WHEN k % 11 <> 0 THEN {_EMAIL} END",
+    "phone": f"'+1 ' || {_PHONE}",
+    "ssn": _SSN,
+    "card": "CASE k % 3 WHEN 0 THEN '4111111111111111' WHEN 1 THEN '4111-1111-1111-1111' ELSE '1234567890123456' END",
+    "ip": _IP,
+    "note": f"""CASE k % 5 WHEN 0 THEN 'write to ' || {_EMAIL} || ' today'
+        WHEN 1 THEN 'call ' || {_PHONE} || ' after 9'
+        WHEN 2 THEN 'ssn ' || {_SSN} || ' on file'
+        WHEN 3 THEN 'paid with 4111-1111-1111-1111 twice'
+        ELSE 'seen at ' || {_IP} || ' by mary jones' END""",
+    "nationkey": "c_nationkey",
+    "source": "CASE WHEN k % 2 = 0 THEN 'staging' ELSE 'prod' END",
+}
+CONTACTS_SQL = _select(_CONTACTS, "customer", "c_custkey")
 
 
 def contacts(customer: DataFrame) -> DataFrame:
-    k = F.col("c_custkey")
-    area, four = _s(200 + k % 700), F.lpad(_s(k % 10000), 4, "0")
-    email = F.concat(F.lit("user"), _s(k), F.lit("@mail"), _s(k % 9), F.lit(".example.com"))
-    phone = F.concat(F.lit("("), area, F.lit(") 555-"), four)
-    ssn = F.concat_ws("-", _s(100 + k % 800), _s(10 + k % 90), _s(1000 + k % 9000))
-    ip = F.concat_ws(".", F.lit("10"), _s(k % 256), _s(k % 200), _s(k % 100))
-    note = (
-        F.when(k % 5 == 0, F.concat(F.lit("write to "), email, F.lit(" today")))
-        .when(k % 5 == 1, F.concat(F.lit("call "), phone, F.lit(" after 9")))
-        .when(k % 5 == 2, F.concat(F.lit("ssn "), ssn, F.lit(" on file")))
-        .when(k % 5 == 3, F.lit("paid with 4111-1111-1111-1111 twice"))
-        .otherwise(F.concat(F.lit("seen at "), ip, F.lit(" by mary jones")))
-    )
-    card = F.when(k % 3 == 0, "4111111111111111").when(k % 3 == 1, "4111-1111-1111-1111").otherwise("1234567890123456")
-    return customer.select(
-        k.alias("contact_id"),
-        F.col("c_name").alias("full_name"),
-        F.when(k % 11 != 0, email).alias("email"),
-        F.concat(F.lit("+1 "), phone).alias("phone"),
-        ssn.alias("ssn"),
-        card.alias("card"),
-        ip.alias("ip"),
-        note.alias("note"),
-        F.col("c_nationkey").alias("nationkey"),
-        F.when(k % 2 == 0, "staging").otherwise("prod").alias("source"),
-    )
+    """People with every kind of personal data, one per customer."""
+    return _apply(customer, _CONTACTS, "c_custkey")
 
 
 # ----------------------------------------------------------------- query_log
 
-# One text per remainder of k; '@' stands for the key.
+# One text per remainder of k; '@' stands for the key, '@@' for an at sign.
 QUERY_TEXTS = (
     "SELECT id, name FROM users WHERE id = @",
     "SELECT u.id, count(*) FROM users u JOIN orders o ON o.user_id = u.id WHERE u.id > @ GROUP BY u.id",
@@ -95,65 +80,46 @@ QUERY_TEXTS = (
 )
 
 
-def _fill_sql(text: str) -> str:
+def _fill(text: str) -> str:
     parts = [p.replace("\0", "@").replace("'", "''") for p in text.replace("@@", "@\0").split("@")]
     return " || k || ".join(f"'{p}'" for p in parts)
 
 
-def _fill(text: str, k: Column) -> Column:
-    parts = [p.replace("\0", "@") for p in text.replace("@@", "@\0").split("@")]
-    cells: list[Column] = [F.lit(parts[0])]
-    for p in parts[1:]:
-        cells += [_s(k), F.lit(p)]
-    return F.concat(*cells)
-
-
-QUERY_LOG_SQL = f"""
-SELECT k AS query_id, ts, CASE WHEN k % 3 = 0 THEN 'prod' ELSE 'staging' END AS database,
-  CASE k % {len(QUERY_TEXTS)} {" ".join(f"WHEN {i} THEN {_fill_sql(t)}" for i, t in enumerate(QUERY_TEXTS))} END AS sql
-FROM (SELECT *, event_id AS k FROM events) base
-"""
+_TEXTS = " ".join(f"WHEN {i} THEN {_fill(t)}" for i, t in enumerate(QUERY_TEXTS))
+_QUERY_LOG = {
+    "query_id": "k",
+    "ts": "ts",
+    "database": "CASE WHEN k % 3 = 0 THEN 'prod' ELSE 'staging' END",
+    "sql": f"CASE k % {len(QUERY_TEXTS)} {_TEXTS} END",
+}
+QUERY_LOG_SQL = _select(_QUERY_LOG, "events", "event_id")
 
 
 def query_log(events: DataFrame) -> DataFrame:
-    k = F.col("event_id")
-    text = F.coalesce(*[F.when(k % len(QUERY_TEXTS) == i, _fill(t, k)) for i, t in enumerate(QUERY_TEXTS)])
-    return events.select(
-        k.alias("query_id"), "ts", F.when(k % 3 == 0, "prod").otherwise("staging").alias("database"), text.alias("sql")
-    )
+    """An agent's query log, one text per event."""
+    return _apply(events, _QUERY_LOG, "event_id")
 
 
 # ------------------------------------------------------------------ outcomes
 
-OUTCOMES_SQL = f"""
-SELECT query_id, ts, database,
-  '  ' || sql || CASE WHEN k % 50 = 7 THEN repeat(' -- padding', 300) ELSE '' END || '  ' AS sql,
-  CASE WHEN k % 5 = 0 THEN 'write or DDL operation detected: DELETE'
-       WHEN k % 7 = 0 THEN 'empty query'
-       WHEN k % 19 = 0 THEN 'only a single statement is allowed per call' END AS reason,
-  CASE WHEN k % 13 = 0 THEN '' WHEN k % 11 = 0 THEN 'no row for user' || k || '@mail.example.com' END AS error,
-  k % 1200 AS rows, k % 17 AS redactions, k % 1200 >= 1000 AS truncated, (k % 5000) / 16.0 + 0.01 AS duration_ms
-FROM (SELECT *, query_id AS k FROM ({QUERY_LOG_SQL}) q) o
-"""
+_OUTCOMES = {
+    "query_id": "query_id",
+    "ts": "ts",
+    "database": "database",
+    "sql": "'  ' || sql || CASE WHEN k % 50 = 7 THEN repeat(' -- padding', 300) ELSE '' END || '  '",
+    "reason": """CASE WHEN k % 5 = 0 THEN 'write or DDL operation detected: DELETE'
+        WHEN k % 7 = 0 THEN 'empty query'
+        WHEN k % 19 = 0 THEN 'only a single statement is allowed per call' END""",
+    "error": """CASE WHEN k % 13 = 0 THEN ''
+        WHEN k % 11 = 0 THEN 'no row for user' || k || '@mail.example.com' END""",
+    "rows": "k % 1200",
+    "redactions": "k % 17",
+    "truncated": "k % 1200 >= 1000",
+    "duration_ms": "(k % 5000) / 16e0 + 0.01e0",
+}
+OUTCOMES_SQL = _select(_OUTCOMES, f"({QUERY_LOG_SQL}) q", "query_id")
 
 
 def outcomes(events: DataFrame) -> DataFrame:
-    k = F.col("query_id")
-    padding = F.when(k % 50 == 7, F.lit(" -- padding" * 300)).otherwise("")
-    return query_log(events).select(
-        "query_id",
-        "ts",
-        "database",
-        F.concat(F.lit("  "), "sql", padding, F.lit("  ")).alias("sql"),
-        F.when(k % 5 == 0, "write or DDL operation detected: DELETE")
-        .when(k % 7 == 0, "empty query")
-        .when(k % 19 == 0, "only a single statement is allowed per call")
-        .alias("reason"),
-        F.when(k % 13 == 0, "")
-        .when(k % 11 == 0, F.concat(F.lit("no row for user"), _s(k), F.lit("@mail.example.com")))
-        .alias("error"),
-        (k % 1200).alias("rows"),
-        (k % 17).alias("redactions"),
-        (k % 1200 >= 1000).alias("truncated"),
-        ((k % 5000) / 16.0 + 0.01).alias("duration_ms"),
-    )
+    """What became of each query of the log."""
+    return _apply(query_log(events), _OUTCOMES, "query_id")

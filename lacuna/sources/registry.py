@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Sources:
-    """Tables by name.  Reading is lazy; nothing is listed or sampled here."""
+    """Tables by name.  A folder is opened when its table is first used."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
@@ -19,20 +19,20 @@ class Sources:
     def from_parquet(cls, spark: SparkSession, folder: str, names: Iterable[str]) -> Sources:
         sources = cls(spark)
         for name in names:
-            path = f"{folder}/{name}.parquet"
-            sources.register(name, spark.read.parquet(path))
-            sources._paths[name] = path
+            sources._paths[name] = f"{folder}/{name}.parquet"
         return sources
 
     def register(self, name: str, df: DataFrame) -> None:
         self._frames[name] = df
 
     def names(self) -> list[str]:
-        return sorted(self._frames)
+        return sorted({*self._frames, *self._paths})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            raise KeyError(f"unknown source {name!r}; registered: {', '.join(self.names())}")
+            if name not in self._paths:
+                raise KeyError(f"unknown source {name!r}; registered: {', '.join(self.names())}")
+            self._frames[name] = self.spark.read.parquet(self._paths[name])
         return self._frames[name]
 
     def frames(self, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
