@@ -21,6 +21,11 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let(value: str, variable: str, body: str) -> str:
+    """``body`` with ``variable`` bound to ``value``, which is evaluated once however often it is used."""
+    return f"transform(array({value}), {variable} -> {body})[0]"
+
+
 def holds_text(dtype: T.DataType, nested: bool = True) -> bool:
     """True if a value of this type can contain a string cell."""
     if isinstance(dtype, T.StringType):

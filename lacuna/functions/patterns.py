@@ -1,14 +1,16 @@
 r"""The text-pattern cascade: email, SSN, card, phone, IP.
 
 Every step is one native replace plus, when asked, one native count.  A step
-sees the text the earlier steps left behind.  Two things keep it fast:
+sees the text the earlier steps left behind.  What keeps it fast:
 
-* **Gates.**  Before the full pattern a cell must pass a cheap *necessary*
-  condition (``contains('@')``, or a regex that starts with a digit and has no
-  look-around, so that it fails in one comparison at almost every position).
-* **One projection per step.**  A step reads its input several times (gate,
-  replace, count).  Each step is its own ``withColumns``, which Catalyst does
-  not merge, so no text is computed twice; all columns of a table share it.
+* **Patterns that fail early.**  Each number pattern starts with a digit test
+  and looks at its surroundings only afterwards, so nearly every position of a
+  text costs one comparison.  Email has no such start and is gated by
+  ``contains('@')``.
+* **Each step reads its input once.**  Catalyst pushes a filter on a redacted
+  column below the projections and copies their expressions into it; a step
+  that read its input twice would double the work at every level.  Steps that
+  must read it more often bind it with ``let``.
 
 Digits, letters and spaces are the Unicode ones.  Expressions are SQL text over
 a named column or a lambda variable (see ``lacuna.functions.nested``).
@@ -24,28 +26,31 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.nested import literal, map_text, name, sum_text
+from lacuna.functions.nested import let, literal, map_text, name, sum_text
 
-# What counts as a hit. \p{Nd} is a decimal digit; WORD is a word
-# character and SPACE a whitespace character in the Unicode sense.
+# What counts as a hit. D is a decimal digit, WORD a word
+# character and SPACE the whitespace characters, all in the Unicode sense.
+D = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+FIRST_DIGIT = rf"{D}(?<!{WORD}{D})"
+EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-SSN = rf"(?<!{WORD})\p{{Nd}}{{3}}-\p{{Nd}}{{2}}-\p{{Nd}}{{4}}(?!{WORD})"
-CARD = rf"(?<!{WORD})(?:\p{{Nd}}[ -]?){{13,19}}(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+SSN = rf"{FIRST_DIGIT}{D}{{2}}-{D}{{2}}-{D}{{4}}(?!{WORD})"
+CARD = rf"{FIRST_DIGIT}[ -]?(?:{D}[ -]?){{12,18}}{EDGE}"
 PHONE = (
-    rf"(?<!\p{{Nd}})(?:\+?\p{{Nd}}{{1,2}}[{SPACE}.-]?)?\(?\p{{Nd}}{{3}}\)?"
-    rf"[{SPACE}.-]?\p{{Nd}}{{3}}[{SPACE}.-]?\p{{Nd}}{{4}}(?!\p{{Nd}})"
+    rf"(?=[+({D}])(?<!{D})(?:\+?{D}{{1,2}}[{SPACE}.-]?)?"
+    rf"\(?{D}{{3}}\)?[{SPACE}.-]?{D}{{3}}[{SPACE}.-]?{D}{{4}}(?!{D})"
 )
-IP = rf"(?<!{WORD})(?:\p{{Nd}}{{1,3}}\.){{3}}\p{{Nd}}{{1,3}}(?!{WORD})"
+IP = rf"{FIRST_DIGIT}{D}{{0,2}}(?:\.{D}{{1,3}}){{3}}(?!{WORD})"
 
 
 @dataclass(frozen=True)
 class Pattern:
     name: str
     regex: str
-    gate: str  # SQL condition on {t}
-    accept: str | None = None  # SQL condition on {m}, a second test on each match
+    needs: str | None = None  # text without this has no hit
+    accept: Callable[[str], str] | None = None  # SQL condition on a match, a second test
 
     @property
     def token(self) -> str:
@@ -70,11 +75,11 @@ def luhn_valid(candidate: str) -> str:
 PATTERNS: Mapping[str, Pattern] = {
     p.name: p
     for p in (
-        Pattern("email", EMAIL, "contains({t}, '@')"),
-        Pattern("ssn", SSN, "{t} RLIKE " + literal(r"\p{Nd}-\p{Nd}{2}-\p{Nd}")),
-        Pattern("card", CARD, "{t} RLIKE " + literal(r"(?:\p{Nd}[ -]?){13}"), luhn_valid("{m}")),
-        Pattern("phone", PHONE, "{t} RLIKE " + literal(rf"\p{{Nd}}\)?[{SPACE}.-]?\p{{Nd}}{{3}}[{SPACE}.-]?\p{{Nd}}{{4}}")),
-        Pattern("ip", IP, "{t} RLIKE " + literal(r"\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}")),
+        Pattern("email", EMAIL, needs="@"),
+        Pattern("ssn", SSN),
+        Pattern("card", CARD, accept=luhn_valid),
+        Pattern("phone", PHONE),
+        Pattern("ip", IP),
     )
 }
 
@@ -90,30 +95,28 @@ def replace_matches(text: str, regex: str, rewrite: Callable[[str], str]) -> str
     return f"array_join({joined}, '')"
 
 
-def _fill(condition: str, **parts: str) -> str:
-    for key, value in parts.items():
-        condition = condition.replace("{" + key + "}", value)
-    return condition
-
-
 def scrub_sql(text: str, p: Pattern) -> str:
-    if p.accept is None:
-        changed = f"regexp_replace({text}, {literal(p.regex)}, '{p.token}')"
-    else:
+    regex, accept = literal(p.regex), p.accept
+    if accept is not None:
 
         def rewrite(m: str) -> str:
-            return f"CASE WHEN {_fill(p.accept, m=m)} THEN '{p.token}' ELSE {m} END"
+            return f"CASE WHEN {accept(m)} THEN '{p.token}' ELSE {m} END"
 
-        changed = replace_matches(text, literal(p.regex), rewrite)
-    return f"CASE WHEN {_fill(p.gate, t=text)} THEN {changed} ELSE {text} END"
+        swapped = replace_matches("t", regex, rewrite)
+        return let(text, "t", f"CASE WHEN t RLIKE {regex} THEN {swapped} ELSE t END")
+    changed = f"regexp_replace({text}, {regex}, '{p.token}')"
+    return f"CASE WHEN contains({text}, '{p.needs}') THEN {changed} ELSE {text} END" if p.needs else changed
 
 
 def hits_sql(text: str, p: Pattern) -> str:
-    if p.accept is None:
-        found = f"regexp_count({text}, {literal(p.regex)})"
+    regex, accept = literal(p.regex), p.accept
+    if accept is not None:
+        found = f"array_size(filter(regexp_extract_all({text}, {regex}, 0), m -> {accept('m')}))"
     else:
-        found = f"size(filter(regexp_extract_all({text}, {literal(p.regex)}, 0), m -> {_fill(p.accept, m='m')}))"
-    return f"CAST(CASE WHEN {_fill(p.gate, t=text)} THEN {found} WHEN {text} IS NOT NULL THEN 0 END AS BIGINT)"
+        found = f"regexp_count({text}, {regex})"
+    if p.needs:
+        found = f"CASE WHEN contains({text}, '{p.needs}') THEN {found} WHEN {text} IS NOT NULL THEN 0 END"
+    return f"CAST({found} AS BIGINT)"
 
 
 def scrub(column: str, p: Pattern) -> Column:

@@ -44,13 +44,12 @@ def audit_rows(outcomes: DataFrame, scrub: bool = True, patterns: PatternToggles
     the SQL and error texts before the SQL is cut, so a cut never leaves half
     a hit behind.
     """
-    df = outcomes
+    kept = [c for c in outcomes.columns if c not in AUDIT_COLUMNS]
+    df = outcomes.withColumn("status", status(F.col("reason"), F.col("error")))
     if scrub:
         df = cascade(df, ["sql", "error"], (patterns or PatternToggles()).enabled())
-    kept = [c for c in df.columns if c not in AUDIT_COLUMNS]
     return df.withColumns(
         {
-            "status": status(F.col("reason"), F.col("error")),
             "sql": F.substring(F.btrim(F.col("sql"), F.lit(BLANKS)), 1, SQL_CHARS),
             "duration_ms": F.bround("duration_ms", 1),
         }

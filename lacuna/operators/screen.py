@@ -6,14 +6,14 @@ text makes up a third of the rows costs no more than any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import sqltext
 from lacuna.policy import ReadPolicy
 
-_TEXT, _BLANKED = "_screen_text", "_screen_blanked"
-
 RULE_COLUMNS = (
     "is_empty",
     "parse_error",
@@ -25,16 +25,17 @@ RULE_COLUMNS = (
 )
 
 
-def rule_columns(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
-    """Add the outcome of every rule, whether or not an earlier rule already decided."""
-    policy = policy or ReadPolicy()
-    text, b = F.col(_TEXT), F.col(_BLANKED)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value that is used often, so that a pushed-down filter copies it once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _rules(text: Column, b: Column, policy: ReadPolicy) -> Column:
+    """Outcome of every rule as one struct, from the trimmed and the blanked text."""
     kind = sqltext.statement_kind(b)
     read = b.rlike(sqltext.READS)
-    parse_error = (
-        F.when(sqltext.doubtful(text, b), F.lit("unbalanced or ambiguous text"))
-        .when((b != "") & ~read & kind.isNull(), F.concat(F.lit("unexpected "), sqltext.first_word(b)))
-        .otherwise(F.lit(None))
+    parse_error = F.when(sqltext.doubtful(text, b), F.lit("unbalanced or ambiguous text")).when(
+        (b != "") & ~read & kind.isNull(), F.concat(F.lit("unexpected "), sqltext.first_word(b))
     )
     extra = F.array_compact(
         F.array(
@@ -43,64 +44,71 @@ def rule_columns(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = No
         )
     )
     tables = F.array().cast("array<string>")
-    if not policy.allow_star:
+    if not policy.allow_star and policy.pii_tables:
         tables = F.when(sqltext.has_star(b), sqltext.relations_among(b, policy.pii_tables)).otherwise(tables)
-    staged = df.withColumn(_TEXT, sqltext.tidy(F.col(sql))).withColumn(_BLANKED, sqltext.blank(F.col(_TEXT)))
-    return staged.withColumns(
-        {
-            "is_empty": text == "",
-            "parse_error": parse_error,
-            "is_multi": (text != "") & ((b == "") | b.contains(";")),
-            "bad_top": F.when((b != "") & ~read, kind),
-            "explain_analyze": b.rlike(sqltext.RUNS_QUERY),
-            "violations": F.array_sort(F.concat(sqltext.writes(b), extra)),
-            "star_pii": tables,
-        }
-    ).drop(_TEXT, _BLANKED)
-
-
-def _verdict() -> tuple[Column, Column]:
+    return F.struct(
+        (text == "").alias("is_empty"),
+        parse_error.alias("parse_error"),
+        ((text != "") & ((b == "") | b.contains(";"))).alias("is_multi"),
+        F.when((b != "") & ~read, kind).alias("bad_top"),
+        b.rlike(sqltext.RUNS_QUERY).alias("explain_analyze"),
+        F.array_sort(F.concat(sqltext.writes(b), extra)).alias("violations"),
+        tables.alias("star_pii"),
+    )
+
+
+def _outcome(sql: str, policy: ReadPolicy | None) -> Column:
+    tidy = sqltext.tidy(F.col(sql))
+    return _let(tidy, lambda t: _let(sqltext.blank(t), lambda b: _rules(t, b, policy or ReadPolicy())))
+
+
+def rule_columns(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
+    """Add the outcome of every rule, whether or not an earlier rule already decided."""
+    screened = df.withColumn("_screen", _outcome(sql, policy))
+    return screened.withColumns({c: F.col(f"_screen.{c}") for c in RULE_COLUMNS}).drop("_screen")
+
+
+def _verdict(r: Column) -> Column:
     """(rule, reason) of the first rule that blocks; both NULL when none does."""
-    c = F.col
     ladder: list[tuple[str, Column, Column]] = [
-        ("empty", c("is_empty"), F.lit("empty query")),
+        ("empty", r["is_empty"], F.lit("empty query")),
         (
             "parse",
-            c("parse_error").isNotNull(),
-            F.concat(F.lit("could not parse SQL ("), c("parse_error"), F.lit(")")),
+            r["parse_error"].isNotNull(),
+            F.concat(F.lit("could not parse SQL ("), r["parse_error"], F.lit(")")),
         ),
-        ("multi", c("is_multi"), F.lit("only a single statement is allowed per call")),
+        ("multi", r["is_multi"], F.lit("only a single statement is allowed per call")),
         (
             "top",
-            c("bad_top").isNotNull(),
-            F.concat(F.lit("only SELECT / SHOW / EXPLAIN are allowed (got "), c("bad_top"), F.lit(")")),
+            r["bad_top"].isNotNull(),
+            F.concat(F.lit("only SELECT / SHOW / EXPLAIN are allowed (got "), r["bad_top"], F.lit(")")),
         ),
-        ("analyze", c("explain_analyze"), F.lit("EXPLAIN ANALYZE executes the query and is not allowed")),
+        ("analyze", r["explain_analyze"], F.lit("EXPLAIN ANALYZE executes the query and is not allowed")),
         (
             "write",
-            F.size("violations") > 0,
-            F.concat(F.lit("write or DDL operation detected: "), F.array_join("violations", ", ")),
+            F.size(r["violations"]) > 0,
+            F.concat(F.lit("write or DDL operation detected: "), F.array_join(r["violations"], ", ")),
         ),
         (
             "star",
-            F.size("star_pii") > 0,
+            F.size(r["star_pii"]) > 0,
             F.concat(
                 F.lit("SELECT * is not allowed on PII table(s): "),
-                F.array_join("star_pii", ", "),
+                F.array_join(r["star_pii"], ", "),
                 F.lit(". List the columns you need explicitly."),
             ),
         ),
     ]
-    rule = F.coalesce(*[F.when(hit, F.lit(name)) for name, hit, _ in ladder])
-    reason = F.coalesce(*[F.when(hit, text) for _, hit, text in ladder])
-    return rule, reason
+    return F.coalesce(
+        *[F.when(hit, F.struct(F.lit(name).alias("rule"), text.alias("reason"))) for name, hit, text in ladder]
+    )
 
 
 def screen_queries(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
-    """Add ``allowed``, ``rule`` (the first that blocked) and ``reason`` to each query text."""
-    rule, reason = _verdict()
-    judged = rule_columns(df, sql, policy).withColumns({"rule": rule, "reason": reason})
-    return judged.withColumn("allowed", F.col("rule").isNull()).drop(*RULE_COLUMNS)
+    """Add ``rule`` (the first that blocked), ``reason`` and ``allowed`` to each query text."""
+    judged = df.withColumn("_verdict", _let(_outcome(sql, policy), _verdict))
+    rule, reason = F.col("_verdict.rule"), F.col("_verdict.reason")
+    return judged.withColumns({"rule": rule, "reason": reason, "allowed": rule.isNull()}).drop("_verdict")
 
 
 def screen_summary(screened: DataFrame, *by: str) -> DataFrame:
