@@ -32,14 +32,18 @@ from lacuna.functions.nested import let, literal, map_text, name, sum_text
 # character and SPACE the whitespace characters, all in the Unicode sense.
 D = r"\p{Nd}"
 WORD = r"[\p{L}\p{N}_]"
+# A look-behind steps over whole code points only if its text shows a character
+# beyond the first plane; these two are members of their classes anyway.
+WORD_BEHIND = WORD.replace("_", "_" + chr(0x10400))
+D_BEHIND = f"[{D}{chr(0x1D7CE)}]"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-FIRST_DIGIT = rf"{D}(?<!{WORD}{D})"
-EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+FIRST_DIGIT = rf"{D}(?<!{WORD_BEHIND}{D})"
+EDGE = rf"(?:(?<={WORD_BEHIND})(?!{WORD})|(?<!{WORD_BEHIND})(?={WORD}))"
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SSN = rf"{FIRST_DIGIT}{D}{{2}}-{D}{{2}}-{D}{{4}}(?!{WORD})"
 CARD = rf"{FIRST_DIGIT}[ -]?(?:{D}[ -]?){{12,18}}{EDGE}"
 PHONE = (
-    rf"(?=[+({D}])(?<!{D})(?:\+?{D}{{1,2}}[{SPACE}.-]?)?"
+    rf"(?=[+({D}])(?<!{D_BEHIND})(?:\+?{D}{{1,2}}[{SPACE}.-]?)?"
     rf"\(?{D}{{3}}\)?[{SPACE}.-]?{D}{{3}}[{SPACE}.-]?{D}{{4}}(?!{D})"
 )
 IP = rf"{FIRST_DIGIT}{D}{{0,2}}(?:\.{D}{{1,3}}){{3}}(?!{WORD})"

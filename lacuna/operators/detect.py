@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.column_rules import MASK_TOKEN
 from lacuna.functions.nested import literal, name
-from lacuna.functions.patterns import WORD, replace_matches
+from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
 from lacuna.sources.sizing import fits_broadcast
 
 Transform = Callable[[DataFrame, str, str], DataFrame]
@@ -62,7 +62,7 @@ def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
         raise ValueError(f"more than {INLINE_TERMS} terms: keep them in a table and use replace_terms")
     ordered = sorted(terms, key=lambda t: (-len(t), t))
     body = "|".join("".join(c if c.isalnum() or c in "_ " else f"\\{c}" for c in t) for t in ordered)
-    regex = literal(f"(?<!{WORD})(?:{body})(?!{WORD})")
+    regex = literal(f"(?<!{WORD_BEHIND})(?:{body})(?!{WORD})")
     labels = "map(" + ", ".join(f"{literal(t)}, {literal(terms[t])}" for t in ordered) + ")"
 
     def transform(df: DataFrame, column: str, hits: str) -> DataFrame:
@@ -102,7 +102,7 @@ def replace_terms(
     body = "array_join(transform(_terms, t -> t.term), '|')"
     ready = joined.withColumns(
         {
-            "_regex": F.expr(f"concat({literal(f'(?<!{WORD})(?:')}, {body}, {literal(f')(?!{WORD})')})"),
+            "_regex": F.expr(f"concat({literal(f'(?<!{WORD_BEHIND})(?:')}, {body}, {literal(f')(?!{WORD})')})"),
             "_labels": F.expr("map_from_entries(transform(_terms, t -> struct(t.term, t.label)))"),
         }
     )
