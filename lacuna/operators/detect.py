@@ -12,11 +12,13 @@ fits ``RedactPolicy.free_text``.
 from __future__ import annotations
 
 import importlib.util
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
 from lacuna.sources.sizing import fits_broadcast
 
+# Python workers receive this module's code with the job; they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Transform = Callable[[DataFrame, str, str], DataFrame]
 _RESULT = "text string, hits bigint"
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lacuna.functions import column_rules, wire
 from lacuna.functions.patterns import PATTERNS, hits, luhn_valid, scrub
 from lacuna.operators import audit as audits
 from lacuna.operators import catalog, detect, discover, governed, screen
+from lacuna.operators.detect import Span
 from lacuna.operators.redact import (
     apply_rules,
     column_rule_counts,
@@ -29,6 +32,9 @@ from lacuna.sources.sizing import shared_folder, spread_small
 from lacuna.streaming.audit_stream import windowed_rollup, write_rollup
 from lacuna.streaming.redact_stream import write_redacted
 
+# The stand-in models below travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -373,13 +379,13 @@ def dictionary_table(t: Sources) -> DataFrame:
     return detect.replace_terms(docs, "doc_id", "text", benchmark_terms(t["benchmark"]))
 
 
-def name_detector() -> Callable[[Sequence[str]], list[list[detect.Span]]]:
+def name_detector() -> Callable[[Sequence[str]], list[list[Span]]]:
     """A deterministic stand-in for a model: one name, one place, one weak guess."""
     looked_for = (("mary jones", "PERSON", 0.9), ("twice", "LOCATION", 0.5), ("call", "PERSON", 0.4))
 
-    def find(texts: Sequence[str]) -> list[list[detect.Span]]:
+    def find(texts: Sequence[str]) -> list[list[Span]]:
         return [
-            [detect.Span(i, i + len(w), label, score) for w, label, score in looked_for if (i := text.find(w)) >= 0]
+            [Span(i, i + len(w), label, score) for w, label, score in looked_for if (i := text.find(w)) >= 0]
             for text in texts
         ]
 

@@ -19,7 +19,7 @@ BROADCAST_MAX_CHARS = 64 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate (no job); None where it is not exposed."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
 
