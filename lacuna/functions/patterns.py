@@ -1,16 +1,18 @@
 r"""The text-pattern cascade: email, SSN, card, phone, IP.
 
-Every step is one native replace plus, when asked, one native count.  A step
-sees the text the earlier steps left behind.  What keeps it fast:
+A step sees the text the earlier steps left behind.  The whole cascade of a
+cell is one native expression: no shuffle, no Python.  What keeps it fast:
 
 * **Patterns that fail early.**  Each number pattern starts with a digit test
   and looks at its surroundings only afterwards, so nearly every position of a
   text costs one comparison.  Email has no such start and is gated by
   ``contains('@')``.
-* **Each step reads its input once.**  Catalyst pushes a filter on a redacted
-  column below the projections and copies their expressions into it; a step
-  that read its input twice would double the work at every level.  Steps that
-  must read it more often bind it with ``let``.
+* **One gate for all number patterns.**  A text none of them can match is
+  scanned once, not once per pattern.
+* **Hits are counted only in cells that a step changed.**
+* **Every value is bound once** (``let``).  Catalyst pushes a filter on a
+  redacted column below the projection and copies the expression into it; an
+  expression that repeated its input would double at every step.
 
 Digits, letters and spaces are the Unicode ones.  Expressions are SQL text over
 a named column or a lambda variable (see ``lacuna.functions.nested``).
@@ -54,6 +56,7 @@ class Pattern:
     name: str
     regex: str
     needs: str | None = None  # text without this has no hit
+    core: str | None = None  # what must follow some digit of every hit
     accept: Callable[[str], str] | None = None  # SQL condition on a match, a second test
 
     @property
@@ -80,10 +83,10 @@ PATTERNS: Mapping[str, Pattern] = {
     p.name: p
     for p in (
         Pattern("email", EMAIL, needs="@"),
-        Pattern("ssn", SSN),
-        Pattern("card", CARD, accept=luhn_valid),
-        Pattern("phone", PHONE),
-        Pattern("ip", IP),
+        Pattern("ssn", SSN, core=rf"-{D}{{2}}-{D}{{4}}"),
+        Pattern("card", CARD, core=rf"(?:[ -]?{D}){{12}}", accept=luhn_valid),
+        Pattern("phone", PHONE, core=rf"\)?[{SPACE}.-]?{D}{{3}}[{SPACE}.-]?{D}{{4}}"),
+        Pattern("ip", IP, core=rf"(?:\.{D}{{1,3}}){{2}}\.{D}"),
     )
 }
 
@@ -123,6 +126,55 @@ def hits_sql(text: str, p: Pattern) -> str:
     return f"CAST({found} AS BIGINT)"
 
 
+def step_sql(text: str, p: Pattern) -> str:
+    """struct(text, hits) of one step."""
+    found = f"named_struct('text', done, 'hits', CASE WHEN done <=> raw THEN 0L ELSE {hits_sql('raw', p)} END)"
+    return let(text, "raw", let(scrub_sql("raw", p), "done", found))
+
+
+def _split(steps: Sequence[Pattern]) -> tuple[list[Pattern], list[Pattern], str]:
+    """Steps before the number patterns, the number patterns, and their common gate."""
+    numbers = [p for p in steps if p.core is not None]
+    gate = literal(rf"{D}(?:{'|'.join(p.core for p in numbers if p.core)})")
+    return [p for p in steps if p.core is None], numbers, gate
+
+
+def scrub_all_sql(text: str, steps: Sequence[Pattern]) -> str:
+    """The cascade as one expression."""
+    head, numbers, gate = _split(steps)
+    for p in head:
+        text = scrub_sql(text, p)
+    if not numbers:
+        return text
+    chain = "x"
+    for p in numbers:
+        chain = scrub_sql(chain, p)
+    return let(text, "x", f"CASE WHEN x RLIKE {gate} THEN {chain} ELSE x END")
+
+
+def found_all_sql(text: str, steps: Sequence[Pattern]) -> str:
+    """The cascade as one struct: the text and the hits of each pattern by name."""
+    head, numbers, gate = _split(steps)
+
+    def result(final: str, counted: Sequence[Pattern]) -> str:
+        hits = {p.name: f"s_{p.name}.hits" if p in counted else "0L" for p in steps}
+        return f"named_struct('text', {final}, {', '.join(f'{literal(n)}, {h}' for n, h in hits.items())})"
+
+    def run(todo: list[Pattern], start: str, body: Callable[[str], str]) -> str:
+        if not todo:
+            return body(start)
+        variable = f"s_{todo[0].name}"
+        return let(step_sql(start, todo[0]), variable, run(todo[1:], f"{variable}.text", body))
+
+    def gated(start: str) -> str:
+        if not numbers:
+            return result(start, head)
+        hit = run(numbers, "x", lambda final: result(final, steps))
+        return let(start, "x", f"CASE WHEN x RLIKE {gate} THEN {hit} ELSE {result('x', head)} END")
+
+    return run(head, text, gated)
+
+
 def scrub(column: str, p: Pattern) -> Column:
     """The column with the pattern's hits replaced by its token."""
     return F.expr(scrub_sql(name(column), p))
@@ -146,21 +198,27 @@ def cascade(
     that cell.  ``unless[column]`` is an SQL condition under which the cell is
     left alone.  No shuffle, no Python.
     """
+    steps = [PATTERNS[n] for n in PATTERNS if n in enabled]
+    if not steps or not columns:
+        return df
     dtypes = {c: df.schema[c].dataType for c in columns}
 
-    def for_cell(column: str, changed: str, unchanged: str) -> Column:
-        if unless and column in unless:
-            return F.expr(f"CASE WHEN {unless[column]} THEN {unchanged} ELSE {changed} END")
-        return F.expr(changed)
-
-    for pattern in (PATTERNS[n] for n in PATTERNS if n in enabled):
-        step: dict[str, Column] = {}
-        for column, dtype in dtypes.items():
-            cell = name(column)
-            changed = map_text(cell, dtype, lambda t, p=pattern: scrub_sql(t, p))
-            step[column] = for_cell(column, changed, cell)
-            if counts is not None:
-                found = sum_text(cell, dtype, lambda t, p=pattern: hits_sql(t, p))
-                step[counts(column, pattern.name)] = for_cell(column, found, "0L")
-        df = df.withColumns(step)
-    return df
+    def each(column: str, fn: Callable[[str], str], kept: Callable[[str], str]) -> Column:
+        cell, dtype = name(column), dtypes[column]
+        changed = map_text(cell, dtype, fn)
+        skip = unless.get(column) if unless else None
+        return F.expr(f"CASE WHEN {skip} THEN {map_text(cell, dtype, kept)} ELSE {changed} END" if skip else changed)
+
+    if counts is None:
+        return df.withColumns({c: each(c, lambda t: scrub_all_sql(t, steps), lambda t: t) for c in columns})
+    # First every string becomes its struct of text and hits, then those are taken apart.
+    none = ", ".join(f"{literal(p.name)}, 0L" for p in steps)
+    found = df.withColumns(
+        {c: each(c, lambda t: found_all_sql(t, steps), lambda t: f"named_struct('text', {t}, {none})") for c in columns}
+    )
+    taken: dict[str, Column] = {}
+    for c in columns:
+        taken[c] = F.expr(map_text(name(c), dtypes[c], lambda t: f"{t}.text"))
+        for p in steps:
+            taken[counts(c, p.name)] = F.expr(sum_text(name(c), dtypes[c], lambda t, p=p: f"{t}.{p.name}"))
+    return found.withColumns(taken)

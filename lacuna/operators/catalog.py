@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.nested import literal
+from lacuna.sources.sizing import is_small
 
 # Schemas that hold the system's own tables.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
@@ -73,29 +74,43 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).orderBy("table_name")
 
 
+_PROFILE = "ordinal, column_name, family, nulls, distinct_values, max_length"
+
+
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column in ordinal order: type family, nulls, distinct values, longest text.
 
-    A single pass.  Distinct values are HyperLogLog estimates, merged per task,
-    so only one row per task moves.  ``exact=True`` counts them exactly; Spark
-    then removes duplicates per task and shuffles what is left, which for wide
-    tables is most of the data.
+    By default one pass in which distinct values are HyperLogLog estimates,
+    merged per task, so that only one row per task moves.
+
+    ``exact=True`` counts them exactly, each column by itself: a columnar file
+    is still read once in total, each value is deduplicated per task before it
+    is shuffled, and no shuffle carries more than one column.  Small inputs
+    take one pass with all columns, which needs fewer tasks.
     """
     frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    wide = ["count(1) AS n"]
-    rows = []
+    distinct = "count(DISTINCT {c})" if exact else "approx_count_distinct({c})"
+    sums: list[list[str]] = []
+    rows: list[list[str]] = []
     for i, (name, f) in enumerate(zip(df.columns, frame.schema.fields)):
         c = f.name
-        wide.append(f"count({c}) AS {c}_filled")
-        wide.append(f"{f'count(DISTINCT {c})' if exact else f'approx_count_distinct({c})'} AS {c}_distinct")
-        longest = "CAST(NULL AS BIGINT)"
-        if isinstance(f.dataType, T.StringType):
-            wide.append(f"CAST(max(length({c})) AS BIGINT) AS {c}_longest")
-            longest = f"{c}_longest"
+        longest = f"CAST(max(length({c})) AS BIGINT)" if isinstance(f.dataType, T.StringType) else "CAST(NULL AS BIGINT)"
+        sums.append(
+            [
+                f"count(1) - count({c}) AS {c}_nulls",
+                f"{distinct.format(c=c)} AS {c}_distinct",
+                f"{longest} AS {c}_longest",
+            ]
+        )
         family = literal(type_family(f.dataType))
-        rows.append([f"{i + 1}L", literal(name), family, f"n - {c}_filled", f"{c}_distinct", longest])
-    summary = frame.agg(*[F.expr(w) for w in wide])
-    return summary.select(rows_from(rows, "ordinal, column_name, family, nulls, distinct_values, max_length"))
+        rows.append([f"{i + 1}L", literal(name), family, f"{c}_nulls", f"{c}_distinct", f"{c}_longest"])
+    if exact and not is_small(df):
+        parts = [
+            frame.select(f.name).agg(*[F.expr(s) for s in own]).select(rows_from([row], _PROFILE))
+            for f, own, row in zip(frame.schema.fields, sums, rows)
+        ]
+        return _union(parts)
+    return frame.agg(*[F.expr(s) for own in sums for s in own]).select(rows_from(rows, _PROFILE))
 
 
 def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:

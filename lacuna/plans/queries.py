@@ -80,7 +80,11 @@ def query(fn: Callable[[Sources], DataFrame]) -> Query:
 
 
 def _contacts(t: Sources) -> DataFrame:
-    return derived.contacts(t["customer"])
+    return derived.contacts(spread_small(t["customer"]))
+
+
+def _events(t: Sources) -> DataFrame:
+    return spread_small(t["events"].select("event_id", "ts"))
 
 
 def _documents(t: Sources, *columns: str) -> DataFrame:
@@ -135,11 +139,11 @@ def outcome_payload(t: Sources) -> DataFrame:
 
 @query
 def outcome_status_payloads(t: Sources) -> DataFrame:
-    return audits.outcome_payload(derived.outcomes(t["events"])).select("query_id", "payload")
+    return audits.outcome_payload(derived.outcomes(_events(t))).select("query_id", "payload")
 
 
 def _audit(t: Sources) -> DataFrame:
-    return audits.audit_rows(derived.outcomes(t["events"]))
+    return audits.audit_rows(derived.outcomes(_events(t)))
 
 
 _AUDIT_NTZ = (
@@ -162,7 +166,7 @@ def audit_roundtrip(t: Sources) -> DataFrame:
 def _audit_lines(t: Sources) -> DataFrame:
     k = F.col("query_id")
     line = wire.wire_json(_audit(t).where(k % 17 != 0), "value")
-    bad = derived.outcomes(t["events"]).where(k % 17 == 0)
+    bad = derived.outcomes(_events(t)).where(k % 17 == 0)
     broken = F.when(k % 2 == 0, "   ").otherwise(F.concat(F.lit('{"query_id": '), k.cast("string"), F.lit(', "ts": ')))
     return line.unionAll(bad.select(broken.alias("value")))
 
@@ -375,8 +379,7 @@ def benchmark_terms(benchmark: DataFrame) -> DataFrame:
 
 @query
 def dictionary_table(t: Sources) -> DataFrame:
-    docs = t["documents"].select("doc_id", "text")
-    return detect.replace_terms(docs, "doc_id", "text", benchmark_terms(t["benchmark"]))
+    return detect.replace_terms(_documents(t), "doc_id", "text", benchmark_terms(t["benchmark"]))
 
 
 def name_detector() -> Callable[[Sequence[str]], list[list[Span]]]:
@@ -422,7 +425,7 @@ def backstop_fail_closed(t: Sources) -> DataFrame:
 
 
 def _rules(t: Sources) -> DataFrame:
-    return screen.rule_columns(derived.query_log(t["events"]), policy=SCREEN_POLICY)
+    return screen.rule_columns(derived.query_log(_events(t)), policy=SCREEN_POLICY)
 
 
 @query
@@ -472,7 +475,7 @@ def screen_star_pii(t: Sources) -> DataFrame:
 
 
 def _screened(t: Sources) -> DataFrame:
-    return screen.screen_queries(derived.query_log(t["events"]), policy=SCREEN_POLICY)
+    return screen.screen_queries(derived.query_log(_events(t)), policy=SCREEN_POLICY)
 
 
 @query
@@ -542,7 +545,7 @@ def pii_policy_suggestions(t: Sources) -> DataFrame:
 
 @query
 def audit_status(t: Sources) -> DataFrame:
-    o = derived.outcomes(t["events"])
+    o = derived.outcomes(_events(t))
     return o.select("query_id", audits.status(F.col("reason"), F.col("error")).alias("status"))
 
 

@@ -24,6 +24,12 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def is_small(df: DataFrame) -> bool:
+    """True if the input is proven to hold less than a few megabytes per core."""
+    size = estimated_bytes(df)
+    return size is not None and size <= df.sparkSession.sparkContext.defaultParallelism * SMALL_BYTES_PER_CORE
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give every core work when the input is a few small files.
 
@@ -32,13 +38,9 @@ def spread_small(df: DataFrame) -> DataFrame:
     redistributed; anything larger already has more splits than cores and is
     never shuffled.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if size is None or size > cores * SMALL_BYTES_PER_CORE:
+    if df.isStreaming or not is_small(df):
         return df
-    return df.repartition(cores)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def fits_broadcast(df: DataFrame) -> bool:

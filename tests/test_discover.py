@@ -65,11 +65,15 @@ def test_join_integrity_reports_collisions(spark):
     assert short.tokens <= 16 and short.collisions > 0 and short.extra_pairs > 0 and short.lost_pairs == 0
 
 
-def test_inventory_and_profile(spark):
+def test_inventory_and_profile(spark, monkeypatch):
     frames = tables(spark)
     rows = [tuple(r) for r in catalog.table_inventory({**frames, "pg_catalog.x": frames["users"]}).collect()]
     assert rows == [("stock", 2, 1), ("users", 3, 2)]
-    exact = {r.column_name: r for r in catalog.column_profile(frames["users"], exact=True).collect()}
+    one_pass = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
+    monkeypatch.setattr(catalog, "is_small", lambda df: False)
+    exact = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
+    assert exact == one_pass
+    exact = {r.column_name: r for r in exact}
     assert (exact["Email"].nulls, exact["Email"].distinct_values, exact["Email"].max_length) == (1, 1, 7)
     assert exact["uid"].max_length is None and exact["uid"].family == "integer"
     estimated = {r.column_name: r.distinct_values for r in catalog.column_profile(frames["users"]).collect()}
