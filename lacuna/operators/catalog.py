@@ -74,6 +74,8 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).orderBy("table_name")
 
 
+# Exact profiles of inputs below this size take one pass.
+ONE_PASS_BYTES_PER_CORE = 128 * 1024
 _PROFILE = "ordinal, column_name, family, nulls, distinct_values, max_length"
 
 
@@ -104,7 +106,7 @@ def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
         )
         family = literal(type_family(f.dataType))
         rows.append([f"{i + 1}L", literal(name), family, f"{c}_nulls", f"{c}_distinct", f"{c}_longest"])
-    if exact and not is_small(df):
+    if exact and not is_small(df, ONE_PASS_BYTES_PER_CORE):
         parts = [
             frame.select(f.name).agg(*[F.expr(s) for s in own]).select(rows_from([row], _PROFILE))
             for f, own, row in zip(frame.schema.fields, sums, rows)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.column_rules import MASK_TOKEN
 from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
-from lacuna.sources.sizing import fits_broadcast
+from lacuna.sources.sizing import lookup_join
 
 # Python workers receive this module's code with the job; they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -79,18 +79,19 @@ def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
 
 
 def replace_terms(
-    df: DataFrame, key: str, column: str, terms: DataFrame, hits: str = "hits", max_words: int = 3
+    df: DataFrame, key: str, column: str, terms: DataFrame, hits: str = "hits", max_words: int | None = None
 ) -> DataFrame:
     """``dictionary_backstop`` for a term *table* (term, label) of any size.
 
     ``key`` is unique per row.  Each text's distinct runs of 1..``max_words``
-    words are matched with the table; the matches of a text then form its own
-    alternation.  The table is broadcast if counted small, else both sides are
-    shuffled by term, where Spark's skew join splits a frequent word.  A term
-    must be made of words (letters, digits, ``_``) separated by single spaces.
+    words (by default as many as the longest term has) are matched with the
+    table; the matches of a text then form its own alternation.  The table is broadcast if counted small, else a frequent word
+    is spread over many tasks (``lookup_join``).  A term must be made of words
+    (letters, digits, ``_``) separated by single spaces.
     """
     listed = terms.groupBy("term").agg(F.max("label").alias("label"))
-    side = F.broadcast(listed) if fits_broadcast(listed) else listed
+    if max_words is None:
+        max_words = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
     words = F.regexp_extract_all(name(column), F.lit(rf"{WORD}+"), F.lit(0))
     runs = [F.col("_words")]
     for n in range(2, max_words + 1):  # each run of n words is one of n - 1 words and the next word
@@ -101,8 +102,8 @@ def replace_terms(
         "_key", F.explode(F.array_distinct(F.concat(*runs))).alias("term")
     )
     # Longest first; the terms of one text are at most its own words.
-    longest_first = """array_sort(collect_list(struct(-length(term) AS size, term, label)))"""
-    matched = spoken.join(side, "term").groupBy("_key").agg(F.expr(longest_first).alias("_terms"))
+    longest_first = "array_sort(collect_list(struct(-length(term) AS size, term, label)))"
+    matched = lookup_join(spoken, listed, "term", "inner").groupBy("_key").agg(F.expr(longest_first).alias("_terms"))
     joined = df.join(matched, df[key] == matched["_key"], "left")
     body = "array_join(transform(_terms, t -> t.term), '|')"
     ready = joined.withColumns(

@@ -172,27 +172,29 @@ def hash_join_integrity(left: DataFrame, right: DataFrame, key: str, salt: str =
             F.count(F.lit(1)).alias(n)
         )
 
-    zero = F.lit(0).cast("bigint")
+    # Pairs of a hot key can exceed 64 bits.
     both = per_key(left, "l").join(per_key(right, "r"), "raw", "full_outer").select(
         hash_token(F.col("raw"), salt, digits).alias("token"),
-        F.coalesce("l", zero).alias("l"),
-        F.coalesce("r", zero).alias("r"),
+        F.expr("CAST(coalesce(l, 0L) AS DECIMAL(18,0)) AS l"),
+        F.expr("CAST(coalesce(r, 0L) AS DECIMAL(18,0)) AS r"),
     )
     tokens = both.groupBy("token").agg(
-        F.sum(F.col("l") * F.col("r")).alias("raw_pairs"),
-        (F.sum("l") * F.sum("r")).alias("token_pairs"),
+        F.expr(f"CAST(sum(l * r) AS {_PAIRS}) AS raw_pairs"),
+        F.expr(f"CAST(CAST(sum(l) AS DECIMAL(18,0)) * CAST(sum(r) AS DECIMAL(18,0)) AS {_PAIRS}) AS token_pairs"),
         F.count(F.lit(1)).alias("raw_keys"),
     )
-
-    def total(c: Column) -> Column:
-        return F.coalesce(F.sum(c), zero)
-
+    sums = {
+        "raw_pairs": "raw_pairs",
+        "token_pairs": "token_pairs",
+        "lost_pairs": "greatest(raw_pairs - token_pairs, 0)",
+        "extra_pairs": "greatest(token_pairs - raw_pairs, 0)",
+    }
     return tokens.agg(
-        total(F.col("raw_keys")).alias("raw_keys"),
+        F.expr("coalesce(sum(raw_keys), 0L) AS raw_keys"),
         F.count(F.lit(1)).alias("tokens"),
-        total((F.col("raw_keys") > 1).cast("bigint")).alias("collisions"),
-        total(F.col("raw_pairs")).alias("raw_pairs"),
-        total(F.col("token_pairs")).alias("token_pairs"),
-        total(F.greatest(F.col("raw_pairs") - F.col("token_pairs"), zero)).alias("lost_pairs"),
-        total(F.greatest(F.col("token_pairs") - F.col("raw_pairs"), zero)).alias("extra_pairs"),
+        F.count_if(F.col("raw_keys") > 1).alias("collisions"),
+        *[F.expr(f"CAST(coalesce(sum({e}), 0) AS {_PAIRS}) AS {n}") for n, e in sums.items()],
     )
+
+
+_PAIRS = "DECIMAL(38,0)"

@@ -650,7 +650,8 @@ def leak_check(t: Sources) -> DataFrame:
 def hash_join_integrity(t: Sources) -> DataFrame:
     o = t["orders"].select(F.col("o_custkey").alias("key"))
     c = t["customer"].select(F.col("c_custkey").alias("key"))
-    return discover.hash_join_integrity(o, c, "key", SALT)
+    report = discover.hash_join_integrity(o, c, "key", SALT)
+    return report.select(*[F.col(n).cast("bigint").alias(n) for n in report.columns])
 
 
 # -------------------------------------------- composition with Spark's own SQL
@@ -658,7 +659,7 @@ def hash_join_integrity(t: Sources) -> DataFrame:
 
 @query
 def join_then_redact(t: Sources) -> DataFrame:
-    o = t["orders"].select("o_orderkey", "o_custkey", "o_totalprice")
+    o = spread_small(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"))
     joined = o.join(_contacts(t).select("contact_id", "email", "note"), F.col("o_custkey") == F.col("contact_id"))
     return redact(joined.select("o_orderkey", "o_totalprice", "email", "note"), CONTACT_POLICY)
 

@@ -24,10 +24,10 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame) -> bool:
-    """True if the input is proven to hold less than a few megabytes per core."""
+def is_small(df: DataFrame, bytes_per_core: int = SMALL_BYTES_PER_CORE) -> bool:
+    """True if the input is estimated to hold at most this much per core."""
     size = estimated_bytes(df)
-    return size is not None and size <= df.sparkSession.sparkContext.defaultParallelism * SMALL_BYTES_PER_CORE
+    return size is not None and size <= df.sparkSession.sparkContext.defaultParallelism * bytes_per_core
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def fits_broadcast(df: DataFrame) -> bool:
     return row["n"] <= BROADCAST_MAX_ROWS and (row["chars"] or 0) <= BROADCAST_MAX_CHARS
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 64) -> DataFrame:
-    """Left join of ``big`` to a table with one row per ``key``.
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+    """Left or inner join of ``big`` to a table with one row per ``key``.
 
     Proven small: broadcast, no shuffle of ``big``.  Otherwise both sides are
     shuffled on (key, salt): rows of one hot key are spread over ``salts``
@@ -65,10 +65,10 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, salts: int = 64) ->
     to each salt.  Both ways give the same rows.
     """
     if fits_broadcast(small):
-        return big.join(F.broadcast(small), key, "left")
+        return big.join(F.broadcast(small), key, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:

@@ -70,7 +70,7 @@ def test_inventory_and_profile(spark, monkeypatch):
     rows = [tuple(r) for r in catalog.table_inventory({**frames, "pg_catalog.x": frames["users"]}).collect()]
     assert rows == [("stock", 2, 1), ("users", 3, 2)]
     one_pass = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
-    monkeypatch.setattr(catalog, "is_small", lambda df: False)
+    monkeypatch.setattr(catalog, "ONE_PASS_BYTES_PER_CORE", -1)
     exact = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
     assert exact == one_pass
     exact = {r.column_name: r for r in exact}
