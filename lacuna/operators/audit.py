@@ -11,6 +11,7 @@ from lacuna.functions.patterns import cascade
 from lacuna.functions.sqltext import BLANKS
 from lacuna.functions.wire import json_text
 from lacuna.policy import PatternToggles
+from lacuna.sources.sizing import few_tasks
 
 SQL_CHARS = 2000
 MASK_NOTE = (
@@ -67,7 +68,7 @@ def rollup_by_status(audit: DataFrame, *by: str) -> DataFrame:
 
 def last_entries(audit: DataFrame, n: int = 30, ties: Sequence[str] = ()) -> DataFrame:
     """The newest ``n`` entries, newest first, in display form (per-task top-n, then a merge)."""
-    newest = audit.orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(n)
+    newest = few_tasks(audit).orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(n)
     return newest.select(
         *ties,
         F.date_format("ts", "HH:mm:ss").alias("time"),

@@ -14,7 +14,7 @@ from lacuna.functions.patterns import cascade
 from lacuna.functions.wire import wire
 from lacuna.operators.redact import redact, redact_with_hits
 from lacuna.policy import Governance, ReadPolicy, RedactPolicy
-from lacuna.sources.sizing import lookup_join
+from lacuna.sources.sizing import few_tasks, lookup_join
 
 # A payload carries its rows inside one value; larger reads are written as a table.
 PAYLOAD_MAX_ROWS = 10_000
@@ -26,12 +26,13 @@ class PolicyViolation(ValueError):
 
 def bounded_read(df: DataFrame, max_rows: int, order_by: Sequence[str | Column] = ()) -> DataFrame:
     """At most ``max_rows`` rows; with ``order_by`` always the same ones (per-task top-n, then a merge)."""
-    return (df.orderBy(*order_by) if order_by else df).limit(max_rows)
+    few = few_tasks(df)
+    return (few.orderBy(*order_by) if order_by else few).limit(max_rows)
 
 
 def bounded_read_flag(df: DataFrame, max_rows: int) -> DataFrame:
     """(row_count, truncated) of ``bounded_read``; no task looks past ``max_rows + 1`` rows."""
-    fetched = df.select(F.lit(1).alias("one")).limit(max_rows + 1).agg(F.count("one").alias("n"))
+    fetched = few_tasks(df.select(F.lit(1).alias("one"))).limit(max_rows + 1).agg(F.count("one").alias("n"))
     return fetched.select(
         F.least(F.col("n"), F.lit(max_rows)).cast("bigint").alias("row_count"),
         (F.col("n") > max_rows).alias("truncated"),

@@ -310,9 +310,10 @@ ORACLES["redact_full_counts"] = f"""SELECT CAST(sum(n_rules) AS BIGINT) AS colum
   FROM ({FULL}) f"""
 _RESCAN = cascade(f"SELECT contact_id, {token('email')} AS email, note FROM ({CONTACTS}) c", ("email", "note"))
 ORACLES["redact_rescan_hashed"] = f"SELECT contact_id, email, note FROM ({_RESCAN}) f"
-_NESTED = cascade(f"SELECT contact_id, note, ip, phone, card, email FROM ({CONTACTS}) c", ("note", "ip", "phone", "card", "email"))
+_PARTS = ("note", "ip", "phone", "card", "email")
+_NESTED = cascade(f"SELECT contact_id, {', '.join(_PARTS)} FROM ({CONTACTS}) c", _PARTS)
 ORACLES["redact_nested"] = f"""SELECT contact_id, note || ' | ' || ip AS items, phone, card, email AS mail,
-  {total(('note', 'ip', 'phone', 'card', 'email'))} AS redactions FROM ({_NESTED}) n"""
+  {total(_PARTS)} AS redactions FROM ({_NESTED}) n"""
 ORACLES["redact_stream"] = f"SELECT {CONTACT_COLUMNS} FROM ({FULL}) f"
 
 # -------------------------------------------------------- free-text backstops
@@ -359,7 +360,8 @@ _LEX = (
     r"--[^\n\r]*|/\*(?:[^*]|\*+[^*/])*\*+/|''(?:[^'']|'''')*''|\$[A-Za-z_]*\$[^$]*\$[A-Za-z_]*\$"
     r'|"((?:[^"]|"")*)"'
 )
-_T = r"trim(rtrim(trim(coalesce(sql, ''), chr(32) || chr(10) || chr(13) || chr(9)), ';'), chr(32) || chr(10) || chr(13) || chr(9))"
+_SPACES = "chr(32) || chr(10) || chr(13) || chr(9)"
+_T = f"trim(rtrim(trim(coalesce(sql, ''), {_SPACES}), ';'), {_SPACES})"
 
 
 def _blanked(t: str) -> str:

@@ -596,22 +596,15 @@ def source_rules(t: Sources) -> DataFrame:
     the shared rule (NULL source) masks the SSN everywhere.
     """
     seen = _contacts(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    prod = F.col("source") == "prod"
-    own = seen.select(
+    own = seen.selectExpr(
         "source",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.lit("EMAIL").alias("column"), F.when(prod, "hash").otherwise("partial").alias("strategy"), F.lit(6).alias("keep")
-                ),
-                F.struct(
-                    F.lit("phone").alias("column"), F.when(prod, "null").otherwise("mask").alias("strategy"), F.lit(4).alias("keep")
-                ),
-            )
-        ).alias("r"),
-    ).select("source", "r.*")
-    shared = own.groupBy().agg(F.max("keep").alias("keep")).select(
-        F.lit(None).cast("string").alias("source"), F.lit("ssn").alias("column"), F.lit("mask").alias("strategy"), "keep"
+        """stack(2,
+            'EMAIL', CASE WHEN source = 'prod' THEN 'hash' ELSE 'partial' END, 6,
+            'phone', CASE WHEN source = 'prod' THEN 'null' ELSE 'mask' END, 4
+        ) AS (column, strategy, keep)""",
+    )
+    shared = seen.groupBy().agg(F.max("n").alias("n")).selectExpr(
+        "CAST(NULL AS STRING) AS source", "'ssn' AS column", "'mask' AS strategy", "4 AS keep"
     )
     return own.unionByName(shared)
 

@@ -14,6 +14,8 @@ SMALL_BYTES_PER_CORE = 4 * 1024 * 1024
 BROADCAST_MAX_ROWS = 200_000
 # ... and at most this many characters of text in its widest form.
 BROADCAST_MAX_CHARS = 64 * 1024 * 1024
+# A limit collects its candidates from at most this many tasks.
+TOP_N_TASKS = 10_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -46,16 +48,25 @@ def spread_small(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame) -> bool:
     """Count a lookup side and measure its text: True if it is proven small.
 
-    The probe stops at one row past the bound, so it is cheap on a large side.
+    One aggregate, combined per task: a large side costs a scan and moves one row per task.
     """
     size = F.lit(0)
     for f in df.schema.fields:
         size = size + F.coalesce(F.length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
-    probe = df.limit(BROADCAST_MAX_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("chars"))
-    row = probe.first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("bigint")).alias("chars")).first()
     return row["n"] <= BROADCAST_MAX_ROWS and (row["chars"] or 0) <= BROADCAST_MAX_CHARS
 
 
+def few_tasks(df: DataFrame) -> DataFrame:
+    """At most ``TOP_N_TASKS`` tasks ahead of a limit.
+
+    A limit sends up to n rows from every task to one; merging partitions
+    without a shuffle bounds that on tables of a million splits and changes
+    nothing on smaller ones.
+    """
+    return df.coalesce(TOP_N_TASKS)
+
+
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
     """Left or inner join of ``big`` to a table with one row per ``key``.
 

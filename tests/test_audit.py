@@ -62,7 +62,8 @@ def test_rollup_and_reasons_and_last_entries(spark):
     rows = audit.audit_rows(outcomes(spark))
     got = {(r.database, r.status): (r.queries, r.redactions, r.truncated) for r in audit.rollup_by_status(rows).collect()}
     assert got[("dev", "error")] == (1, 3, 1) and got[("prod", "allowed")] == (1, 0, 0)
-    many = spark.range(60).selectExpr("'blocked' AS status", "CASE WHEN id < 20 THEN 'a' WHEN id < 40 THEN 'b' ELSE 'c' || id % 7 END AS reason")
+    reason = "CASE WHEN id < 20 THEN 'a' WHEN id < 40 THEN 'b' ELSE 'c' || id % 7 END AS reason"
+    many = spark.range(60).selectExpr("'blocked' AS status", reason)
     top = [(r.reason, r.queries, r.rank) for r in audit.top_reasons(many, 3).collect()]
     assert top == [("a", 20, 1), ("b", 20, 1), ("c0", 3, 3)]
     newest = audit.last_entries(rows, 2).collect()
@@ -92,7 +93,8 @@ def test_stream_append_and_windows_equal_batch(spark, tmp_path):
         F.lit(1.0).alias("duration_ms"),
     )
     for lo in range(0, 600, 150):
-        append_audit(log.where(f"ts >= timestamp'2024-01-01' + INTERVAL {lo} MINUTE AND ts < timestamp'2024-01-01' + INTERVAL {lo + 150} MINUTE").coalesce(1), str(tmp_path / "in"))
+        minute = "timestampdiff(MINUTE, timestamp'2024-01-01', ts)"
+        append_audit(log.where(f"{minute} BETWEEN {lo} AND {lo + 149}").coalesce(1), str(tmp_path / "in"))
     live = stream_audit(spark, str(tmp_path / "in"), files_per_trigger=1)
     write_rollup(windowed_rollup(live), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
