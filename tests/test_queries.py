@@ -8,10 +8,10 @@ import pytest
 from compare import duck_table, spark_table
 
 from __spark_entry__ import entry, oracle_sql, queries
-from lacuna.plans.queries import TABLES
+from lacuna.plans.oracles import ORACLES
+from lacuna.plans.queries import QUERIES, TABLES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = queries(), oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
