@@ -57,6 +57,7 @@ def json_text(*columns: Column) -> Column:
 
 
 def wire_json(df: DataFrame, name: str = "json") -> DataFrame:
-    """One JSON object per row."""
-    safe = wire(df)
-    return safe.select(json_text(*[F.col(f"`{c}`") for c in safe.columns]).alias(name))
+    """One JSON object per row; of columns with one name each is written, in order."""
+    frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    cells = [wire_value(F.col(f.name), f.dataType).alias(c) for f, c in zip(frame.schema.fields, df.columns)]
+    return frame.select(json_text(*cells).alias(name))

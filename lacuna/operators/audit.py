@@ -11,13 +11,10 @@ from lacuna.functions.patterns import cascade
 from lacuna.functions.sqltext import BLANKS
 from lacuna.functions.wire import json_text
 from lacuna.policy import PatternToggles
-from lacuna.sources.sizing import few_tasks
 
 SQL_CHARS = 2000
-MASK_NOTE = (
-    "PII was redacted. Placeholders such as [email], [phone], "
-    "[redacted] or sha256:... are intentional masks, not real values."
-)
+MASK_NOTE = "Personal data was masked: bracketed words and sha256 tokens stand for values that are withheld on purpose."
+# The fields of an audit entry.
 AUDIT_COLUMNS = (
     "ts",
     "database",
@@ -66,10 +63,22 @@ def rollup_by_status(audit: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def newest(entries: DataFrame, n: int = 30, ties: Sequence[str] = ()) -> DataFrame:
+    """The newest ``n`` rows of a table with ``ts``, newest first (per-task top-n, then a merge).
+
+    Also for outcomes: taken before ``audit_rows``, only these are scrubbed.
+    """
+    return entries.orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(n)
+
+
 def last_entries(audit: DataFrame, n: int = 30, ties: Sequence[str] = ()) -> DataFrame:
-    """The newest ``n`` entries, newest first, in display form (per-task top-n, then a merge)."""
-    newest = few_tasks(audit).orderBy(F.desc("ts"), *[F.desc(c) for c in ties]).limit(n)
-    return newest.select(
+    """The newest ``n`` audit rows in display form."""
+    return display(newest(audit, n, ties), ties)
+
+
+def display(audit: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Audit rows in display form: time of day, shape and the start of the text on one line."""
+    return audit.select(
         *ties,
         F.date_format("ts", "HH:mm:ss").alias("time"),
         "status",
@@ -80,16 +89,19 @@ def last_entries(audit: DataFrame, n: int = 30, ties: Sequence[str] = ()) -> Dat
     )
 
 
-def top_reasons(audit: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` most frequent block reasons with their rank (ties share one).
+def top_reasons(audit: DataFrame) -> DataFrame:
+    """Every block reason with its count and rank, the most frequent first; ties share a rank.
 
-    Counting combines before the shuffle; only the ``n`` winners are ranked.
+    Counting combines before the shuffle.  Ranks are cumulated over the
+    distinct counts, of which there are few, and joined back to the reasons.
     """
     counted = (
         audit.where(F.col("status") == "blocked").groupBy("reason").agg(F.count(F.lit(1)).alias("queries"))
     )
-    winners = counted.orderBy(F.desc("queries"), "reason").limit(n)
-    return winners.withColumn("rank", F.rank().over(Window.orderBy(F.desc("queries"))))
+    sizes = counted.groupBy("queries").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.orderBy(F.desc("queries")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = sizes.select("queries", (F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).cast("bigint").alias("rank"))
+    return counted.join(ranks, "queries").select("reason", "queries", "rank")
 
 
 def outcome_payload(outcomes: DataFrame, name: str = "payload") -> DataFrame:

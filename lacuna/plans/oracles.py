@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from lacuna.operators.audit import MASK_NOTE
 from lacuna.plans import derived
 from lacuna.plans.queries import CONTACT_POLICY, PII_TABLES, SALT, TERMS, TEXT_TABLES
 
@@ -134,10 +135,7 @@ ORACLES["wire_values"] = f"""SELECT CAST(to_json(struct_pack(
   seen := MAP {{event_type: {iso_json('ts')}}},
   maybe := CASE WHEN event_id % 3 = 0 THEN props END)) AS VARCHAR) AS json FROM events"""
 
-NOTE = (
-    "PII was redacted. Placeholders such as [email], [phone], "
-    "[redacted] or sha256:... are intentional masks, not real values."
-)
+NOTE = MASK_NOTE
 _PAYLOAD_ROWS = cascade(
     f"""SELECT contact_id, full_name, email, ssn, note, n_rules FROM (
       SELECT contact_id, '[redacted]' AS full_name, {token('email')} AS email, {partial('ssn', 4)} AS ssn, note,
@@ -166,7 +164,8 @@ AUDIT = f"""SELECT query_id, ts, database, {_STATUS} AS status, substr(trim(sql)
   FROM ({cascade(OUTCOMES, ('sql', 'error'), ('email', 'ssn', 'card', 'phone'))}) a"""
 AUDIT_ISO = f"SELECT * REPLACE ({ISO.format('ts')} AS ts) FROM ({AUDIT}) i"
 ORACLES["audit_roundtrip"] = AUDIT_ISO
-ORACLES["audit_parse"] = f"SELECT query_id, ts, status, duration_ms FROM ({AUDIT_ISO}) a WHERE query_id % 17 <> 0"
+ORACLES["audit_parse"] = f"""SELECT query_id, ts, status, duration_ms FROM ({AUDIT_ISO}) a WHERE query_id % 17 <> 0
+  UNION ALL SELECT event_id, NULL, 'odd', NULL FROM events WHERE event_id % 51 = 0"""
 
 # Table -> columns with their type family, as in the data description.
 SCHEMAS: dict[str, dict[str, str]] = {
@@ -275,7 +274,7 @@ _MIXED = f"""SELECT 'documents' AS origin, doc_id AS id, text AS t FROM document
   SELECT 'contacts', contact_id, concat_ws(' | ', note, ssn, card, ip) FROM ({CONTACTS}) c"""
 for _p in ORDER:
     ORACLES[f"pattern_{_p}"] = f"""SELECT origin, id, t AS scrubbed, n_t_{_p} AS hits
-  FROM ({cascade(_MIXED, ('t',), (_p,))}) x WHERE n_t_{_p} > 0"""
+  FROM ({cascade(_MIXED, ('t',), (_p,))}) x"""
 
 ORACLES["luhn_filter"] = f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, m[i] AS candidate, {luhn('m[i]')} AS valid
   FROM (SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i
@@ -295,7 +294,7 @@ def _sums(column: str) -> str:
 
 ORACLES["pattern_counts"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, {_sums(c)} FROM ({cascade(f'SELECT {c} FROM {t}', (c,))}) x"
-    for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))
+    for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text"))
 )
 ORACLES["pattern_counts_by_lang"] = f"SELECT lang, {_sums('text')} FROM ({_DOCS}) d GROUP BY lang"
 
@@ -315,6 +314,7 @@ _NESTED = cascade(f"SELECT contact_id, {', '.join(_PARTS)} FROM ({CONTACTS}) c",
 ORACLES["redact_nested"] = f"""SELECT contact_id, note || ' | ' || ip AS items, phone, card, email AS mail,
   {total(_PARTS)} AS redactions FROM ({_NESTED}) n"""
 ORACLES["redact_stream"] = f"SELECT {CONTACT_COLUMNS} FROM ({FULL}) f"
+ORACLES["redact_stream_counts"] = ORACLES["redact_full_counts"]
 
 # -------------------------------------------------------- free-text backstops
 
@@ -440,7 +440,7 @@ for _key, _column in (
     ("screen_star_pii", "star_pii"),
 ):
     ORACLES[_key] = f"SELECT query_id, {_column} FROM ({RULES}) r"
-ORACLES["screen_writes"] = f"SELECT query_id, violations FROM ({RULES}) r WHERE NOT is_empty"
+ORACLES["screen_writes"] = f"SELECT query_id, violations FROM ({RULES}) r"
 ORACLES["screen_queries"] = f"SELECT query_id, rule IS NULL AS allowed, rule, reason FROM ({_DECIDED}) d"
 ORACLES["screen_summary"] = f"""SELECT database, rule IS NULL AS allowed, rule, count(*) AS queries
   FROM ({_DECIDED}) d GROUP BY ALL"""
@@ -522,14 +522,13 @@ ORACLES["audit_rollup"] = f"""SELECT database, status, count(*) AS queries,
   FROM ({AUDIT}) a GROUP BY database, status"""
 ORACLES["audit_last_n"] = f"""SELECT query_id, strftime(ts, '%H:%M:%S') AS time, status, rows, redactions, duration_ms,
   substr(replace(sql, chr(10), ' '), 1, 120) AS query FROM ({AUDIT}) a ORDER BY ts DESC, query_id DESC LIMIT 30"""
-ORACLES["audit_top_reasons"] = f"""SELECT reason, queries, CAST(rank() OVER (ORDER BY queries DESC) AS INTEGER) AS rank
+ORACLES["audit_top_reasons"] = f"""SELECT reason, queries, rank() OVER (ORDER BY queries DESC) AS rank
   FROM (SELECT reason, count(*) AS queries FROM ({AUDIT}) a WHERE status = 'blocked'
-    GROUP BY reason ORDER BY queries DESC, reason LIMIT 20) r"""
+    GROUP BY reason) r"""
 ORACLES["audit_stream_append"] = f"SELECT query_id, ts, status, sql, error FROM ({AUDIT_ISO}) a"
 ORACLES["audit_stream_windowed"] = f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, database, status,
   count(*) AS queries, CAST(sum(redactions) AS BIGINT) AS redactions
-  FROM (SELECT *, date_trunc('hour', ts) AS w FROM ({AUDIT}) a) b
-  WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w, database, status"""
+  FROM (SELECT *, date_trunc('hour', ts) AS w FROM ({AUDIT}) a) b GROUP BY w, database, status"""
 
 # ----------------------------------------------------- policies, verification
 
@@ -577,8 +576,9 @@ ORACLES["join_then_redact"] = f"SELECT o_orderkey, o_totalprice, email, note FRO
 ORACLES["hash_key_join"] = """SELECT c_mktsegment, count(*) AS orders,
   CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"""
-ORACLES["suppression_anti_join"] = f"""SELECT {token('c_custkey')} AS token, c_name FROM customer
-  WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"""
+_ON_LIST = "(c_nationkey < 4 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'))"
+ORACLES["suppression_anti_join"] = f"SELECT {token('c_custkey')} AS token, c_name FROM customer WHERE NOT {_ON_LIST}"
+ORACLES["suppression_semi_join"] = f"SELECT {token('c_custkey')} AS token, c_name FROM customer WHERE {_ON_LIST}"
 ORACLES["agg_then_redact"] = f"""SELECT {token('o_custkey')} AS o_custkey, count(*) AS orders,
   max(o_totalprice) AS largest FROM orders GROUP BY orders.o_custkey"""
 ORACLES["hash_key_distinct"] = (

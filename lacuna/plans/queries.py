@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,8 +30,8 @@ from lacuna.policy import ColumnRule, Governance, PatternToggles, ReadPolicy, Re
 from lacuna.sources.audit_log import append_audit, parse_audit_lines, read_audit, stream_to_audit
 from lacuna.sources.registry import Sources
 from lacuna.sources.sizing import shared_folder, spread_small
-from lacuna.streaming.audit_stream import windowed_rollup, write_rollup
-from lacuna.streaming.redact_stream import write_redacted
+from lacuna.streaming.audit_stream import read_rollup, write_rollup
+from lacuna.streaming.redact_stream import observed_counts, write_redacted
 
 # The stand-in models below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -168,7 +169,8 @@ def _audit_lines(t: Sources) -> DataFrame:
     line = wire.wire_json(_audit(t).where(k % 17 != 0), "value")
     bad = derived.outcomes(_events(t)).where(k % 17 == 0)
     broken = F.when(k % 2 == 0, "   ").otherwise(F.concat(F.lit('{"query_id": '), k.cast("string"), F.lit(', "ts": ')))
-    return line.unionAll(bad.select(broken.alias("value")))
+    mistyped = F.concat(F.lit('{"query_id": '), k.cast("string"), F.lit(', "rows": "many", "duration_ms": [1], "status": "odd"}'))
+    return line.unionAll(bad.select(F.when(k % 3 == 0, mistyped).otherwise(broken).alias("value")))
 
 
 @query
@@ -257,7 +259,7 @@ def _one_pattern(name: str) -> None:
         notes = _contacts(t).select(F.lit("contacts"), "contact_id", F.concat_ws(" | ", "note", "ssn", "card", "ip"))
         both = docs.unionAll(notes)
         found = both.select("origin", "id", scrub("text", p).alias("scrubbed"), hits("text", p).alias("hits"))
-        return found.where(F.col("hits") > 0)
+        return found
 
     QUERIES[f"pattern_{name}"] = run
 
@@ -297,11 +299,12 @@ def pattern_counts(t: Sources) -> DataFrame:
         ("documents", "doc_id", "text"),
         ("pages", "page_id", "html"),
         ("conversations", "conv_id", "text"),
+        ("benchmark", "item_id", "text"),
     ):
         df = spread_small(t[table].select(F.col(text).alias("text")))
         counted = text_hits(df, "text", ALL)
         parts.append(counted.agg(*_hit_columns(counted)).select(F.lit(table).alias("table_name"), "*"))
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query
@@ -351,10 +354,17 @@ def redact_nested(t: Sources) -> DataFrame:
 
 @query
 def redact_stream(t: Sources) -> DataFrame:
-    out, checkpoint = shared_folder(t.spark, "stream"), shared_folder(t.spark, "checkpoint")
+    out, checkpoint, counts = (shared_folder(t.spark, p) for p in ("stream", "checkpoint", "counts"))
     incoming = derived.contacts(t.stream("customer"))
-    write_redacted(incoming, CONTACT_POLICY, out, checkpoint).awaitTermination()
-    return t.spark.read.parquet(out)
+    write_redacted(incoming, CONTACT_POLICY, out, checkpoint, counts).awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")
+
+
+@query
+def redact_stream_counts(t: Sources) -> DataFrame:
+    out, checkpoint, counts = (shared_folder(t.spark, p) for p in ("stream", "checkpoint", "counts"))
+    write_redacted(derived.contacts(t.stream("customer")), CONTACT_POLICY, out, checkpoint, counts).awaitTermination()
+    return observed_counts(t.spark, counts)
 
 
 # -------------------------------------------------------- free-text backstops
@@ -455,7 +465,7 @@ def screen_explain(t: Sources) -> DataFrame:
 
 @query
 def screen_writes(t: Sources) -> DataFrame:
-    return _rules(t).where("is_empty = false").select("query_id", F.array_join("violations", ", ").alias("violations"))
+    return _rules(t).select("query_id", F.array_join("violations", ", ").alias("violations"))
 
 
 @query
@@ -561,12 +571,14 @@ def audit_rollup(t: Sources) -> DataFrame:
 
 @query
 def audit_last_n(t: Sources) -> DataFrame:
-    return audits.last_entries(_audit(t), 30, ties=["query_id"])
+    # Ordered and cut first, so that only these entries are scrubbed.
+    newest = audits.newest(derived.outcomes(_events(t)), 30, ties=["query_id"])
+    return audits.display(audits.audit_rows(newest), ties=["query_id"])
 
 
 @query
 def audit_top_reasons(t: Sources) -> DataFrame:
-    return audits.top_reasons(_audit(t), 20)
+    return audits.top_reasons(_audit(t))
 
 
 @query
@@ -581,9 +593,9 @@ def audit_stream_append(t: Sources) -> DataFrame:
 def audit_stream_windowed(t: Sources) -> DataFrame:
     out, checkpoint = shared_folder(t.spark, "windows"), shared_folder(t.spark, "checkpoint")
     incoming = audits.audit_rows(derived.outcomes(t.stream("events"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    write_rollup(windowed_rollup(incoming), out, checkpoint).awaitTermination()
-    closed = t.spark.read.parquet(out)
-    return closed.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    write_rollup(incoming, out, checkpoint).awaitTermination()
+    windows = read_rollup(t.spark, out)
+    return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 # ----------------------------------------------------- policies, verification
@@ -653,8 +665,10 @@ def hash_join_integrity(t: Sources) -> DataFrame:
 @query
 def join_then_redact(t: Sources) -> DataFrame:
     o = spread_small(t["orders"].select("o_orderkey", "o_custkey", "o_totalprice"))
-    joined = o.join(_contacts(t).select("contact_id", "email", "note"), F.col("o_custkey") == F.col("contact_id"))
-    return redact(joined.select("o_orderkey", "o_totalprice", "email", "note"), CONTACT_POLICY)
+    # Each contact is redacted once, not once per order.
+    people = redact(_contacts(t).select("contact_id", "email", "note"), CONTACT_POLICY)
+    joined = o.join(people, F.col("o_custkey") == F.col("contact_id"))
+    return joined.select("o_orderkey", "o_totalprice", "email", "note")
 
 
 def _hashed(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -664,21 +678,33 @@ def _hashed(df: DataFrame, key: str, name: str) -> DataFrame:
 
 @query
 def hash_key_join(t: Sources) -> DataFrame:
-    o = _hashed(t["orders"].select("o_custkey", "o_totalprice"), "o_custkey", "token")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    o = _hashed(t["orders"].select("o_custkey", cents.alias("cents")), "o_custkey", "token")
+    # Summed per token before the join, so that a customer with many orders is one row of it.
+    per = o.groupBy("token").agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents"))
     c = _hashed(t["customer"].select("c_custkey", "c_mktsegment"), "c_custkey", "token")
-    return (
-        o.join(c, "token")
-        .groupBy("c_mktsegment")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"))
-    )
+    return per.join(c, "token").groupBy("c_mktsegment").agg(F.sum("orders").alias("orders"), F.sum("cents").alias("cents"))
 
 
 @query
 def suppression_anti_join(t: Sources) -> DataFrame:
     """Contacts whose hashed key is on neither of two hashed suppression lists."""
     c = _hashed(t["customer"].select("c_custkey", "c_name"), "c_custkey", "token")
-    returned = _hashed(t["orders"].where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "token")
-    return c.join(returned, "token", "left_anti")
+    return c.join(_suppressed(t), "token", "left_anti")
+
+
+def _suppressed(t: Sources) -> DataFrame:
+    """Distinct tokens of two lists: customers with a finished order, and those of four nations."""
+    finished = _hashed(t["orders"].where("o_orderstatus = 'F'").select("o_custkey"), "o_custkey", "token")
+    nations = _hashed(t["customer"].where("c_nationkey < 4").select("c_custkey"), "c_custkey", "token")
+    return finished.unionAll(nations).distinct()
+
+
+@query
+def suppression_semi_join(t: Sources) -> DataFrame:
+    """Contacts whose hashed key is on one of the suppression lists."""
+    c = _hashed(t["customer"].select("c_custkey", "c_name"), "c_custkey", "token")
+    return c.join(_suppressed(t), "token", "left_semi")
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,30 +66,28 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(TOP_N_TASKS)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 64) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", hot_share: float = 0.01) -> DataFrame:
     """Left or inner join of ``big`` to a table with one row per ``key``.
 
-    Proven small: broadcast, no shuffle of ``big``.  Otherwise both sides are
-    shuffled on (key, salt): rows of one hot key are spread over ``salts``
-    tasks by the input partition they come from, and the lookup row is copied
-    to each salt.  Both ways give the same rows.
+    Proven small: broadcast, no shuffle of ``big``.  Otherwise the keys are
+    counted; a key with more than ``hot_share`` of the rows is hot, and there
+    are at most 1 / ``hot_share`` of them.  The lookup rows of the hot keys are
+    therefore few and are broadcast, while all other rows join by shuffle.
+    Both ways give the same rows.
     """
     if fits_broadcast(small):
         return big.join(F.broadcast(small), key, how)
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+    counts = big.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in counts.where((F.col("count") > hot_share * total) & F.col(key).isNotNull()).select(key).collect()]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    if not hot:
+        return big.join(small, key, how)
+    spread = big.where(is_hot).join(F.broadcast(small.where(F.col(key).isin(hot))), key, how)
+    return spread.unionByName(big.where(~is_hot).join(small, key, how))
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the session's ``spark.checkpoint.dir``.
-
-    The setting names storage every executor can reach.  Only a local-mode
-    session without it gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="lacuna-")
+    """A fresh folder below ``spark.checkpoint.dir``, else below the warehouse: storage every executor can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/lacuna/{purpose}-{uuid.uuid4().hex}"

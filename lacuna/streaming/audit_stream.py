@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+_KEYS = ("window_start", "database", "status")
+
 
 def windowed_rollup(audit: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Queries and redactions per tumbling window, database and status; batch or stream.
@@ -24,7 +26,24 @@ def windowed_rollup(audit: DataFrame, window: str = "1 hour", lateness: str = "1
     )
 
 
-def write_rollup(rollup: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-    """Append each window once, when the watermark closes it; runs until the input is used up."""
-    writer = rollup.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(path)
+def write_rollup(audit: DataFrame, path: str, checkpoint: str, window: str = "1 hour") -> StreamingQuery:
+    """Roll up a stream of audit entries; runs until the input is used up.
+
+    Each micro-batch writes its own partial sums to a folder named after the
+    batch, so a batch that is run again replaces what it wrote.  Nothing is
+    kept in state: open windows are there at once, and an entry, however late,
+    counts in its window.  ``read_rollup`` adds the parts up.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        windowed_rollup(batch, window).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = audit.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """Every window seen so far, closed or open."""
+    parts = spark.read.parquet(path)
+    sums = [F.sum(c).alias(c) for c in ("queries", "redactions")]
+    return parts.groupBy(*_KEYS).agg(*sums)

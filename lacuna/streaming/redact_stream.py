@@ -1,34 +1,37 @@
-"""Redact a stream: the batch projections, unchanged, with counts in the query progress."""
+"""Redact a stream: the batch projections, unchanged, with the counts of every micro-batch in a table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lacuna.operators.redact import redact_observed
 from lacuna.policy import RedactPolicy
 
-METRICS = "redactions"
-
 
 def write_redacted(
-    stream: DataFrame, policy: RedactPolicy, path: str, checkpoint: str, fmt: str = "parquet"
+    stream: DataFrame, policy: RedactPolicy, path: str, checkpoint: str, counts: str, fmt: str = "parquet"
 ) -> StreamingQuery:
-    """Redact everything available and append it to ``path``, each row exactly once.
+    """Redact everything available into ``path`` and the redactions of each micro-batch into ``counts``.
 
-    Stateless: no shuffle and no state store.  A restart continues from
-    ``checkpoint``.
+    Rows and counts of a micro-batch go to folders named after it, so a batch
+    that is run again replaces both.  No shuffle and no state store; a restart
+    continues from ``checkpoint``.
     """
-    redacted = redact_observed(stream, policy, METRICS)
-    writer = redacted.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start(path)
-
-
-def observed_counts(query: StreamingQuery) -> dict[str, int]:
-    """Counts summed over the micro-batches the query still remembers."""
-    totals: dict[str, int] = {}
-    for progress in query.recentProgress:
-        row = progress.observedMetrics.get(METRICS)
-        for name, value in (row.asDict() if row is not None else {}).items():
-            totals[name] = totals.get(name, 0) + value
-    return totals
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        redact_observed(batch, policy, seen).write.mode("overwrite").format(fmt).save(f"{path}/batch={number}")
+        names = ", ".join(f"{n} bigint" for n in seen.get)
+        row = batch.sparkSession.createDataFrame([tuple(seen.get.values())], names)
+        row.write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def observed_counts(spark: SparkSession, counts: str) -> DataFrame:
+    """One row: the counts of all micro-batches added up."""
+    parts = spark.read.parquet(counts).drop("batch")
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns])

@@ -93,16 +93,16 @@ def test_row_level_policy_without_broadcast_gives_the_same(spark, monkeypatch):
     try:
         out, rows = by_source(spark)
         assert rows == expected
-        assert "_salt" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_salted_lookup_spreads_a_hot_key(spark, monkeypatch):
+def test_lookup_spreads_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(sizing, "BROADCAST_MAX_ROWS", 0)
     big = spark.range(0, 8000, 1, 8).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'k' || id ELSE 'hot' END AS key")
     small = spark.createDataFrame([("hot", 1), ("k3", 2)], "key string, v int")
-    joined = sizing.lookup_join(big, small, "key", salts=8)
+    joined = sizing.lookup_join(big, small, "key")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 8000
     assert joined.where("v = 1").count() == big.where("key = 'hot'").count()
     assert joined.where("v = 2").count() == 1

@@ -102,11 +102,11 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         df.where(f"id = {i + 1}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = write_redacted(stream, POLICY, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = write_redacted(stream, POLICY, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "counts"))
     query.awaitTermination()
-    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).drop("batch").collect()))
     assert got == sorted(map(str, redact(df, POLICY).collect()))
-    assert observed_counts(query)["redactions"] == 6
-    again = write_redacted(stream, POLICY, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert observed_counts(spark, str(tmp_path / "counts")).first()["redactions"] == 6
+    again = write_redacted(stream, POLICY, str(tmp_path / "out"), str(tmp_path / "cp"), str(tmp_path / "counts"))
     again.awaitTermination()  # a restart adds nothing
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3

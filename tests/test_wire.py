@@ -77,3 +77,8 @@ def test_duplicate_names_survive(spark):
 def test_embeddings_stay_numbers(spark):
     df = spark.createDataFrame([([0.5, 0.25],)], "e array<float>")
     assert json.loads(wire_json(df).first().json) == {"e": [0.5, 0.25]}
+
+
+def test_duplicate_names_are_written_in_order(spark):
+    df = spark.createDataFrame([(1, "x")], "a int, b string").toDF("a", "a")
+    assert wire_json(df).first().json == '{"a":1,"a":"x"}'
