@@ -11,10 +11,12 @@ fits ``RedactPolicy.free_text``.
 
 from __future__ import annotations
 
-import importlib.util
+import queue
+import re
 import sys
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import threading
+import time
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.column_rules import MASK_TOKEN
 from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
-from lacuna.sources.sizing import lookup_join
+from lacuna.sources.sizing import fits_broadcast
 
 # Python workers receive this module's code with the job; they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,7 +40,7 @@ DEFAULT_ENTITIES = ("PERSON", "LOCATION", "EMAIL_ADDRESS", "PHONE_NUMBER")
 DEFAULT_THRESHOLD = 0.5
 CELL_TIMEOUT_SECONDS = 30.0
 
-# A list up to this size becomes one alternation inside the plan.
+# A list up to this size becomes one alternation inside the plan; a longer one is looked up word by word.
 INLINE_TERMS = 500
 
 
@@ -60,11 +62,11 @@ def _replaced(column: str, regex: str, labels: str, found: str, hits: str) -> di
 def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
     """Replace whole-word occurrences of ``term -> label`` by ``<label>``, longest term first.
 
-    For short lists, which become one regex; a list that does not fit belongs
-    in a table and goes through ``replace_terms``.
+    A short list becomes one regex inside the plan, a longer one an index by
+    first word that every task looks up; the result is the same.
     """
     if len(terms) > INLINE_TERMS:
-        raise ValueError(f"more than {INLINE_TERMS} terms: keep them in a table and use replace_terms")
+        return lambda df, column, hits: _look_up(df, column, _by_first_word(terms.items()), hits)
     ordered = sorted(terms, key=lambda t: (-len(t), t))
     body = "|".join("".join(c if c.isalnum() or c in "_ " else f"\\{c}" for c in t) for t in ordered)
     regex = literal(f"(?<!{WORD_BEHIND})(?:{body})(?!{WORD})")
@@ -78,41 +80,92 @@ def dictionary_backstop(terms: Mapping[str, str]) -> Transform:
     return transform
 
 
-def replace_terms(
-    df: DataFrame, key: str, column: str, terms: DataFrame, hits: str = "hits", max_words: int | None = None
-) -> DataFrame:
+TermIndex = dict[str, list[tuple[str, str]]]
+
+
+def _by_first_word(terms: Iterable[tuple[str, str]]) -> TermIndex:
+    """Terms and labels by the word they start with (or a first character that is none), longest first."""
+    index: TermIndex = {}
+    for term, label in sorted(terms, key=lambda t: (-len(t[0]), t[0])):
+        if term:
+            index.setdefault(re.match(r"\w+|\W", term).group(), []).append((term, label))
+    return index
+
+
+def _replace_words(text: str, index: TermIndex, starts: re.Pattern) -> tuple[str, int]:
+    """The text with whole-word terms replaced, and how many; at each place the longest term that fits wins."""
+    out: list[str] = []
+    at = 0
+    for m in starts.finditer(text):
+        if m.start() < at:
+            continue
+        for term, label in index.get(m.group(), ()):
+            end = m.start() + len(term)
+            if not text.startswith(term, m.start()) or _is_word(text[end : end + 1]):
+                continue
+            if m.start() and _is_word(text[m.start() - 1]):
+                continue
+            out += [text[at : m.start()], f"<{label}>"]
+            at = end
+            break
+    return "".join(out) + text[at:], len(out) // 2
+
+
+def _is_word(c: str) -> bool:
+    return c == "_" or c.isalnum()
+
+
+def _starts(index: TermIndex) -> re.Pattern:
+    """Where a term can start: at words, and at other characters if a term starts with one."""
+    return re.compile(r"\w+" if all(_is_word(k[0]) for k in index) else r"\w+|\W")
+
+
+def _look_up(df: DataFrame, column: str, index: TermIndex, hits: str) -> DataFrame:
+    """In-row lookup of terms that are small enough to broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        starts = _starts(known)
+        for batch in batches:
+            done = [_replace_words(t, known, starts) if t else (t, 0) for t in batch]
+            yield pd.DataFrame({"text": [d[0] for d in done], "hits": [d[1] for d in done]})
+
+    return _python_transform(run)(df, column, hits)
+
+
+def replace_terms(df: DataFrame, column: str, terms: DataFrame, hits: str = "hits") -> DataFrame:
     """``dictionary_backstop`` for a term *table* (term, label) of any size.
 
-    ``key`` is unique per row.  Each text's distinct runs of 1..``max_words``
-    words (by default as many as the longest term has) are matched with the
-    table; the matches of a text then form its own alternation.  The table is broadcast if counted small, else a frequent word
-    is spread over many tasks (``lookup_join``).  A term must be made of words
-    (letters, digits, ``_``) separated by single spaces.
+    Of a term with several labels the last in order holds.  A table that was
+    counted small is broadcast and looked up in each row: no text is shuffled.
+    Otherwise the distinct words of each text meet the first words of the
+    terms in a join, and a text gets the terms that start with one of its
+    words, by a digest of the text; rows with null texts have no terms.
     """
-    listed = terms.groupBy("term").agg(F.max("label").alias("label"))
-    if max_words is None:
-        max_words = terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    words = F.regexp_extract_all(name(column), F.lit(rf"{WORD}+"), F.lit(0))
-    runs = [F.col("_words")]
-    for n in range(2, max_words + 1):  # each run of n words is one of n - 1 words and the next word
-        following = F.slice("_words", n, F.size("_words"))
-        longer = F.zip_with(runs[-1], following, lambda run, word: F.concat(run, F.lit(" "), word))
-        runs.append(F.array_compact(longer))
-    spoken = df.select(F.col(key).alias("_key"), words.alias("_words")).select(
-        "_key", F.explode(F.array_distinct(F.concat(*runs))).alias("term")
-    )
-    # Longest first; the terms of one text are at most its own words.
-    longest_first = "array_sort(collect_list(struct(-length(term) AS size, term, label)))"
-    matched = lookup_join(spoken, listed, "term", "inner").groupBy("_key").agg(F.expr(longest_first).alias("_terms"))
-    joined = df.join(matched, df[key] == matched["_key"], "left")
-    body = "array_join(transform(_terms, t -> t.term), '|')"
-    ready = joined.withColumns(
-        {
-            "_regex": F.expr(f"concat({literal(f'(?<!{WORD_BEHIND})(?:')}, {body}, {literal(f')(?!{WORD})')})"),
-            "_labels": F.expr("map_from_entries(transform(_terms, t -> struct(t.term, t.label)))"),
-        }
-    )
-    out = ready.withColumns(_replaced(column, "_regex", "_labels", "_regex IS NOT NULL", hits))
+    listed = terms.where("term IS NOT NULL AND term <> ''").groupBy("term").agg(F.max("label").alias("label"))
+    if fits_broadcast(listed):
+        index = _by_first_word((r["term"], r["label"]) for r in listed.collect())
+        return _look_up(df, column, index, hits)
+    first = F.regexp_extract("term", rf"^(?:{WORD}+|[\s\S])", 0)
+    starts = F.array_distinct(F.regexp_extract_all(F.col(name(column)), F.lit(rf"{WORD}+|[\s\S]"), F.lit(0)))
+    texts = df.select(F.sha2(F.col(name(column)), 256).alias("_digest"), F.explode(starts).alias("_first")).distinct()
+    met = texts.join(listed.withColumn("_first", first), "_first")
+    own = met.groupBy("_digest").agg(F.collect_list(F.struct("term", "label")).alias("_terms"))
+    keyed = df.withColumn("_own", F.sha2(F.col(name(column)), 256))
+    joined = keyed.join(own, F.col("_own") == F.col("_digest"), "left")
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, listed_terms in batches:
+            done = []
+            for t, found in zip(text, listed_terms):
+                index = _by_first_word((x["term"], x["label"]) for x in found) if t and found is not None else {}
+                done.append(_replace_words(t, index, _starts(index)) if index else (t, 0))
+            yield pd.DataFrame({"text": [d[0] for d in done], "hits": [d[1] for d in done]})
+
+    scan = F.pandas_udf(run, _RESULT)
+    scanned = joined.withColumn("_found", scan(F.col(name(column)), F.col("_terms")))
+    out = scanned.withColumns({column: F.col("_found.text"), hits: F.col("_found.hits")})
     return out.select(*[F.col(name(c)) for c in df.columns], hits)
 
 
@@ -159,7 +212,10 @@ def detector_backstop(
             texts = batch.tolist()
             at = [i for i, t in enumerate(texts) if t]
             counts = [0] * len(texts)
-            for i, spans in zip(at, detect([texts[i] for i in at]) if at else []):
+            replies = list(detect([texts[i] for i in at])) if at else []
+            if len(replies) != len(at):
+                raise ValueError(f"the detector answered {len(replies)} times for {len(at)} texts")
+            for i, spans in zip(at, replies):
                 found = [s for s in spans if s.score >= threshold and (not wanted or s.label in wanted)]
                 counts[i] = len(found)
                 if found:
@@ -169,25 +225,6 @@ def detector_backstop(
     return _python_transform(run)
 
 
-def presidio_detector(language: str = "en") -> Callable[[], Detector]:
-    """Factory for a Presidio analyzer.  Fails here, on the driver, if Presidio is missing."""
-    if importlib.util.find_spec("presidio_analyzer") is None:
-        raise RuntimeError("presidio_analyzer is not installed")
-
-    def build() -> Detector:
-        from presidio_analyzer import AnalyzerEngine
-
-        engine = AnalyzerEngine()
-
-        def detect(texts: Sequence[str]) -> Sequence[Sequence[Span]]:
-            found = (engine.analyze(text=t, language=language) for t in texts)
-            return [[Span(r.start, r.end, r.entity_type, r.score) for r in rs] for rs in found]
-
-        return detect
-
-    return build
-
-
 # ------------------------------------------------------------------ rewriter
 
 
@@ -201,34 +238,54 @@ def rewriter_backstop(
     An error, a timeout or an empty reply masks the whole cell and counts one;
     a changed text counts one, an unchanged one none.  Equal texts of a batch
     are sent once; ``parallel`` calls are in flight, since they mostly wait.
+    A text's time runs from its own call on, and a call that hangs gives its
+    place to the next text.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rewrite = factory()
-        pool = ThreadPoolExecutor(parallel)
-        try:
-            for batch in batches:
-                pending = {t: pool.submit(rewrite, t) for t in dict.fromkeys(batch.tolist()) if t}
-                done: dict[str | None, tuple[str | None, int]] = {None: (None, 0), "": ("", 0)}
-                for text, call in pending.items():
-                    try:
-                        reply = call.result(timeout=timeout)
-                        reply = reply.strip() if isinstance(reply, str) else ""
-                    except Exception:  # noqa: BLE001 - whatever went wrong, the cell is masked
-                        if not call.done():
-                            # A hung call keeps its thread: go on with fresh ones.
-                            pool.shutdown(wait=False, cancel_futures=False)
-                            pool = ThreadPoolExecutor(parallel)
-                        reply = ""
-                    done[text] = (reply, int(reply != text)) if reply else (MASK_TOKEN, 1)
-                results = [done[t] for t in batch.tolist()]
-                yield pd.DataFrame({"text": [r[0] for r in results], "hits": [r[1] for r in results]})
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        for batch in batches:
+            replies = _call_all(rewrite, [t for t in dict.fromkeys(batch.tolist()) if t], timeout, parallel)
+            done: dict[str | None, tuple[str | None, int]] = {None: (None, 0), "": ("", 0)}
+            for text, reply in replies.items():
+                reply = reply.strip() if isinstance(reply, str) else ""
+                done[text] = (reply, int(reply != text)) if reply else (MASK_TOKEN, 1)
+            results = [done[t] for t in batch.tolist()]
+            yield pd.DataFrame({"text": [r[0] for r in results], "hits": [r[1] for r in results]})
 
     return _python_transform(run)
 
 
+def _call_all(call: Callable[[str], str], texts: Sequence[str], timeout: float, parallel: int) -> dict[str, str | None]:
+    """Every text's reply, None where the call failed or took too long.
+
+    Each call has a daemon thread, so one that never returns cannot keep the worker from ending.
+    """
+    replies: dict[str, str | None] = dict.fromkeys(texts)
+    arrived: queue.SimpleQueue = queue.SimpleQueue()
+
+    def one(text: str) -> None:
+        try:
+            arrived.put((text, call(text)))
+        except BaseException:  # noqa: BLE001 - whatever went wrong, the cell is masked
+            arrived.put((text, None))
+
+    waiting, flying = list(reversed(texts)), {}
+    while waiting or flying:
+        while waiting and len(flying) < parallel:
+            text = waiting.pop()
+            flying[text] = time.monotonic() + timeout
+            threading.Thread(target=one, args=(text,), daemon=True).start()
+        try:
+            text, reply = arrived.get(timeout=max(0.0, min(flying.values()) - time.monotonic()))
+            if flying.pop(text, None) is not None:  # else it came too late
+                replies[text] = reply
+        except queue.Empty:
+            now = time.monotonic()
+            flying = {t: end for t, end in flying.items() if end > now}
+    return replies
+
+
 def _python_transform(run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]) -> Transform:
     def transform(df: DataFrame, column: str, hits: str) -> DataFrame:
         scan = F.pandas_udf(run, _RESULT)

@@ -389,7 +389,7 @@ def benchmark_terms(benchmark: DataFrame) -> DataFrame:
 
 @query
 def dictionary_table(t: Sources) -> DataFrame:
-    return detect.replace_terms(_documents(t), "doc_id", "text", benchmark_terms(t["benchmark"]))
+    return detect.replace_terms(_documents(t), "text", benchmark_terms(t["benchmark"]))
 
 
 def name_detector() -> Callable[[Sequence[str]], list[list[Span]]]:
