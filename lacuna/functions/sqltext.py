@@ -11,8 +11,6 @@ any length cannot exhaust the stack.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,24 +131,52 @@ def first_word(blanked: Column) -> Column:
     return F.regexp_extract(blanked, r"^([^ ]*)", 1)
 
 
-RUNS_QUERY = r"^EXPLAIN (?:ANALY[SZ]E\b|VERBOSE ANALY[SZ]E\b|\([^)]*ANALY[SZ]E\b)"
+RUNS_QUERY = r"^[( ]*EXPLAIN ?(?:ANALY[SZ]E\b|VERBOSE ANALY[SZ]E\b|\([^)]*ANALY[SZ]E\b)"
+
+# Shapes that no grammar accepts: a clause without an operand or followed by the
+# next one, a head word alone, a WITH list without AS.  A literal is blanked, so
+# a clause that has only a literal counts as empty too.
+_CLAUSE = r"(?:(?<!DISTINCT )FROM|WHERE|JOIN|HAVING|GROUP BY|ORDER BY|UNION|EXCEPT|INTERSECT)"
+_INCOMPLETE = "|".join(
+    (
+        rf"\b{_CLAUSE} ?(?:$|[),;])",
+        rf"\b{_CLAUSE} (?:FROM|WHERE|JOIN|HAVING|GROUP BY|ORDER BY|LIMIT|UNION|EXCEPT|INTERSECT)\b",
+        r"^[( ]*(?:SHOW|EXPLAIN|WITH|VALUES|TABLE)[ )]*$",
+    )
+)
+_WITH_LIST = r"^[( ]*(?:EXPLAIN ?(?:\([^)]*\) ?)?(?:VERBOSE )?)?WITH\b"
+_WITH_AS = r"\bAS (?:NOT )?(?:MATERIALIZED )?\(|\bAS\("
+
+
+def incomplete(blanked: Column) -> Column:
+    return blanked.rlike(_INCOMPLETE) | (blanked.rlike(_WITH_LIST) & ~blanked.rlike(_WITH_AS))
+
 
 # Where a statement can start inside a read: after "(", after a CTE list, after EXPLAIN.
-_WRITES_IN = r"(?:[(] ?|^EXPLAIN (?:\([^)]*\) ?)?(?:VERBOSE )?)(INSERT|UPDATE|DELETE|MERGE|CREATE|REFRESH|EXECUTE) "
+_WRITES_IN = r"(?:[(] ?|^EXPLAIN ?(?:\([^)]*\) ?)?(?:VERBOSE )?)(INSERT|UPDATE|DELETE|MERGE|CREATE|REFRESH|EXECUTE) "
 _WRITES_AFTER = r"[)] ?(INSERT|UPDATE|DELETE|MERGE) "
+# And wherever it stands, what can hardly be anything else.
+_WRITES_ANYWHERE = (
+    ("INSERT", r"\bINSERT INTO\b"),
+    ("DELETE", r"\bDELETE FROM\b"),
+    ("MERGE", r"\bMERGE INTO\b"),
+    ("UPDATE", r"\bUPDATE (?:ONLY )?[^ (),;]+ (?:AS )?(?:[^ (),;]+ )?SET\b"),
+)
 _WRITE_NAMES = {"CREATE": "CREATETABLEAS", "REFRESH": "REFRESHMATVIEW"}
 INTO_LABEL = "SELECT INTO"
 LOCK_LABEL = "row-locking clause (FOR UPDATE/SHARE)"
 
 
 def writes(blanked: Column) -> Column:
-    """Kinds of write inside a read, distinct and sorted."""
+    """Kinds of write inside a read, distinct and sorted; empty for what is no read."""
     found = F.concat(*[F.regexp_extract_all(blanked, F.lit(r), F.lit(1)) for r in (_WRITES_IN, _WRITES_AFTER)])
+    anywhere = [F.when(blanked.rlike(r), F.lit(kind)) for kind, r in _WRITES_ANYWHERE]
+    found = F.concat(found, F.array_compact(F.array(*anywhere)))
     for word, name in _WRITE_NAMES.items():
         found = F.when(F.array_contains(found, word), F.array_append(F.array_remove(found, word), F.lit(name))).otherwise(
             found
         )
-    return F.array_sort(F.array_distinct(found))
+    return F.when(blanked.rlike(READS), F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
 def selects_into(blanked: Column) -> Column:
@@ -161,7 +187,7 @@ def locks_rows(blanked: Column) -> Column:
     return blanked.rlike(r"\bFOR (?:NO KEY UPDATE|UPDATE|KEY SHARE|SHARE)\b")
 
 
-_STAR = r"DISTINCT ON ?\([^)]*\) ?\*|(?:\bSELECT|\bSELECT DISTINCT|\bSELECT ALL|,|\.|\bRETURNING) ?\*|\bTABLE "
+_STAR = r"\) ?\* ?(?:FROM\b|,)|(?:\bSELECT|\bSELECT DISTINCT|\bSELECT ALL|,|\.|\bRETURNING) ?\*|\bTABLE "
 _NAME = r"[\p{L}_][\p{L}\p{N}_$]*"
 _RELATION = rf"(?:\bFROM|\bJOIN|,|\bTABLE|\bONLY)[ (]*(?:ONLY\b[ (]*)?((?:{_NAME}\.)*{_NAME})"
 
@@ -171,15 +197,14 @@ def has_star(blanked: Column) -> Column:
     return blanked.rlike(_STAR)
 
 
-def relations_among(blanked: Column, tables: Iterable[str]) -> Column:
-    """Which of ``tables`` the text reads from: lower case, sorted, schema ignored."""
-    wanted = sorted({t.lower() for t in tables})
-    if not wanted:
-        return F.array().cast("array<string>")
+def relations_among(blanked: Column, tables: Column) -> Column:
+    """Which of ``tables`` (an array of lower-case names) the text reads from: sorted, schema ignored."""
     full = F.regexp_extract_all(blanked, F.lit(_RELATION), F.lit(1))
     bare = F.transform(full, lambda r: F.lower(F.replace(F.substring_index(r, ".", -1), F.lit(QUOTED), F.lit(""))))
-    hit = F.array_intersect(F.array(*[F.lit(t) for t in wanted]), bare)
     # Names that need quotes never match the pattern above; look for the quoted form.
-    odd = [t for t in wanted if not t.replace("_", "a").replace("$", "a").isalnum()]
-    quoted = [F.when(F.lower(blanked).contains(f"{QUOTED.lower()}{t} "), F.lit(t)) for t in odd]
-    return F.array_sort(F.array_distinct(F.concat(hit, F.array_compact(F.array(*quoted))) if quoted else hit))
+    quoted = F.filter(
+        tables,
+        lambda t: ~t.rlike(r"^[\p{L}\p{N}_$]+$")
+        & F.contains(F.lower(blanked), F.concat(F.lit(QUOTED.lower()), t, F.lit(" "))),
+    )
+    return F.array_sort(F.array_distinct(F.concat(F.array_intersect(tables, bare), quoted)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import sqltext
 from lacuna.policy import ReadPolicy
+from lacuna.sources.sizing import lookup_join
 
 RULE_COLUMNS = (
     "is_empty",
@@ -30,12 +31,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rules(text: Column, b: Column, policy: ReadPolicy) -> Column:
-    """Outcome of every rule as one struct, from the trimmed and the blanked text."""
+def _rules(text: Column, b: Column, guarded: Column | None) -> Column:
+    """Outcome of every rule as one struct, from the trimmed and the blanked text.
+
+    ``guarded`` has the tables that must not be read by star, None for none.
+    """
     kind = sqltext.statement_kind(b)
     read = b.rlike(sqltext.READS)
-    parse_error = F.when(sqltext.doubtful(text, b), F.lit("unbalanced or ambiguous text")).when(
-        (b != "") & ~read & kind.isNull(), F.concat(F.lit("unexpected "), sqltext.first_word(b))
+    parse_error = (
+        F.when(sqltext.doubtful(text, b), F.lit("unbalanced or ambiguous text"))
+        .when((b != "") & ~read & kind.isNull(), F.concat(F.lit("unexpected "), sqltext.first_word(b)))
+        .when(read & sqltext.incomplete(b), F.lit("incomplete statement"))
     )
     extra = F.array_compact(
         F.array(
@@ -44,8 +50,8 @@ def _rules(text: Column, b: Column, policy: ReadPolicy) -> Column:
         )
     )
     tables = F.array().cast("array<string>")
-    if not policy.allow_star and policy.pii_tables:
-        tables = F.when(sqltext.has_star(b), sqltext.relations_among(b, policy.pii_tables)).otherwise(tables)
+    if guarded is not None:
+        tables = F.when(sqltext.has_star(b), sqltext.relations_among(b, guarded)).otherwise(tables)
     return F.struct(
         (text == "").alias("is_empty"),
         parse_error.alias("parse_error"),
@@ -57,17 +63,24 @@ def _rules(text: Column, b: Column, policy: ReadPolicy) -> Column:
     )
 
 
-def _outcome(sql: str, policy: ReadPolicy | None) -> Column:
+def _guarded(policy: ReadPolicy | None) -> Column | None:
+    if policy is None or policy.allow_star or not policy.pii_tables:
+        return None
+    return F.array(*[F.lit(t) for t in sorted({t.lower() for t in policy.pii_tables})])
+
+
+def _outcome(sql: str, guarded: Column | None) -> Column:
     tidy = sqltext.tidy(F.col(sql))
-    return _let(tidy, lambda t: _let(sqltext.blank(t), lambda b: _rules(t, b, policy or ReadPolicy())))
+    return _let(tidy, lambda t: _let(sqltext.blank(t), lambda b: _rules(t, b, guarded)))
 
 
 def rule_columns(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
     """Add the outcome of every rule, whether or not an earlier rule already decided."""
-    screened = df.withColumn("_screen", _outcome(sql, policy))
+    screened = df.withColumn("_screen", _outcome(sql, _guarded(policy)))
     return screened.withColumns({c: F.col(f"_screen.{c}") for c in RULE_COLUMNS}).drop("_screen")
 
 
+# The wording of the verdicts.
 def _verdict(r: Column) -> Column:
     """(rule, reason) of the first rule that blocks; both NULL when none does."""
     ladder: list[tuple[str, Column, Column]] = [
@@ -106,7 +119,33 @@ def _verdict(r: Column) -> Column:
 
 def screen_queries(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
     """Add ``rule`` (the first that blocked), ``reason`` and ``allowed`` to each query text."""
-    judged = df.withColumn("_verdict", _let(_outcome(sql, policy), _verdict))
+    return _judged(df, sql, _guarded(policy))
+
+
+def screen_by_source(df: DataFrame, policies: DataFrame, sql: str = "sql", source: str = "database") -> DataFrame:
+    """``screen_queries`` with each row's policy taken from its source.
+
+    ``policies`` has (source, pii_tables array<string>, allow_star); a NULL
+    source is the shared policy, which holds for sources without one.  Without
+    either no table is guarded.  Of several policies for a source the strictest
+    parts hold together: all tables, and no star unless all allow it.
+    """
+    merged = policies.groupBy("source").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_tables")))).alias("tables"),
+        F.bool_and(F.coalesce("allow_star", F.lit(False))).alias("free"),
+    )
+    lower = F.transform("tables", lambda t: F.lower(t))
+    tables = merged.select("source", F.when(F.col("free"), F.array().cast("array<string>")).otherwise(lower).alias("_guarded"))
+    shared = tables.where("source IS NULL").select("_guarded").scalar()
+    own = tables.where("source IS NOT NULL").withColumnRenamed("source", "_source")
+    joined = lookup_join(df.withColumn("_source", F.col(source)), own, "_source").withColumn("_shared", shared)
+    guarded = F.coalesce("_guarded", "_shared", F.array().cast("array<string>"))
+    judged = _judged(joined, sql, guarded)
+    return judged.select(*[F.col(f"`{c}`") for c in df.columns], "rule", "reason", "allowed")
+
+
+def _judged(df: DataFrame, sql: str, guarded: Column | None) -> DataFrame:
+    judged = df.withColumn("_verdict", _let(_outcome(sql, guarded), _verdict))
     rule, reason = F.col("_verdict.rule"), F.col("_verdict.reason")
     return judged.withColumns({"rule": rule, "reason": reason, "allowed": rule.isNull()}).drop("_verdict")
 

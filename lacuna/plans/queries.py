@@ -494,6 +494,17 @@ def screen_queries(t: Sources) -> DataFrame:
 
 
 
+@query
+def screen_by_source(t: Sources) -> DataFrame:
+    """prod guards contacts, staging allows any star: the same text passes in one and not in the other."""
+    policies = t.spark.createDataFrame(
+        [("prod", ["Contacts"], False), ("staging", ["contacts", "users"], True), (None, ["users"], False)],
+        "source string, pii_tables array<string>, allow_star boolean",
+    )
+    judged = screen.screen_by_source(derived.query_log(_events(t)), policies)
+    return judged.select("query_id", "database", "allowed", "rule", "reason")
+
+
 @query
 def screen_summary(t: Sources) -> DataFrame:
     return screen.screen_summary(_screened(t), "database")
