@@ -107,14 +107,14 @@ def top_reasons(audit: DataFrame) -> DataFrame:
 def outcome_payload(outcomes: DataFrame, name: str = "payload") -> DataFrame:
     """Add the JSON a caller receives for each outcome.
 
-    Blocked and failed queries report why; successful ones their shape, plus
-    ``result_columns`` and ``result_rows`` (a JSON-safe array) when the table
-    has them, and a note if anything was masked.
+    Blocked and failed queries report why; successful ones their shape, their
+    ``result_columns`` when the table has them, and a note if anything was
+    masked.  The rows themselves are a table of their own (``wire_json``).
     """
     c = F.col
     base = [F.lit("ok").alias("status"), c("database")]
     if "result_columns" in outcomes.columns:
-        base += [c("result_columns").alias("columns"), c("result_rows").alias("rows")]
+        base.append(c("result_columns").alias("columns"))
     base += [c("rows").alias("row_count"), c("truncated"), c("redactions")]
     ok = F.when(c("redactions") > 0, json_text(*base, F.lit(MASK_NOTE).alias("note"))).otherwise(json_text(*base))
     failed = json_text(F.lit("error").alias("status"), c("database"), c("error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.nested import literal
-from lacuna.sources.sizing import is_small
 
 # Schemas that hold the system's own tables.
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
@@ -74,45 +73,56 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).orderBy("table_name")
 
 
-# Exact profiles of inputs below this size take one pass.
-ONE_PASS_BYTES_PER_CORE = 128 * 1024
-_PROFILE = "ordinal, column_name, family, nulls, distinct_values, max_length"
+_PROFILE = "ordinal, column_name, family, data_type, nullable, nulls, distinct_values, max_length"
 
 
 def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per column in ordinal order: type family, nulls, distinct values, longest text.
+    """One row per column in ordinal order: family, data type, nullable, nulls, distinct values, longest text.
 
     By default one pass in which distinct values are HyperLogLog estimates,
     merged per task, so that only one row per task moves.
 
-    ``exact=True`` counts them exactly, each column by itself: a columnar file
-    is still read once in total, each value is deduplicated per task before it
-    is shuffled, and no shuffle carries more than one column.  Small inputs
-    take one pass with all columns, which needs fewer tasks.
+    ``exact=True`` counts distinct 128-bit digests: the scan turns every cell
+    into (ordinal, digest), equal ones are combined per task, and one shuffle
+    serves all columns.  No value itself is shuffled.
     """
     frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    distinct = "count(DISTINCT {c})" if exact else "approx_count_distinct({c})"
-    sums: list[list[str]] = []
-    rows: list[list[str]] = []
-    for i, (name, f) in enumerate(zip(df.columns, frame.schema.fields)):
-        c = f.name
-        longest = f"CAST(max(length({c})) AS BIGINT)" if isinstance(f.dataType, T.StringType) else "CAST(NULL AS BIGINT)"
-        sums.append(
-            [
-                f"count(1) - count({c}) AS {c}_nulls",
-                f"{distinct.format(c=c)} AS {c}_distinct",
-                f"{longest} AS {c}_longest",
-            ]
-        )
-        family = literal(type_family(f.dataType))
-        rows.append([f"{i + 1}L", literal(name), family, f"{c}_nulls", f"{c}_distinct", f"{c}_longest"])
-    if exact and not is_small(df, ONE_PASS_BYTES_PER_CORE):
-        parts = [
-            frame.select(f.name).agg(*[F.expr(s) for s in own]).select(rows_from([row], _PROFILE))
-            for f, own, row in zip(frame.schema.fields, sums, rows)
-        ]
-        return _union(parts)
-    return frame.agg(*[F.expr(s) for own in sums for s in own]).select(rows_from(rows, _PROFILE))
+    longest = {f.name: isinstance(f.dataType, T.StringType) for f in frame.schema.fields}
+    told = [
+        [f"{i + 1}L", literal(name), literal(type_family(f.dataType)), literal(f.dataType.simpleString()), str(f.nullable)]
+        for i, (name, f) in enumerate(zip(df.columns, frame.schema.fields))
+    ]
+    if not exact:
+        sums, rows = [], []
+        for entry, c in zip(told, frame.columns):
+            length = f"CAST(max(length({c})) AS BIGINT)" if longest[c] else "CAST(NULL AS BIGINT)"
+            sums += [f"count(1) - count({c}) AS {c}_nulls", f"approx_count_distinct({c}) AS {c}_distinct", f"{length} AS {c}_longest"]
+            rows.append([*entry, f"{c}_nulls", f"{c}_distinct", f"{c}_longest"])
+        return frame.agg(*[F.expr(e) for e in sums]).select(rows_from(rows, _PROFILE))
+    cells = []
+    for i, f in enumerate(frame.schema.fields):
+        c = f"to_json({f.name})" if _holds_map(f.dataType) else f.name  # maps have no hash
+        length = f"length({f.name})" if longest[f.name] else "CAST(NULL AS INT)"
+        cells.append(f"struct({i + 1}L AS ordinal, {f.name} IS NULL AS empty, xxhash64({c}) AS d1, xxhash64(7, {c}) AS d2, {length} AS size)")
+    exploded = frame.select(F.expr(f"inline(array({', '.join(cells)}))"))
+    each = exploded.groupBy("ordinal", "empty", "d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    totals = each.groupBy("ordinal").agg(
+        F.coalesce(F.sum(F.when(F.col("empty"), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count_if(~F.col("empty")).alias("distinct_values"),
+        F.max("size").cast("bigint").alias("max_length"),
+    )
+    names = frame.sparkSession.range(1).select(rows_from(told, "ordinal, column_name, family, data_type, nullable"))
+    joined = names.join(totals, "ordinal", "left")
+    filled = joined.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("nulls", "distinct_values")})
+    return filled.select(*_PROFILE.split(", "))
+
+
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.MapType):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return _holds_map(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(_holds_map(f.dataType) for f in dtype.fields)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
@@ -122,12 +132,21 @@ def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> Data
     )
 
 
-def column_catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, ordinal, column_name, filled): every column with its number of non-null cells."""
+def column_catalog(tables: Mapping[str, DataFrame], wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """(table_name, ordinal, column_name, filled): every column with its number of non-null cells.
+
+    ``wanted`` picks columns by name before anything is counted, so that no other is read.
+    """
     parts = []
     for table, df in tables.items():
         frame = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        counted = frame.agg(*[F.expr(f"count({c}) AS {c}") for c in frame.columns])
-        rows = [[literal(table), f"{i + 1}L", literal(c), f"c{i}"] for i, c in enumerate(df.columns)]
+        chosen = [(i, c) for i, c in enumerate(df.columns) if wanted is None or wanted(c)]
+        if not chosen:
+            continue
+        counted = frame.agg(*[F.expr(f"count(c{i}) AS c{i}") for i, _ in chosen])
+        rows = [[literal(table), f"{i + 1}L", literal(c), f"c{i}"] for i, c in chosen]
         parts.append(counted.select(rows_from(rows, "table_name, ordinal, column_name, filled")))
+    if not parts:
+        spark = SparkSession.active()
+        return spark.createDataFrame([], "table_name string, ordinal bigint, column_name string, filled bigint")
     return _union(parts)

@@ -12,7 +12,7 @@ from lacuna.functions.column_rules import hash_token
 from lacuna.functions.nested import holds_text, literal
 from lacuna.functions.patterns import cascade
 from lacuna.operators.catalog import rows_from
-from lacuna.policy import PatternToggles, RedactPolicy
+from lacuna.policy import ColumnRule, PatternToggles, RedactPolicy
 
 # A column is suspicious if its lower-cased name contains one of these.
 NAME_HINTS = (
@@ -49,6 +49,11 @@ def suggested_strategy(column_name: Column) -> Column:
     return F.when(_contains_any(column_name, KEY_HINTS), "hash").otherwise("mask")
 
 
+def looks_personal(column_name: str) -> bool:
+    """The same test on a name at hand, for ``column_catalog``."""
+    return any(h in column_name.lower() for h in NAME_HINTS)
+
+
 def pii_columns_by_name(catalog: DataFrame) -> DataFrame:
     """Rows of ``column_catalog`` whose column name looks personal."""
     return catalog.where(_contains_any(F.col("column_name"), NAME_HINTS))
@@ -151,6 +156,20 @@ def policy_suggestions(catalog: DataFrame, content: DataFrame, threshold: float
     )
 
 
+def suggested_rules(suggestions: DataFrame, keep: int = 4) -> DataFrame:
+    """``policy_suggestions`` as the rule table that ``redact_by_source`` takes, a table being a source."""
+    return suggestions.select(
+        F.col("table_name").alias("source"), F.col("column_name").alias("column"), "strategy", F.lit(keep).alias("keep")
+    )
+
+
+def suggested_policy(suggestions: DataFrame, table: str, salt: str, patterns: PatternToggles | None = None) -> RedactPolicy:
+    """The suggested rules of one table, at most one for each of its columns, as a policy for ``redact``."""
+    own = suggestions.where(F.col("table_name") == table).select("column_name", "strategy").collect()
+    rules = tuple(ColumnRule(r["column_name"], r["strategy"]) for r in sorted(own))
+    return RedactPolicy(rules=rules, patterns=patterns or PatternToggles(), salt=salt)
+
+
 def leak_check(redacted: DataFrame, policy: RedactPolicy, table: str) -> DataFrame:
     """Rescan redacted output: residual hits per column and active pattern, and whether any is left.
 

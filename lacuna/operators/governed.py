@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.column_rules import MASK_TOKEN, hash_token, partial
 from lacuna.functions.patterns import cascade
-from lacuna.functions.wire import wire
 from lacuna.operators.redact import redact, redact_with_hits
 from lacuna.policy import Governance, ReadPolicy, RedactPolicy
 from lacuna.sources.sizing import few_tasks, lookup_join
 
-# A payload carries its rows inside one value; larger reads are written as a table.
-PAYLOAD_MAX_ROWS = 10_000
-
 
 class PolicyViolation(ValueError):
     """A read the policy does not allow."""
@@ -43,6 +43,7 @@ def check_columns(table: str, columns: Sequence[str], policy: ReadPolicy) -> Non
     """A PII table must be read by named columns."""
     starred = not columns or any(c == "*" or c.endswith(".*") for c in columns)
     if starred and not policy.allow_star and policy.is_pii(table):
+        # Fixed value: the wording of the verdict.
         raise PolicyViolation(
             f"SELECT * is not allowed on PII table(s): {table.rsplit('.', 1)[-1].lower()}. "
             "List the columns you need explicitly."
@@ -71,62 +72,80 @@ def governed_select(
     return redact(bounded, policy)
 
 
-def governed_outcome(
-    df: DataFrame,
-    table: str,
-    columns: Sequence[str],
-    read: ReadPolicy,
-    policy: RedactPolicy,
-    database: str,
-    order_by: Sequence[str],
-) -> DataFrame:
-    """One outcome row of a governed read: its shape, its redactions and its JSON-safe rows.
+@dataclass(frozen=True)
+class GovernedResult:
+    """A governed read: one outcome row that ``audit_rows`` and ``outcome_payload`` take, and the redacted rows.
 
-    The rows travel inside the outcome, so the row limit must stay small.
+    ``rows`` is None for a blocked or failed read, else a table in the order asked for.
     """
-    if read.max_rows > PAYLOAD_MAX_ROWS:
-        raise PolicyViolation(f"a payload holds at most {PAYLOAD_MAX_ROWS} rows; write larger reads as a table")
-    check_columns(table, columns, read)
-    names = list(columns or df.columns)
-    # One row past the limit tells whether the read was cut; these few rows are numbered in order.
-    fetched = bounded_read(df, read.max_rows + 1, order_by)
-    numbered = fetched.withColumn(_POSITION, F.row_number().over(Window.orderBy(*order_by)).cast("bigint"))
-    body = redact_with_hits(numbered.select(_POSITION, *names), policy, _HITS)
-    safe = wire(body)
-    cells = F.array(*[_variant(F.col(f"`{n}`"), safe.schema[n].dataType) for n in names])
-    kept = F.col(_POSITION) <= read.max_rows
-    entry = F.when(kept, F.struct(F.col(_POSITION), cells.alias("cells")))
-    return safe.agg(
-        F.collect_list(entry).alias("entries"),
-        F.count_if(kept).cast("bigint").alias("rows"),
-        (F.count(F.lit(1)) > read.max_rows).alias("truncated"),
-        F.coalesce(F.sum(F.when(kept, F.col(_HITS))), F.lit(0)).cast("bigint").alias("redactions"),
-    ).select(
-        F.lit(database).alias("database"),
-        F.array(*[F.lit(n) for n in names]).alias("result_columns"),
-        F.transform(_in_order(F.col("entries")), lambda e: e["cells"]).alias("result_rows"),
-        "rows",
-        "truncated",
-        "redactions",
-        F.lit(None).cast("string").alias("reason"),
-        F.lit(None).cast("string").alias("error"),
-    )
 
+    outcome: DataFrame
+    rows: DataFrame | None
 
-_POSITION, _HITS = "_position", "_hits"
 
+OUTCOME = (
+    "ts timestamp, database string, sql string, reason string, error string, rows bigint, redactions bigint, "
+    "truncated boolean, duration_ms double, result_columns array<string>"
+)
 
-def _variant(c: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_variant_object(c)
-    return c.cast("variant")
 
-
-def _in_order(entries: Column) -> Column:
-    def earlier(a: Column, b: Column) -> Column:
-        return F.when(a[_POSITION] < b[_POSITION], -1).otherwise(1)
-
-    return F.array_sort(entries, earlier)
+def govern(
+    sources: Mapping[str, Mapping[str, DataFrame]],
+    governance: Governance,
+    database: str,
+    table: str,
+    columns: Sequence[str] = (),
+    order_by: Sequence[str] = (),
+) -> GovernedResult:
+    """One governed run: check, read, redact, report.
+
+    ``sources`` has the tables of every database by name.  The limits and the
+    redaction are those of the database.  What the policy forbids gives a
+    *blocked* outcome, what cannot be read (an unknown table or column, a
+    failing source) an *error* one; neither raises.  An unknown database is a
+    caller's mistake and does.
+
+    The outcome is computed at once; it moves one row per task.  The rows are
+    read when they are used, in the order of ``order_by``, which makes the cut
+    the same every time.
+    """
+    read, policy = governance.for_source(database, sources)
+    spark = SparkSession.active()
+    started, now = time.monotonic(), datetime.now(timezone.utc)
+    names = ", ".join(columns) or "*"
+    sql = f"SELECT {names} FROM {table}" + (f" ORDER BY {', '.join(order_by)}" if order_by else "")
+    shape, rows, reason, error = (0, 0, False), None, None, None
+    listed: list[str] = []
+    try:
+        check_columns(table, columns, read)
+        df = sources[database][table]
+        rows = governed_select(df, table, columns, read, policy, order_by)
+        shape = _shape(df, columns, read, policy, order_by)
+        listed = rows.columns
+    except PolicyViolation as e:
+        reason = str(e)
+    except KeyError:
+        error = f"unknown table {table}"
+    except PySparkException as e:
+        rows, error = None, (e.getCondition() or type(e).__name__)
+    taken = (time.monotonic() - started) * 1000
+    outcome = (now, database, sql, reason, error, *shape, taken, listed)
+    return GovernedResult(spark.createDataFrame([outcome], OUTCOME), rows)
+
+
+def _shape(
+    df: DataFrame, columns: Sequence[str], read: ReadPolicy, policy: RedactPolicy, order_by: Sequence[str]
+) -> tuple[int, int, bool]:
+    """(rows, redactions, truncated) of a governed read, from one aggregate."""
+    kept = bounded_read(df, read.max_rows, order_by).select(*(columns or ["*"]))
+    hits = redact_with_hits(kept, policy, _HITS)
+    totals = hits.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_HITS), F.lit(0)).alias("redactions"))
+    cut = bounded_read_flag(df, read.max_rows).select("truncated").scalar()
+    row = totals.withColumn("truncated", cut).first()
+    return row["rows"], row["redactions"], row["truncated"]
+
+
+_HITS = "_hits"
 
 
 def redact_by_source(
@@ -140,22 +159,34 @@ def redact_by_source(
 
     ``rules`` has (source, column, strategy, keep); a NULL source is the shared
     rule, used for every column the row's own source has no rule for.
-    ``columns`` are the governed columns (default: all text columns); they
-    become text.  Patterns run afterwards on the cells that were not hashed.
+    ``columns`` are the governed columns, by default all text columns and every
+    other one that a rule names; they become text.  Strategies are read in any
+    case, and one that is unknown masks.  Of several rules for one column the
+    last by ``position`` holds if ``rules`` has such a column, else the
+    strictest.  Patterns run afterwards on the cells that were not hashed.
 
     The rules shrink to one map per source and are broadcast only if counted
     small; the other way spreads a dominant source over many tasks.
     """
     policy = policy or RedactPolicy()
-    governed = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
-    governed = [c for c in governed if c != source]
+    if columns is None:
+        scalar = {f.name.lower(): f for f in df.schema.fields if not isinstance(f.dataType, T.StringType)}
+        named = rules.select(F.lower("column").alias("name")).where(F.col("name").isin(list(scalar))).distinct()
+        ruled = {r["name"] for r in named.collect()} if scalar else set()  # at most the columns of df
+        columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) or f.name.lower() in ruled]
+    governed = [c for c in columns if c != source]
+    given = F.lower(F.btrim("strategy"))
+    strategy = F.when(given.isin(*_STRICTNESS), given).otherwise("mask")
+    strict = F.coalesce(*[F.when(strategy == n, F.lit(i)) for i, n in enumerate(_STRICTNESS)])
+    weight = F.col("position").cast("bigint") if "position" in rules.columns else strict.cast("bigint")
     slim = rules.select(
         F.col("source").alias("_rule_source"),
         F.lower("column").alias("name"),
-        F.struct("strategy", "keep").alias("rule"),
+        F.struct(weight.alias("weight"), (-F.coalesce("keep", F.lit(4))).alias("less"), strategy.alias("strategy")).alias("rule"),
+    )
+    single = slim.groupBy("_rule_source", "name").agg(F.max("rule").alias("top")).select(
+        "_rule_source", "name", F.struct(F.col("top.strategy").alias("strategy"), (-F.col("top.less")).alias("keep")).alias("rule")
     )
-    # One entry per (source, column); on duplicates the larger (strategy, keep) wins.
-    single = slim.groupBy("_rule_source", "name").agg(F.max("rule").alias("rule"))
     wanted = single.where(F.col("name").isin([c.lower() for c in governed]))
     per_source = wanted.groupBy("_rule_source").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "rule"))).alias("_rules")
@@ -180,14 +211,18 @@ def redact_by_source(
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
+# From the least to the most that a rule hides.
+_STRICTNESS = ("partial", "hash", "mask", "null")
+
+
 def _by_rule(c: Column, rule: Column, policy: RedactPolicy) -> Column:
     strategy, text = rule["strategy"], c.cast("string")
     return (
-        F.when(strategy == "mask", F.when(c.isNotNull(), F.lit(MASK_TOKEN)))
+        F.when(rule.isNull(), text)
         .when(strategy == "null", F.lit(None).cast("string"))
         .when(strategy == "hash", hash_token(text, policy.salt, policy.digits))
         .when(strategy == "partial", partial(text, F.coalesce(rule["keep"], F.lit(4))))
-        .otherwise(text)
+        .when(c.isNotNull(), F.lit(MASK_TOKEN))
     )
 
 

@@ -143,12 +143,34 @@ _PAYLOAD_ROWS = cascade(
       FROM ({CONTACTS}) c ORDER BY contact_id LIMIT 200) b""",
     ("ssn", "note"),
 )
-_CELLS = "[to_json(contact_id), to_json(full_name), coalesce(to_json(email), 'null'::JSON), to_json(ssn), to_json(note)]"
 ORACLES["outcome_payload"] = f"""SELECT CAST(to_json(struct_pack(status := 'ok', database := 'prod',
-    columns := ['contact_id', 'full_name', 'email', 'ssn', 'note'], rows := list({_CELLS} ORDER BY contact_id),
+    columns := ['contact_id', 'full_name', 'email', 'ssn', 'note'],
     row_count := count(*), truncated := (SELECT count(*) > 200 FROM customer),
     redactions := CAST(sum(n_rules + {total(('ssn', 'note'))}) AS BIGINT), note := '{NOTE}')) AS VARCHAR) AS payload
   FROM ({_PAYLOAD_ROWS}) r"""
+ORACLES["outcome_rows"] = f"""SELECT CAST(to_json(struct_pack(contact_id := contact_id, full_name := full_name,
+    email := email, ssn := ssn, note := note)) AS VARCHAR) AS json FROM ({_PAYLOAD_ROWS}) r"""
+
+
+def _governed_rows(database: str, limit: int) -> str:
+    kept = cascade(
+        f"""SELECT {token('email')} AS email, note, CAST(email IS NOT NULL AS BIGINT) AS n_rules
+            FROM (SELECT * FROM ({CONTACTS}) c ORDER BY contact_id LIMIT {limit}) b""",
+        ("note",),
+    )
+    none = "CAST(0 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS redactions, false AS truncated"
+    star = "SELECT * is not allowed on PII table(s): contacts. List the columns you need explicitly."
+    return f"""SELECT '{database}' AS database, 'allowed' AS status,
+      'SELECT contact_id, email, note FROM contacts ORDER BY contact_id' AS sql, CAST(NULL AS VARCHAR) AS reason,
+      CAST(NULL AS VARCHAR) AS error, count(*) AS rows, CAST(sum(n_rules + {total(('note',))}) AS BIGINT) AS redactions,
+      (SELECT count(*) > {limit} FROM customer) AS truncated FROM ({kept}) k
+    UNION ALL SELECT '{database}', 'blocked', 'SELECT * FROM contacts', '{star}', NULL, {none}
+    UNION ALL SELECT '{database}', 'error', 'SELECT contact_id, no_such_column FROM contacts', NULL,
+      'UNRESOLVED_COLUMN.WITH_SUGGESTION', {none}
+    UNION ALL SELECT '{database}', 'error', 'SELECT id FROM visits', NULL, 'unknown table visits', {none}"""
+
+
+ORACLES["governed_audit"] = " UNION ALL ".join(_governed_rows(d, n) for d, n in (("prod", 40), ("staging", 120)))
 _SHAPE = (
     "status := 'ok', database := database, row_count := rows, truncated := truncated, redactions := redactions"
 )
@@ -233,19 +255,30 @@ ORACLES["table_inventory"] = " UNION ALL ".join(
 )
 
 
+# The names of this engine's types in the other's schema text.
+_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "TIMESTAMP": "timestamp_ntz",
+    "FLOAT[]": "array<float>",
+}
+
+
 def _profile(t: str, i: int, c: str, family: str) -> str:
     longest = f"CAST(max(length({c})) AS BIGINT)" if family == "text" else "CAST(NULL AS BIGINT)"
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPES.items())
+    kind = f"(SELECT CASE column_type {names} END FROM (DESCRIBE {t}) WHERE column_name = '{c}')"
     return (
         f"SELECT '{t}' AS table_name, CAST({i} AS BIGINT) AS ordinal, '{c}' AS column_name, '{family}' AS family, "
+        f"{kind} AS data_type, true AS nullable, "
         f"count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values, {longest} AS max_length FROM {t}"
     )
 
 
 ORACLES["column_profile"] = " UNION ALL ".join(
-    _profile(t, i, c, family)
-    for t, cols in SCHEMAS.items()
-    if t != "embeddings"
-    for i, (c, family) in enumerate(cols.items(), 1)
+    _profile(t, i, c, family) for t, cols in SCHEMAS.items() for i, (c, family) in enumerate(cols.items(), 1)
 )
 
 # ------------------------------------------------------------- column rules
@@ -453,21 +486,18 @@ def _content(t: str, source: str, columns: Sequence[str]) -> str:
 
 
 _TEXT_OF = {
-    "documents": ("text", "lang", "source"),
-    "pages": ("url", "html"),
-    "conversations": ("role", "text"),
-    "benchmark": ("text",),
+    t: found for t, cols in SCHEMAS.items() if (found := tuple(c for c, family in cols.items() if family == "text"))
 }
 _CONTACT_TEXT = ("full_name", "email", "phone", "ssn", "card", "ip", "note", "source")
 _SHARE = "CASE WHEN scanned > 0 THEN rows_hit / scanned ELSE 0 END AS share"
 _CONTENT_ALL = " UNION ALL ".join(
-    [f"SELECT * FROM {_content(t, f'SELECT * FROM {t}', _TEXT_OF[t])} x" for t in TEXT_TABLES]
+    [f"SELECT * FROM {_content(t, f'SELECT * FROM {t}', _TEXT_OF[t])} x" for t in _TEXT_OF]
     + [f"SELECT * FROM {_content('contacts', CONTACTS, _CONTACT_TEXT)} x"]
 )
 ORACLES["pii_content_profile"] = f"SELECT *, {_SHARE} FROM ({_CONTENT_ALL}) a"
 _SMALL_CATALOG = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name"
-    for t, cols in {**{t: SCHEMAS[t] for t in TEXT_TABLES}, "contacts": CONTACT_SCHEMA}.items()
+    for t, cols in {**SCHEMAS, "contacts": CONTACT_SCHEMA}.items()
     for c in cols
 )
 ORACLES["pii_policy_suggestions"] = f"""SELECT coalesce(n.table_name, c.table_name) AS table_name,
@@ -480,6 +510,15 @@ ORACLES["pii_policy_suggestions"] = f"""SELECT coalesce(n.table_name, c.table_na
     FROM ({ORACLES['pii_content_profile']}) p GROUP BY ALL HAVING max(share) >= 0.02) c
   ON n.table_name = c.table_name AND n.column_name = c.column_name"""
 
+# The suggestions for contacts, by construction: named columns and those full of hits; keys get a hash.
+_SUGGESTED = cascade(
+    f"""SELECT contact_id, CASE WHEN full_name IS NOT NULL THEN '[redacted]' END AS full_name, {token('email')} AS email,
+        '[redacted]' AS phone, '[redacted]' AS ssn, '[redacted]' AS card, '[redacted]' AS ip, '[redacted]' AS note,
+        nationkey, source FROM ({CONTACTS}) c""",
+    ("source",),
+)
+ORACLES["suggested_redaction"] = f"SELECT {CONTACT_COLUMNS} FROM ({_SUGGESTED}) s"
+
 # ---------------------------------------------------------- audit analytics
 
 ORACLES["audit_status"] = f"SELECT query_id, {_STATUS} AS status FROM ({OUTCOMES}) o"
@@ -502,8 +541,8 @@ ORACLES["audit_stream_windowed"] = f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') A
 _BY_SOURCE = cascade(
     f"""SELECT contact_id, full_name,
       CASE WHEN source = 'prod' THEN {token('email')} ELSE {partial('email', 6)} END AS email,
-      CASE WHEN source = 'prod' THEN NULL ELSE '[redacted]' END AS phone,
-      '[redacted]' AS ssn, card, ip, note, nationkey, source FROM ({CONTACTS}) c""",
+      CASE WHEN source = 'prod' THEN NULL ELSE '[redacted]' END AS phone, '[redacted]' AS ssn, card, ip, note,
+      CASE WHEN source = 'prod' THEN CAST(nationkey AS VARCHAR) ELSE '[redacted]' END AS nationkey, source FROM ({CONTACTS}) c""",
     ("full_name", "card", "ip", "note"),
 )
 ORACLES["redact_by_source"] = f"SELECT {CONTACT_COLUMNS} FROM ({_BY_SOURCE}) b"
@@ -518,7 +557,10 @@ _RESCANNED = ("full_name", "phone", "ssn", "card", "ip", "note", "source")
 _LEAKS = " UNION ALL ".join(
     [
         f"SELECT * FROM {_content('contacts', f'SELECT {CONTACT_COLUMNS} FROM ({FULL}) f', _RESCANNED)} x",
-        f"SELECT * FROM {_content('documents', f'SELECT text, lang, source FROM ({_DOCS}) d', _TEXT_OF['documents'])} x",
+    ]
+    + [
+        f"SELECT * FROM {_content(t, cascade(f'SELECT {", ".join(_TEXT_OF[t])} FROM {t}', _TEXT_OF[t]), _TEXT_OF[t])} x"
+        for t in TEXT_TABLES
     ]
 )
 ORACLES["leak_check"] = f"""SELECT table_name, column_name, pattern, scanned, hits, hits > 0 AS leaked

@@ -56,6 +56,7 @@ TABLES = (
     "conversations",
 )
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+NO_TEXT = ("embeddings", "labels")
 PII_TABLES = ("contacts", "users")
 SALT = "pepper"
 ALL = PatternToggles.all()
@@ -126,16 +127,41 @@ def wire_values(t: Sources) -> DataFrame:
 
 @query
 def outcome_payload(t: Sources) -> DataFrame:
-    outcome = governed.governed_outcome(
-        _contacts(t),
-        "contacts",
-        ["contact_id", "full_name", "email", "ssn", "note"],
-        ReadPolicy(pii_tables=PII_TABLES, max_rows=200),
-        CONTACT_POLICY,
-        database="prod",
-        order_by=["contact_id"],
+    return audits.outcome_payload(_governed_contacts(t).outcome).select("payload")
+
+
+@query
+def outcome_rows(t: Sources) -> DataFrame:
+    """The rows that go with the payload, each as JSON."""
+    return wire.wire_json(_governed_contacts(t).rows)
+
+
+def _governed_contacts(t: Sources) -> governed.GovernedResult:
+    governance = Governance(read=ReadPolicy(pii_tables=PII_TABLES, max_rows=200), redact=CONTACT_POLICY)
+    columns = ["contact_id", "full_name", "email", "ssn", "note"]
+    return governed.govern({"prod": {"contacts": _contacts(t)}}, governance, "prod", "contacts", columns, ["contact_id"])
+
+
+@query
+def governed_audit(t: Sources) -> DataFrame:
+    """Audit rows of allowed, blocked and failed reads of two sources with limits of their own."""
+    governance = Governance(
+        read=ReadPolicy(pii_tables=PII_TABLES, max_rows=120),
+        redact=CONTACT_POLICY,
+        overrides={"prod": {"read": {"max_rows": 40}}},
     )
-    return audits.outcome_payload(outcome).select("payload")
+    tables = {"contacts": _contacts(t), "orders": t["orders"]}
+    sources = {"prod": tables, "staging": tables}
+    runs = []
+    for database in sources:
+        runs += [
+            governed.govern(sources, governance, database, "contacts", ["contact_id", "email", "note"], ["contact_id"]),
+            governed.govern(sources, governance, database, "contacts", ["*"]),
+            governed.govern(sources, governance, database, "contacts", ["contact_id", "no_such_column"]),
+            governed.govern(sources, governance, database, "visits", ["id"]),
+        ]
+    rows = audits.audit_rows(reduce(DataFrame.unionAll, [r.outcome.drop("result_columns") for r in runs]))
+    return rows.drop("ts", "duration_ms")
 
 
 @query
@@ -185,7 +211,7 @@ def table_inventory(t: Sources) -> DataFrame:
 
 @query
 def column_profile(t: Sources) -> DataFrame:
-    return catalog.profile_tables({n: df for n, df in t.frames().items() if n != "embeddings"}, exact=True)
+    return catalog.profile_tables({n: spread_small(df) for n, df in t.frames().items()}, exact=True)
 
 
 # ------------------------------------------------------------ column rules
@@ -527,7 +553,7 @@ def governed_select(t: Sources) -> DataFrame:
 
 
 def _catalog(t: Sources) -> DataFrame:
-    return catalog.column_catalog({**t.frames(), "contacts": _contacts(t)})
+    return catalog.column_catalog({**t.frames(), "contacts": _contacts(t)}, discover.looks_personal)
 
 
 @query
@@ -546,7 +572,7 @@ def pii_tables(t: Sources) -> DataFrame:
 
 
 def _content(t: Sources) -> DataFrame:
-    frames = {n: spread_small(t[n]) for n in TEXT_TABLES}
+    frames = {n: spread_small(t[n]) for n in TABLES if n not in NO_TEXT}
     return discover.profile_content({**frames, "contacts": _contacts(t)})
 
 
@@ -557,8 +583,18 @@ def pii_content_profile(t: Sources) -> DataFrame:
 
 @query
 def pii_policy_suggestions(t: Sources) -> DataFrame:
-    frames = {**t.frames(TEXT_TABLES), "contacts": _contacts(t)}
-    return discover.policy_suggestions(catalog.column_catalog(frames), _content(t), threshold=0.02)
+    return discover.policy_suggestions(_catalog(t), _content(t), threshold=0.02)
+
+
+@query
+def suggested_redaction(t: Sources) -> DataFrame:
+    """Contacts redacted by the policy that their own profile suggests."""
+    suggestions = discover.policy_suggestions(
+        catalog.column_catalog({"contacts": _contacts(t)}, discover.looks_personal),
+        discover.content_profile(_contacts(t), "contacts"),
+        threshold=0.02,
+    )
+    return redact(_contacts(t), discover.suggested_policy(suggestions, "contacts", SALT, ALL))
 
 
 # ---------------------------------------------------------- audit analytics
@@ -613,23 +649,21 @@ def audit_stream_windowed(t: Sources) -> DataFrame:
 
 
 def source_rules(t: Sources) -> DataFrame:
-    """Per-source column rules derived from the sources that occur in ``contacts``.
+    """Per-source column rules as a policy table.
 
-    prod hashes the e-mail and hides the phone, staging shows parts of them;
-    the shared rule (NULL source) masks the SSN everywhere.
+    prod hashes the e-mail and drops the phone, staging shows a part of the
+    e-mail and masks the rest; the stricter shared rule hides the SSN everywhere.
     """
-    seen = _contacts(t).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    own = seen.selectExpr(
-        "source",
-        """stack(2,
-            'EMAIL', CASE WHEN source = 'prod' THEN 'hash' ELSE 'partial' END, 6,
-            'phone', CASE WHEN source = 'prod' THEN 'null' ELSE 'mask' END, 4
-        ) AS (column, strategy, keep)""",
-    )
-    shared = seen.groupBy().agg(F.max("n").alias("n")).selectExpr(
-        "CAST(NULL AS STRING) AS source", "'ssn' AS column", "'mask' AS strategy", "4 AS keep"
-    )
-    return own.unionByName(shared)
+    rules = [
+        ("prod", "EMAIL", "hash", None),
+        ("prod", "phone", "NULL", None),
+        ("staging", "email", "partial", 6),
+        ("staging", "phone", "no such strategy", None),
+        ("staging", "nationkey", "mask", None),
+        (None, "ssn", "mask", None),
+        (None, "ssn", "partial", 4),
+    ]
+    return t.spark.createDataFrame(rules, "source string, column string, strategy string, keep int")
 
 
 @query
@@ -658,8 +692,8 @@ def multi_source_redact(t: Sources) -> DataFrame:
 def leak_check(t: Sources) -> DataFrame:
     docs = RedactPolicy(patterns=ALL)
     c = discover.leak_check(redact(_contacts(t), CONTACT_POLICY), CONTACT_POLICY, "contacts")
-    d = discover.leak_check(redact(_documents(t, "lang", "source"), docs), docs, "documents")
-    return c.unionAll(d)
+    texts = [discover.leak_check(redact(spread_small(t[n]), docs), docs, n) for n in TEXT_TABLES]
+    return reduce(DataFrame.unionAll, [c, *texts])
 
 
 @query

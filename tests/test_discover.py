@@ -45,6 +45,28 @@ def test_policy_suggestions(spark):
     }
 
 
+def test_suggestions_can_be_applied(spark):
+    frames = tables(spark)
+    named = catalog.column_catalog(frames, discover.looks_personal)
+    assert named.count() == 2
+    got = discover.policy_suggestions(named, discover.profile_content(frames), 0.3)
+    policy = discover.suggested_policy(got, "users", "s")
+    assert {(r.column, r.strategy) for r in policy.rules} == {("Email", "hash"), ("comment", "mask")}
+    assert {tuple(r) for r in discover.suggested_rules(got).where("source = 'stock'").collect()} == {("stock", "capacity", "mask", 4)}
+
+
+def test_exact_profile_has_types_and_counts(spark):
+    df = spark.createDataFrame([(1, "a", {"k": 1}, [1.0]), (1, None, {"k": 1}, None)], "a int, b string, c map<string,int>, d array<float>")
+    rows = catalog.column_profile(df, exact=True).orderBy("ordinal").collect()
+    assert [(r.data_type, r.nulls, r.distinct_values, r.max_length) for r in rows] == [
+        ("int", 0, 1, None), ("string", 1, 1, 1), ("map<string,int>", 0, 1, None), ("array<float>", 1, 1, None),
+    ]
+    none = catalog.column_profile(df.limit(0), exact=True).collect()
+    assert len(none) == 4 and {(r.nulls, r.distinct_values, r.max_length) for r in none} == {(0, 0, None)}
+    about = catalog.column_profile(df).orderBy("ordinal").collect()
+    assert [(r.family, r.nulls) for r in about][:2] == [("integer", 0), ("text", 1)]
+
+
 def test_leak_check_finds_what_one_pass_leaves(spark):
     """A card next to a phone number: the cascade's one pass sees one long digit run first."""
     text = "4111111111111111 415-555-2671"
@@ -65,14 +87,11 @@ def test_join_integrity_reports_collisions(spark):
     assert short.tokens <= 16 and short.collisions > 0 and short.extra_pairs > 0 and short.lost_pairs == 0
 
 
-def test_inventory_and_profile(spark, monkeypatch):
+def test_inventory_and_profile(spark):
     frames = tables(spark)
     rows = [tuple(r) for r in catalog.table_inventory({**frames, "pg_catalog.x": frames["users"]}).collect()]
     assert rows == [("stock", 2, 1), ("users", 3, 2)]
-    one_pass = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
-    monkeypatch.setattr(catalog, "ONE_PASS_BYTES_PER_CORE", -1)
     exact = catalog.column_profile(frames["users"], exact=True).orderBy("ordinal").collect()
-    assert exact == one_pass
     exact = {r.column_name: r for r in exact}
     assert (exact["Email"].nulls, exact["Email"].distinct_values, exact["Email"].max_length) == (1, 1, 7)
     assert exact["uid"].max_length is None and exact["uid"].family == "integer"

@@ -40,16 +40,39 @@ def test_bounded_read(spark, limit, rows, cut):
     assert governed.bounded_read(people(spark), limit, ["id"]).count() == rows
 
 
-def test_outcome_payload_has_rows_in_order(spark):
-    outcome = governed.governed_outcome(
-        people(spark, 5), "contacts", ["id", "email", "note"], READ, POLICY, "prod", [F.desc("id")]
-    )
-    payload = json.loads(audit.outcome_payload(outcome).first().payload)
-    assert list(payload) == ["status", "database", "columns", "rows", "row_count", "truncated", "redactions", "note"]
-    assert [r[0] for r in payload["rows"]] == [4, 3, 2] and payload["rows"][0][2] == "call [phone]"
+GOVERNANCE = Governance(read=READ, redact=POLICY, overrides={"dev": {"read": {"max_rows": 9, "allow_star": True}}})
+
+
+def test_one_call_governs_and_reports(spark):
+    tables = {"contacts": people(spark)}
+    sources = {"prod": tables, "dev": tables}
+    run = governed.govern(sources, GOVERNANCE, "prod", "contacts", ["id", "email", "note"], ["id"])
+    assert [r.id for r in run.rows.collect()] == [0, 1, 2] and run.rows.first().note == "call [phone]"
+    payload = json.loads(audit.outcome_payload(run.outcome).first().payload)
+    assert list(payload) == ["status", "database", "columns", "row_count", "truncated", "redactions", "note"]
     assert (payload["row_count"], payload["truncated"], payload["redactions"]) == (3, True, 6)
-    with pytest.raises(governed.PolicyViolation, match="at most"):
-        governed.governed_outcome(people(spark), "t", ["id"], ReadPolicy(max_rows=10**6), POLICY, "prod", ["id"])
+    row = audit.audit_rows(run.outcome).first()
+    assert row.status == "allowed" and row.sql == "SELECT id, email, note FROM contacts ORDER BY id" and row.duration_ms > 0
+
+    blocked = governed.govern(sources, GOVERNANCE, "prod", "contacts")
+    assert blocked.rows is None and "contacts" in blocked.outcome.first().reason
+    free = governed.govern(sources, GOVERNANCE, "dev", "contacts")  # its own limits
+    assert (free.outcome.first().rows, free.outcome.first().truncated, free.rows.count()) == (5, False, 5)
+    for table, columns in (("nope", ["id"]), ("contacts", ["nope"])):
+        failed = governed.govern(sources, GOVERNANCE, "prod", table, columns)
+        assert failed.rows is None and failed.outcome.first().error and failed.outcome.first().reason is None
+    with pytest.raises(KeyError, match="registered"):
+        governed.govern(sources, GOVERNANCE, "nope", "contacts", ["id"])
+
+
+def test_row_level_policy_never_fails_open(spark):
+    df = spark.createDataFrame([("a", "x", 5), ("b", "y", 6)], "src string, note string, age int")
+    rules = [("a", "note", " MASK ", 4), ("b", "note", "scramble", None), (None, "age", "null", None), (None, "age", "partial", 1)]
+    listed = spark.createDataFrame(rules, "source string, column string, strategy string, keep int")
+    rows = governed.redact_by_source(df, "src", listed).collect()
+    assert [(r.note, r.age) for r in rows] == [("[redacted]", None)] * 2
+    last = listed.withColumn("position", F.monotonically_increasing_id())
+    assert [r.age for r in governed.redact_by_source(df, "src", last).collect()] == ["*", "*"]
 
 
 def source_data(spark):
