@@ -25,6 +25,8 @@ DIVISOR = 4
 #: A run of repeated chunks is removed if it has so many words and lines at least.
 MIN_WORDS = 30
 MIN_LINES = 2
+#: So many hashes of repeated chunks, 16 bytes each, are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = np.isin(np.arange(256), list(b".!?"))
 
@@ -141,8 +143,11 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     table = materialise(_chunk_table(bare), "line-chunks")
     where = F.struct("id", "mark", "place")
     hashes = ["h1", "h2"]
-    many = table.groupBy(hashes).agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last")
-    met = table.join(many.select(*hashes, "first"), hashes).withColumn("later", F.struct("id", "mark", "place") != F.col("first"))
+    many = materialise(table.groupBy(hashes).count().where("count > 1").select(hashes), "line-repeated")
+    few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = materialise(table.join(F.broadcast(many) if few else many, hashes), "line-met")
+    first = met.groupBy(hashes).agg(F.min(where).alias("first"))
+    met = met.join(first, hashes).withColumn("later", where != F.col("first"))
     entry = F.struct("place", "h1", "h2", "later")
     marked = met.select("id", "mark", entry.alias("entry")).distinct().groupBy("id", "mark").agg(F.collect_list("entry").alias("_repeated"))
     joined = keyed.join(marked.toDF("_id2", "_mark2", "_repeated"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_mark") == F.col("_mark2")), "left")
