@@ -24,7 +24,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_url_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(list(URL_RULES), "verdict string, host string, path string")
+    listed = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {listed} AS rules(verdict, host, path)")
     pages = _table(spark, folder, "pages").select("page_id", "url")
     return urlrules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
