@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontaminate, jaccard, langid, linededup, packing
-from lacuna.llm.common import held_out, materialise
+from lacuna.llm.common import bounded_batches, held_out, materialise
 from lacuna.llm.queries import END_ID, TOKENIZER
 
 #: A document is rejected if its best language has less than this share of its n-grams.
@@ -15,6 +15,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that was recognised; those without a letter or mostly of unknown n-grams go."""
+    bounded_batches(spark)
     model = langid.fit(docs.where(~held_out(F.col("doc_id"), 4, 2)))
     judged = langid.predict(docs, model)
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
@@ -23,6 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated passages; those with no word left go.  ``n_chars`` follows the text."""
+    bounded_batches(spark)
     result = linededup.remove_repeated(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return result.withColumn("n_chars", changed).select(docs.columns)
@@ -30,6 +32,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked ones: that with the smallest id; of rows equal in id and text, one."""
+    bounded_batches(spark)
     classes = jaccard.jaccard_components(docs)
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     best = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
@@ -38,12 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
+    bounded_batches(spark)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(~decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
+    bounded_batches(spark)
     return packing.pack(docs, TOKENIZER, END_ID)
 
 

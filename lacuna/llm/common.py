@@ -6,6 +6,7 @@ import sys
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -40,6 +41,26 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While jobs run inside, Arrow batches have so many rows at most, which bounds the memory of long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """From now on the session's Arrow batches have so many rows at most: whole texts take memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    if before <= 0 or before > rows:
+        spark.conf.set(name, str(rows))
+
+
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """True for rows that no model may learn from; a null key counts as held out."""
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(True))

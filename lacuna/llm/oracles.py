@@ -89,8 +89,11 @@ def _jaccard() -> str:
 def _line_quality() -> str:
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{BLANKS}') AS w FROM documents),
-    place AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5),
-    win AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, w[k : k + 4]) AS c FROM place),
+    word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+    place AS (
+      SELECT doc_id, k, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS g
+      FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+    win AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM place WHERE g IS NOT NULL),
     rep AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS spot FROM win WHERE c > 1) GROUP BY doc_id),
     line AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS raw FROM d),
     real_line AS (SELECT *, regexp_extract_all({_low('raw')}, '{BLANKS}') AS lw FROM line WHERE regexp_matches(raw, '{BLANKS}')),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontaminate, jaccard, langid, linededup, linequality, packing, puquality, sharding, urlrules, warc
-from lacuna.llm.common import held_out
+from lacuna.llm.common import bounded_batches, held_out
 from lacuna.llm.oracles import ORACLES, URL_RULES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -20,6 +20,7 @@ SHARDS = 40
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     revisit it; equal payloads are those with equal SHA-1.  Smaller payloads are responses always.  A row that repeats
     the largest id is a response too.  A null payload is empty; a null id is smaller than all and null when read back;
     a null URL has no target and an empty key.  ``captured`` names a column of epoch seconds, 0 where null; without one
-    the captures are numbered by id.  An empty table gives no records.
+    the times are drawn from a hash of the id.  An empty table gives no records.
 
     A task that is run again writes new files, and only the files that the runs name count.  The payloads are shuffled
     only if too many different ones repeat to broadcast their digests.

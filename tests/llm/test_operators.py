@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import LONG  # noqa: F401
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontaminate, graph, jaccard, langid, linededup, linequality, packing, puquality, sharding, urlrules, warc
