@@ -1,8 +1,8 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
-A text is cut into logical lines: at line breaks and, inside a line, after sentences, so that a paragraph is several
-lines.  A rolling hash over the hashes of neighbouring lines decides where chunks end, so the chunks of a passage are
-the same wherever it stands.  Where a paragraph (a physical line of several sentences) begins or ends, a chunk ends too,
+A text is cut into logical lines: at line breaks and, inside a line, after sentences and after every 16 words of a long
+one, so that a paragraph is several lines.  A rolling hash over the hashes of neighbouring lines decides where chunks end, so the chunks of a passage are
+the same wherever it stands.  Where a paragraph (a physical line of several logical ones) begins or ends, a chunk ends too,
 and the rolling hash starts anew.  Chunks whose hash occurs more than once in the corpus are compared by their bytes;
 every occurrence but the first goes, if it is part of a run of repeated lines that is long enough.
 """
@@ -25,7 +25,9 @@ DIVISOR = 4
 #: A run of repeated chunks is removed if it has so many words and lines at least.
 MIN_WORDS = 30
 MIN_LINES = 2
-#: So many hashes of repeated chunks, 16 bytes each, are broadcast at most.
+#: A sentence is wrapped after so many words, so that a long one is several lines.
+WRAP = 16
+#: So many hashes of repeated chunks, 8 bytes each, are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STOP = np.isin(np.arange(256), list(b".!?"))
@@ -42,6 +44,8 @@ def logical_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     row = np.cumsum(code == 10)[first]
     new = np.ones(len(first), bool)
     new[1:] = (row[1:] != row[:-1]) | STOP[code[last[:-1] - 1]]
+    place = np.arange(len(first))
+    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % WRAP == 0
     at = np.flatnonzero(new)
     return first[at], last[np.append(at[1:], len(first)) - 1], np.diff(np.append(at, len(first))), row[at]
 
@@ -143,9 +147,10 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     table = materialise(_chunk_table(bare), "line-chunks")
     where = F.struct("id", "mark", "place")
     hashes = ["h1", "h2"]
-    many = materialise(table.groupBy(hashes).count().where("count > 1").select(hashes), "line-repeated")
+    # Half of the hash finds what may repeat; a chunk that only shares that half turns out to be its own first occurrence.
+    many = materialise(table.groupBy("h1").count().where("count > 1").select("h1"), "line-repeated")
     few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = materialise(table.join(F.broadcast(many) if few else many, hashes), "line-met")
+    met = materialise(table.join(F.broadcast(many) if few else many, "h1"), "line-met")
     first = met.groupBy(hashes).agg(F.min(where).alias("first"))
     met = met.join(first, hashes).withColumn("later", where != F.col("first"))
     entry = F.struct("place", "h1", "h2", "later")
