@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import materialise, ship_by_value
+from lacuna.llm.common import arrow_rows, materialise, ship_by_value
 from lacuna.llm.graph import components
 
 ship_by_value(__name__)
@@ -32,12 +33,16 @@ ship_by_value(__name__)
 BUCKETS = 1 << 20
 COUNT_BLOCKS = 32
 FAN_IN = 256
-#: Parts of the hash range whose counts the suffix filter compares.
-PARTS = 16
+#: Parts of the hash range whose counts the suffix filter compares, as a power of two.
+PARTS_BITS = 6
 #: Texts are shingled so many bytes at a time.
-SLICE_BYTES = 4_000_000
-#: So many node keys are broadcast at most, 16 bytes each.
-BROADCAST_ROWS = 1_000_000
+SLICE_BYTES = 1_000_000
+#: And reach the workers in batches of so many rows.
+BATCH_ROWS = 1_000
+#: Tables of a few numbers a row are broadcast up to so many rows, which are counted first.
+BROADCAST_ROWS = 200_000
+#: So many pairs of a node are compared in one place.
+PAIRS_PER_PLACE = 256
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 M64 = 0xFFFFFFFFFFFFFFFF
 
@@ -174,64 +179,102 @@ def _prefixes(docs: DataFrame, size: int, percent: int, rank) -> DataFrame:
                     rows.append(k)
                     marks.append((b - a, *signature(own)))
                     prefix.append(own[order].view(np.int64))
-                    parts.append(np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=PARTS))
+                    parts.append(np.minimum(np.bincount((own >> np.uint64(64 - PARTS_BITS)).astype(np.int64), minlength=1 << PARTS_BITS), 32767).astype(np.int16))
                 if rows:
                     columns = [
                         batch.column(0).slice(at, len(texts)).take(pa.array(rows)), pa.array([m[0] for m in marks], pa.int32()), pa.array([m[1] for m in marks], pa.int64()),
-                        pa.array([m[2] for m in marks], pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32())),
+                        pa.array([m[2] for m in marks], pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int16())),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "prefix", "parts"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n int, s1 long, s2 int, prefix array<long>, parts array<int>")
+    return docs.mapInArrow(run, f"id {id_type}, n int, s1 long, s2 int, prefix array<long>, parts array<short>")
+
+
+def _reaches(common: Column, n: Column, percent: int) -> Column:
+    """100 common >= percent (n - common), n being both sizes together."""
+    return (100 + percent) * common >= percent * n
 
 
 def _may_reach(percent: int) -> Column:
-    """Length, positional and suffix filter on a pair of rows ``l`` and ``r`` that share a shingle at their positions.
+    """Length and positional filter on rows ``l`` and ``r`` that share a shingle at their positions.
 
-    Needed: 100 common >= percent (nl + nr - common).  Before the shared shingle the sets have at most the smaller
-    position in common, behind it the smaller rest; and in each part of the hash range the smaller count.
+    Before the shared shingle the sets have at most the smaller position in common, behind it the smaller rest.
     """
+    by_place = F.least("l.pos", "r.pos") + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
     n = F.col("l.n") + F.col("r.n")
-    reaches = lambda common: (100 + percent) * common >= percent * n
-    by_place = F.least("l.pos", "r.pos") + 1 + F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) - 1
-    by_part = F.aggregate(F.zip_with("l.parts", "r.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    return reaches(F.least("l.n", "r.n")) & reaches(by_place) & reaches(by_part)
+    return _reaches(F.least("l.n", "r.n"), n, percent) & _reaches(by_place, n, percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def _suffix_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose counts per part of the hash range allow the threshold: in each part the smaller count is common at most.
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # merges two sorted runs
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+    A count of 32767 may stand for more, so it bounds nothing.
+    """
+    hub, member = (prefixes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("parts").alias(f"{k}_parts")) for k in ("hub", "member"))
+    smaller = lambda x, y: F.when(F.least(x, y) == 32767, 1 << 30).otherwise(F.least(x, y).cast("int"))
+    common = F.aggregate(F.zip_with("hub_parts", "member_parts", smaller), F.lit(0).cast("long"), lambda total, x: total + x)
+    joined = pairs.join(hub, "hub").join(member, "member")
+    return joined.where(_reaches(common, F.col("hub_n") + F.col("member_n"), percent)).select("hub", "member")
 
-    rows = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(run, "a long, b long")
 
+def _broadcast_if_small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the given nodes (node, min_id, s1, s2), from the texts of their representatives."""
-    bounded = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(nodes) if bounded else nodes, F.col("id").eqNullSafe(F.col("min_id"))).select("text", "node", "s1", "s2")
 
-    def run(batches):
-        for batch in batches:
-            for at, texts in sliced(batch.column(0)):
-                value, bound = shingle_sets(texts, size)
-                own = [value[a:b] for a, b in zip(bound[:-1], bound[1:])]
-                wanted = zip(batch.column(2).slice(at, len(texts)).to_pylist(), batch.column(3).slice(at, len(texts)).to_pylist())
-                keep = [k for k, mark in enumerate(wanted) if signature(own[k]) == mark]
-                nodes = batch.column(1).slice(at, len(texts)).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array([own[k].tobytes() for k in keep], pa.binary())], names=["node", "set"])
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (hub, member) whose whole sets reach the threshold, as (a, b).
 
-    return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
+    The text of a member goes, compressed, to where its hub is compared.  A hub with many pairs is compared in several
+    places, each of which gets its text.
+    """
+    places = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_PLACE).alias("places"))
+    placed = pairs.join(places, "hub").withColumn("place", F.pmod(F.xxhash64("member"), F.col("places")))
+    members = placed.select("hub", "place", F.col("member").alias("node"), F.lit(1).alias("role"))
+    hubs = places.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.col("hub").alias("node"), F.lit(0).alias("role"))
+    wanted = hubs.unionByName(members).join(nodes.select("node", "min_id", "s1", "s2"), "node")
+    wanted = materialise(wanted, "jaccard-wanted")
+    rows = docs.join(_broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("min_id"))).select("text", "hub", "place", "role", "node", "s1", "s2")
+
+    def send(batches):
+        packer, last = zstandard.ZstdCompressor(1), (None, None)
+        for batch in batches:
+            packed = []
+            for text, node in zip(batch.column(0), batch.column(4).to_pylist()):
+                if node != last[0]:
+                    last = (node, packer.compress(text.as_buffer().to_pybytes()))
+                packed.append(last[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], names=["hub", "place", "role", "node", "s1", "s2", "packed"])
+
+    def compare(batches):
+        opener, own, at = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64), None
+        for batch in batches:
+            found = []
+            # Texts of one id are told apart by the signature; rows that repeat give the same links again.
+            marks = list(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5)]))
+            for start in range(0, len(marks), 512):
+                part = marks[start : start + 512]
+                texts = pa.array([opener.decompress(x) for x in batch.column(6).slice(start, 512).to_pylist()], pa.binary()).cast(pa.string(), safe=False)
+                for first, held in sliced(texts):
+                    value, bound = shingle_sets(held, size)
+                    for k in range(len(held)):
+                        hub, place, role, node, s1, s2 = part[first + k]
+                        mine = value[bound[k] : bound[k + 1]]
+                        if signature(mine) != (s1, s2):
+                            continue
+                        if role == 0:
+                            own, at = mine, (hub, place)
+                        elif at == (hub, place):
+                            both = np.concatenate([own, mine])
+                            both.sort(kind="stable")  # merges two sorted runs
+                            common = int(np.count_nonzero(both[1:] == both[:-1]))
+                            if 100 * common >= percent * (len(both) - common):
+                                found.append((hub, node))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    schema = "hub long, place long, role int, node long, s1 long, s2 int, packed binary"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = rows.mapInArrow(send, schema).repartition(parts, "hub", "place").sortWithinPartitions("hub", "place", "role")
+    return sent.mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
@@ -244,6 +287,12 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     component; a null id is smaller than none, so a component of null ids only has a null id.  Other columns are not
     read.  An empty table gives none.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, id, text, size, percent)
+
+
+def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """All jobs that need Python run here; the joins that are returned do not."""
     bare = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     profile = materialise(_profile(bare, size), "jaccard-profile")
     rows = profile.where("block IS NULL").select("id", "n", "s1", "s2")
@@ -256,12 +305,17 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     prefixes = materialise(prefixes.select("node", "n", "prefix", "parts"), "jaccard-prefixes")
     token = prefixes.select("node", F.explode("prefix").alias("token"))
     shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    placed = prefixes.select("node", "n", "parts", F.posexplode("prefix").alias("pos", "token")).join(shared, "token")
+    shared = materialise(shared, "jaccard-shared")
+    placed = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).join(_broadcast_if_small(shared), "token")
     placed = materialise(placed.dropDuplicates(["token", "node"]), "jaccard-placed")
-    links = _leader_links(bare, nodes, placed, size, percent)
-    labels = _labels(links)
-    more = materialise(_cross_links(bare, nodes, placed, labels, size, percent), "jaccard-links")
-    labels = _labels(links.union(more))
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(_suffix_filter(pairs.distinct(), prefixes, percent), "jaccard-pairs")
+        return materialise(_verified(bare, nodes, pairs, size, percent), "jaccard-links")
+
+    links = links_of(_leader_pairs(placed, percent))
+    labels = materialise(components(links), "jaccard-components")
+    labels = components(links.union(links_of(_cross_pairs(placed, labels, percent))))
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
     classes = named.join(least, "component").select(*mark, "component_id", (F.col("copies") - 1).alias("n_copies"))
@@ -270,30 +324,17 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return materialise(components(links), "jaccard-components")
-
-
-def _compare(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The linked ones of the pairs (a, b), each verified once."""
-    pairs = materialise(pairs.distinct(), "jaccard-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialise(nodes.join(needed, "node", "left_semi").select("node", "min_id", "s1", "s2"), "jaccard-needed")
-    return _verified(pairs, materialise(_sets_of(docs, wanted, size), "jaccard-sets"), percent)
-
-
-def _leader_links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of nodes with the first and the last node of a shared shingle: linear in the size of a group."""
+def _leader_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Every node of a shared shingle with the shingle's first and last node: linear in the size of a group."""
     leader = placed.where("node = low OR node = high").alias("r")
     met = placed.alias("l").join(leader, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") != F.col("r.node")) & _may_reach(percent))
-    pairs = met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-    return materialise(_compare(docs, nodes, pairs, size, percent), "jaccard-leader-links")
+    return met.select(F.col("r.node").alias("hub"), F.col("l.node").alias("member"))
 
 
-def _cross_links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components: nodes outside a shingle's largest component against all of the shingle."""
+def _cross_pairs(placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components: nodes outside a shingle's largest component with all nodes of the shingle."""
     known = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = materialise(known, "jaccard-known")
+    known = materialise(known.select("token", "node", "n", "pos", "component"), "jaccard-known")
     sizes = known.groupBy("token", "component").count()
     largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parties"), F.max_by("component", F.struct("count", "component")).alias("largest"))
     mixed = largest.where("parties > 1").select("token", "largest")
@@ -302,5 +343,4 @@ def _cross_links(docs: DataFrame, nodes: DataFrame, placed: DataFrame, labels: D
     differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component"))
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.node") < F.col("r.node"))
     met = left.join(right, differ & once & _may_reach(percent))
-    pairs = met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-    return _compare(docs, nodes, pairs, size, percent)
+    return met.select(F.col("l.node").alias("hub"), F.col("r.node").alias("member"))
