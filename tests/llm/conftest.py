@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("unhurried", deadline=None)
+settings.load_profile("unhurried")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, words array<string>, n_words long, items string, host string, score double, removed string"
 LONG = " ".join(f"word{i % 997} and" for i in range(60_000)) + "."

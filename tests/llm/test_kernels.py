@@ -206,3 +206,9 @@ def test_risk_minimisation_separates_and_keeps_the_prior():
 def test_features_of_odd_texts():
     x = puquality.features(pa.array([None, "", "a", "A!! b", "é" * 50]))
     assert x.shape == (5, puquality.FEATURES) and np.isfinite(x).all() and not x[0].any()
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1), st.sets(st.integers(0, 2**64 - 1), min_size=1))
+def test_sketches_never_overstate_the_difference(a, b):
+    x, y = (jaccard.parity_sketch(np.array(sorted(s), np.uint64)) for s in (a, b))
+    assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
