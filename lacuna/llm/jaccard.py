@@ -7,8 +7,7 @@
 4. Nodes that share a prefix shingle are candidates.  First each is compared only with two leaders of the shingle, which
    joins groups of near copies without comparing all their pairs.  Then every pair of different components that still
    shares a prefix shingle is compared, so that no link between components is lost.
-5. Length, positional and suffix filters thin out the candidates inside the join; each pair left is verified once, on
-   the whole sets.
+5. Length, positional and suffix filters thin out the candidates; each pair left is verified once, on the whole texts.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ ship_by_value(__name__)
 BUCKETS = 1 << 20
 COUNT_BLOCKS = 32
 FAN_IN = 256
-#: Parts of the hash range whose counts the suffix filter compares, as a power of two.
-PARTS_BITS = 6
+#: Longs of the parity sketch that the suffix filter compares.
+SKETCH_LONGS = 8
 #: Texts are shingled so many bytes at a time.
 SLICE_BYTES = 1_000_000
 #: And reach the workers in batches of so many rows.
@@ -106,6 +105,17 @@ def bucket(value: np.ndarray) -> np.ndarray:
     return (value & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """For each part of the hash range, whether it holds an odd number of the set's shingles.
+
+    A shingle that only one of two sets has changes one bit, so two sketches differ in no more bits than there are such
+    shingles.
+    """
+    bits = 64 * SKETCH_LONGS
+    part = (own >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _profile(docs: DataFrame, size: int) -> DataFrame:
     """One row per document: id, n, s1, s2; and per task the counts of the buckets, in blocks."""
     id_type = docs.schema["id"].dataType.simpleString()
@@ -161,7 +171,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, rank) -> DataFrame:
-    """One row per document that has a shingle: id, n, s1, s2, the prefix in order, the counts per part of the hash range."""
+    """One row per document that has a shingle: id, n, s1, s2, the prefix in order, the parity sketch."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -169,7 +179,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, rank) -> DataFrame:
             for at, texts in sliced(batch.column(1)):
                 value, bound = shingle_sets(texts, size)
                 place = rank.value[bucket(value)]
-                rows, marks, prefix, parts = [], [], [], []
+                rows, marks, prefix, sketch = [], [], [], []
                 for k, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
                     if a == b:
                         continue
@@ -179,19 +189,19 @@ def _prefixes(docs: DataFrame, size: int, percent: int, rank) -> DataFrame:
                     rows.append(k)
                     marks.append((b - a, *signature(own)))
                     prefix.append(own[order].view(np.int64))
-                    parts.append(np.minimum(np.bincount((own >> np.uint64(64 - PARTS_BITS)).astype(np.int64), minlength=1 << PARTS_BITS), 32767).astype(np.int16))
+                    sketch.append(parity_sketch(own))
                 if rows:
                     columns = [
                         batch.column(0).slice(at, len(texts)).take(pa.array(rows)), pa.array([m[0] for m in marks], pa.int32()), pa.array([m[1] for m in marks], pa.int64()),
-                        pa.array([m[2] for m in marks], pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int16())),
+                        pa.array([m[2] for m in marks], pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "prefix", "parts"])
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, f"id {id_type}, n int, s1 long, s2 int, prefix array<long>, parts array<short>")
+    return docs.mapInArrow(run, f"id {id_type}, n int, s1 long, s2 int, prefix array<long>, sketch array<long>")
 
 
 def _reaches(common: Column, n: Column, percent: int) -> Column:
-    """100 common >= percent (n - common), n being both sizes together."""
+    """100 common >= percent (n - common), n being both sizes together; any multiple of both will do."""
     return (100 + percent) * common >= percent * n
 
 
@@ -205,16 +215,17 @@ def _may_reach(percent: int) -> Column:
     return _reaches(F.least("l.n", "r.n"), n, percent) & _reaches(by_place, n, percent)
 
 
-def _suffix_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose counts per part of the hash range allow the threshold: in each part the smaller count is common at most.
+def _close(l: str, r: str, percent: int) -> Column:
+    """Suffix filter on the Hamming distance: the sets differ in as many shingles as their sketches in bits, at least."""
+    bits = " + ".join(f"bit_count({l}sketch[{i}] ^ {r}sketch[{i}])" for i in range(SKETCH_LONGS))
+    n = F.col(f"{l}n") + F.col(f"{r}n")
+    return _reaches(n - F.expr(bits), 2 * n, percent)  # twice the common ones are n less those that differ
 
-    A count of 32767 may stand for more, so it bounds nothing.
-    """
-    hub, member = (prefixes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("parts").alias(f"{k}_parts")) for k in ("hub", "member"))
-    smaller = lambda x, y: F.when(F.least(x, y) == 32767, 1 << 30).otherwise(F.least(x, y).cast("int"))
-    common = F.aggregate(F.zip_with("hub_parts", "member_parts", smaller), F.lit(0).cast("long"), lambda total, x: total + x)
-    joined = pairs.join(hub, "hub").join(member, "member")
-    return joined.where(_reaches(common, F.col("hub_n") + F.col("member_n"), percent)).select("hub", "member")
+
+def _suffix_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, member) that the suffix filter lets through."""
+    hub, member = (prefixes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in ("hub", "member"))
+    return pairs.join(hub, "hub").join(member, "member").where(_close("hub_", "member_", percent)).select("hub", "member")
 
 
 def _broadcast_if_small(table: DataFrame) -> DataFrame:
@@ -302,7 +313,7 @@ def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) ->
     rank = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8))
     mark = ["n", "s1", "s2"]
     prefixes = _prefixes(bare, size, percent, rank).join(nodes, mark).where(F.col("id").eqNullSafe(F.col("min_id")))
-    prefixes = materialise(prefixes.select("node", "n", "prefix", "parts"), "jaccard-prefixes")
+    prefixes = materialise(prefixes.select("node", "n", "prefix", "sketch"), "jaccard-prefixes")
     token = prefixes.select("node", F.explode("prefix").alias("token"))
     shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = materialise(shared, "jaccard-shared")
@@ -310,12 +321,12 @@ def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) ->
     placed = materialise(placed.dropDuplicates(["token", "node"]), "jaccard-placed")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(_suffix_filter(pairs.distinct(), prefixes, percent), "jaccard-pairs")
+        pairs = materialise(pairs.distinct(), "jaccard-pairs")
         return materialise(_verified(bare, nodes, pairs, size, percent), "jaccard-links")
 
-    links = links_of(_leader_pairs(placed, percent))
+    links = links_of(_suffix_filter(_leader_pairs(placed, percent).distinct(), prefixes, percent))
     labels = materialise(components(links), "jaccard-components")
-    labels = components(links.union(links_of(_cross_pairs(placed, labels, percent))))
+    labels = components(links.union(links_of(_cross_pairs(placed, labels, prefixes, percent))))
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
     classes = named.join(least, "component").select(*mark, "component_id", (F.col("copies") - 1).alias("n_copies"))
@@ -331,16 +342,16 @@ def _leader_pairs(placed: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("r.node").alias("hub"), F.col("l.node").alias("member"))
 
 
-def _cross_pairs(placed: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(placed: DataFrame, labels: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components: nodes outside a shingle's largest component with all nodes of the shingle."""
     known = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = materialise(known.select("token", "node", "n", "pos", "component"), "jaccard-known")
     sizes = known.groupBy("token", "component").count()
     largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parties"), F.max_by("component", F.struct("count", "component")).alias("largest"))
     mixed = largest.where("parties > 1").select("token", "largest")
-    open_rows = known.join(mixed, "token")
+    open_rows = materialise(known.join(mixed, "token").join(prefixes.select("node", "sketch"), "node"), "jaccard-open")
     left, right = open_rows.where("component <> largest").alias("l"), open_rows.alias("r")
     differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component"))
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.node") < F.col("r.node"))
-    met = left.join(right, differ & once & _may_reach(percent))
+    met = left.join(right, differ & once & _may_reach(percent) & _close("l.", "r.", percent))
     return met.select(F.col("l.node").alias("hub"), F.col("r.node").alias("member"))
