@@ -11,6 +11,8 @@ from lacuna.llm.queries import END_ID, TOKENIZER
 
 #: A document is rejected if its best language has less than this share of its n-grams.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Documents are near duplicates from this Jaccard similarity, in a hundred, of their sets of so many words' shingles.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked ones: that with the smallest id; of rows equal in id and text, one."""
     bounded_batches(spark)
-    classes = jaccard.jaccard_components(docs)
+    classes = jaccard.jaccard_components(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     best = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return best.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).select(docs.columns)

@@ -58,7 +58,7 @@ def op5_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    classes = jaccard.jaccard_components(_table(spark, folder, "documents"))
+    classes = jaccard.jaccard_components(_table(spark, folder, "documents"), size=3, percent=90)
     return classes.select("doc_id", "n_shingles", "component_id")
 
 
