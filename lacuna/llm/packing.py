@@ -11,7 +11,6 @@ window, which a monotone queue gives in constant time per cut point.
 
 from __future__ import annotations
 
-import zlib
 from collections import deque
 
 import numpy as np
@@ -40,7 +39,7 @@ LONG_CHUNK = 64
 LETTER_TAIL = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
 #: Texts are encoded so many bytes at a time.
 ENCODE_BYTES = 8_000_000
-PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class ChunkEncoder:
@@ -195,7 +194,7 @@ class Stream:
             [self.parts[k][0] for k in part.tolist()],
             starts - bounds[part] + np.array([p[1] for p in self.parts])[part],
             stops - starts,
-            [zlib.crc32(raw[a:b].data) for a, b in zip(starts.tolist(), stops.tolist())],
+            pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((4 * np.append(starts, stop)).astype(np.int32)), pa.py_buffer(raw[:stop])]),
             np.array([p[2] for p in self.parts])[part],
             self.next_id + sequence,
             starts - cuts[sequence],
@@ -207,8 +206,10 @@ class Stream:
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text", length: int = LENGTH, block: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per piece of a document: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
+    """One row per piece of a document: ``id``, ``start``, ``length``, ``ids``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
+    ``ids`` are the piece's token ids, 4 bytes each, the least first; the pieces of a sequence in the order of ``offset``
+    are its ids.  ``length`` and ``ids_crc32`` are those of ``ids``.
     A document is its text's ids, without special ones, then ``end_id``; a null or empty text is ``end_id`` alone.  Every
     id lies in one piece.  The pieces of a sequence are consecutive, in the order of the rows, and its offsets gapless
     from 0.  Rows with repeated or null ids are packed each for itself; an empty table gives no pieces.  ``sequence_id``
@@ -235,13 +236,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text:
         stream = Stream(TaskContext.get().partitionId() << 40, encoder.sentence_ends, length, block)
 
         def rows(columns):
-            ids, *numbers = columns
-            return pa.RecordBatch.from_arrays([pa.array(ids, names.field(0).type), *[pa.array(np.asarray(c, np.int64)) for c in numbers]], schema=names)
+            docs, start, length, ids, *numbers = columns
+            arrays = [pa.array(docs, names.field(0).type), pa.array(start), pa.array(length), ids]
+            return pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.asarray(c, np.int64)) for c in numbers]], schema=names)
 
         names = None
         for batch in batches:
             if names is None:
-                names = pa.schema([("id", batch.schema.field(0).type), *[(c.split()[0], pa.int64()) for c in PIECES.split(", ")]])
+                names = pa.schema([("id", batch.schema.field(0).type), *[(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECES.split(", ")]])
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             size = np.cumsum(pc.binary_length(texts).to_numpy()) // ENCODE_BYTES
             edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(ids)]
@@ -253,4 +255,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id", text:
         if stream.size:
             yield rows(stream.cut(last=True))
 
-    return kept.mapInArrow(run, f"id {id_type}, {PIECES}").withColumnRenamed("id", id)
+    pieces = kept.mapInArrow(run, f"id {id_type}, {PIECES}")
+    return pieces.select(F.col("id").alias(id), "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

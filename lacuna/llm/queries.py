@@ -70,7 +70,9 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(_table(spark, folder, "documents"), TOKENIZER, END_ID)
+    pieces = packing.pack(_table(spark, folder, "documents"), TOKENIZER, END_ID)
+    length = F.floor(F.octet_length("ids") / 4).alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_line_quality(spark: SparkSession, folder: str) -> DataFrame:
