@@ -117,13 +117,13 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document: id, n, s1, s2; and per task the counts of the buckets, in blocks."""
+    """One row per document: id, mark, n, s1, s2; and per task the counts of the buckets, in blocks."""
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n int, s1 long, s2 int, block int, task long, counts binary"
+    schema = f"id {id_type}, mark long, n int, s1 long, s2 int, block int, task long, counts binary"
 
     def run(batches):
         counts, ids = np.zeros(BUCKETS, np.int64), None
-        names = ["id", "n", "s1", "s2", "block", "task", "counts"]
+        names = ["id", "mark", "n", "s1", "s2", "block", "task", "counts"]
         for batch in batches:
             ids = batch.schema.field(0).type
             for at, texts in sliced(batch.column(1)):
@@ -132,14 +132,14 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 marks = [signature(value[a:b]) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
                 none = pa.nulls(len(texts))
                 columns = [
-                    batch.column(0).slice(at, len(texts)), pa.array(np.diff(bound), pa.int32()), pa.array([m[0] for m in marks], pa.int64()),
+                    batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(np.diff(bound), pa.int32()), pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         if ids is not None:
             none, parts = pa.nulls(COUNT_BLOCKS), np.split(counts, COUNT_BLOCKS)
             columns = [
-                none.cast(ids), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(range(COUNT_BLOCKS), pa.int32()),
+                none.cast(ids), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(range(COUNT_BLOCKS), pa.int32()),
                 pa.array([TaskContext.get().partitionId()] * COUNT_BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -242,17 +242,19 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
     placed = pairs.join(places, "hub").withColumn("place", F.pmod(F.xxhash64("member"), F.col("places")))
     members = placed.select("hub", "place", F.col("member").alias("node"), F.lit(1).alias("role"))
     hubs = places.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.col("hub").alias("node"), F.lit(0).alias("role"))
-    wanted = hubs.unionByName(members).join(nodes.select("node", "min_id", "s1", "s2"), "node")
+    wanted = hubs.unionByName(members).join(nodes.select("node", "min_id", "min_mark", "s1", "s2"), "node")
     wanted = materialise(wanted, "jaccard-wanted")
-    rows = docs.join(_broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("min_id"))).select("text", "hub", "place", "role", "node", "s1", "s2")
+    own = (F.col("mark") == F.col("min_mark")) & F.col("id").eqNullSafe(F.col("min_id"))
+    rows = docs.join(_broadcast_if_small(wanted), own).select("text", "hub", "place", "role", "node", "s1", "s2")
 
     def send(batches):
         packer, last = zstandard.ZstdCompressor(1), (None, None)
         for batch in batches:
             packed = []
-            for text, node in zip(batch.column(0), batch.column(4).to_pylist()):
-                if node != last[0]:
-                    last = (node, packer.compress(text.as_buffer().to_pybytes()))
+            for text in batch.column(0):
+                raw = text.as_buffer().to_pybytes()
+                if raw != last[0]:
+                    last = (raw, packer.compress(raw))
                 packed.append(last[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(packed, pa.binary())], names=["hub", "place", "role", "node", "s1", "s2", "packed"])
 
@@ -260,7 +262,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
         opener, own, at = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64), None
         for batch in batches:
             found = []
-            # Texts of one id are told apart by the signature; rows that repeat give the same links again.
+            # Rows that repeat give the same links again.
             marks = list(zip(*[batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5)]))
             for start in range(0, len(marks), 512):
                 part = marks[start : start + 512]
@@ -304,14 +306,15 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
 def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
     """All jobs that need Python run here; the joins that are returned do not."""
-    bare = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
+    bare = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("mark"))
     profile = materialise(_profile(bare, size), "jaccard-profile")
-    rows = profile.where("block IS NULL").select("id", "n", "s1", "s2")
-    nodes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
+    rows = profile.where("block IS NULL").select("id", "mark", "n", "s1", "s2")
+    mark = ["n", "s1", "s2"]
+    nodes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct(F.isnull("id").alias("without"), "id", "mark")).alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.select(*mark, F.col("least.id").alias("min_id"), F.col("least.mark").alias("min_mark"), "copies")  # a row that exists: its id and the hash of its text
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
     counts = _total_counts(profile)
     rank = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8))
-    mark = ["n", "s1", "s2"]
     prefixes = _prefixes(bare, size, percent, rank).join(nodes, mark).where(F.col("id").eqNullSafe(F.col("min_id")))
     prefixes = materialise(prefixes.select("node", "n", "prefix", "sketch"), "jaccard-prefixes")
     token = prefixes.select("node", F.explode("prefix").alias("token"))
@@ -330,7 +333,7 @@ def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) ->
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
     classes = named.join(least, "component").select(*mark, "component_id", (F.col("copies") - 1).alias("n_copies"))
-    out = rows.join(classes, mark, "left")
+    out = rows.drop("mark").join(classes, mark, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
