@@ -1,10 +1,10 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages by pairs of content-defined lines.
 
-A text is cut into logical lines: at line breaks and, inside a line, after sentences and after every 16 words of a long
-one, so that a paragraph is several lines.  A rolling hash over the hashes of neighbouring lines decides where chunks end, so the chunks of a passage are
-the same wherever it stands.  Where a paragraph (a physical line of several logical ones) begins or ends, a chunk ends too,
-and the rolling hash starts anew.  Chunks whose hash occurs more than once in the corpus are compared by their bytes;
-every occurrence but the first goes, if it is part of a run of repeated lines that is long enough.
+A text is cut into logical lines: at line breaks, after sentences, and inside a long sentence after words that a hash of
+the word and the one before picks, so that the lines of a passage are the same wherever it stands.  Every two neighbouring
+lines are a pair.  Pairs whose hash occurs more than once in the corpus are compared by their bytes; the lines of every
+occurrence but the first go, if they are part of a run of such lines that is long enough.  A run grows line by line to both
+sides as far as its pairs repeat, so nothing but the lines that the passage's ends share with other text is left of it.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ from lacuna.llm.common import materialise, ship_by_value
 
 ship_by_value(__name__)
 
-#: A chunk ends after one in so many lines.
-DIVISOR = 4
-#: A run of repeated chunks is removed if it has so many words and lines at least.
+#: A run of repeated lines is removed if it has so many words and lines at least.
 MIN_WORDS = 30
 MIN_LINES = 2
-#: A sentence is wrapped after so many words, so that a long one is several lines.
-WRAP = 16
-#: So many hashes of repeated chunks, 8 bytes each, are broadcast at most.
+#: A sentence of more words is wrapped: after one in so many words by their hash, and where that picks none, after so many.
+LONG_SENTENCE = 16
+WRAP = 6
+LONGEST = 32
+#: So many hashes of repeated pairs, 8 bytes each, are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+WEIGHT = np.random.default_rng(4).integers(1, 1 << 20, 256).astype(np.uint64)
 STOP = np.isin(np.arange(256), list(b".!?"))
 
 
@@ -45,41 +46,45 @@ def logical_lines(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     new = np.ones(len(first), bool)
     new[1:] = (row[1:] != row[:-1]) | STOP[code[last[:-1] - 1]]
     place = np.arange(len(first))
-    new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % WRAP == 0
+    start = np.flatnonzero(new)
+    many = np.diff(np.append(start, len(first))) > LONG_SENTENCE
+    if many.any():
+        spread = np.cumsum(np.append(np.uint64(0), WEIGHT[code]))
+        word = (spread[last] - spread[first]) * np.uint64(31) + code[first] * np.uint64(7) + code[last - 1]
+        word = (word[1:] + word[:-1] * np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
+        picked = (word >> np.uint64(40)) % np.uint64(WRAP) == 0
+        picked[1:] &= ~new[1:-1]  # the two words are of one sentence
+        long = np.repeat(many, np.diff(np.append(start, len(first))))
+        new[2:] |= picked[:-1] & long[2:]
+        new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % LONGEST == 0
     at = np.flatnonzero(new)
     return first[at], last[np.append(at[1:], len(first)) - 1], np.diff(np.append(at, len(first))), row[at]
 
 
-def chunks(text: bytes, divisor: int = DIVISOR) -> list[tuple[int, int, int, int]]:
-    """(start, stop, lines, words) of every chunk; the bytes between chunks are white space."""
-    start, stop, words, row = logical_lines(text)
-    if not len(start):
-        return []
-    own = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(start.tolist(), stop.tolist())], np.uint64)
-    in_row = np.bincount(row - row[0])[row - row[0]]
-    paragraph = in_row > 1
-    fresh = np.ones(len(start), bool)  # a paragraph starts here, or one has just ended
-    fresh[1:] = (row[1:] != row[:-1]) & (paragraph[1:] | paragraph[:-1])
-    before = np.append(np.uint64(0), own[:-1])
-    before[fresh] = 0
-    rolled = before * np.uint64(0x9E3779B97F4A7C15) + own
-    rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    ends = (rolled >> np.uint64(33)) % np.uint64(divisor) == 0
-    ends[:-1] |= fresh[1:]
-    ends[-1] = True
-    to = np.flatnonzero(ends)
-    at = np.append(0, to[:-1] + 1)
-    total = np.append(0, np.cumsum(words))
-    return list(zip(start[at].tolist(), stop[to].tolist(), (to - at + 1).tolist(), (total[to + 1] - total[at]).tolist()))
-
-
-def chunk_hash(content: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(content)
-    return (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+def chunks(text: bytes) -> list[tuple[int, int, int, int]]:
+    """(start, stop, lines, words) of every line; the bytes between are white space."""
+    start, stop, words, _ = logical_lines(text)
+    return list(zip(start.tolist(), stop.tolist(), [1] * len(start), words.tolist()))
+
+
+def pair_hashes(text: bytes) -> np.ndarray:
+    """Two 64-bit hashes of every two neighbouring lines, from the 128 bits of each line's digest."""
+    start, stop, _, _ = logical_lines(text)
+    own = b"".join([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(start.tolist(), stop.tolist())])
+    own = np.frombuffer(own, np.uint64).reshape(-1, 2)
+    mixed = own[:-1] * np.uint64(0x9E3779B97F4A7C15) + (own[1:] ^ (own[1:] >> np.uint64(29)))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+
+
+def pair_content(text: bytes, parts: list[tuple[int, int, int, int]], place: int) -> bytes:
+    """The bytes of two neighbouring lines; the white space between is left out, as it is of the hash."""
+    (a, b, _, _), (c, d, _, _) = parts[place : place + 2]
+    return text[a:b] + b"\n" + text[c:d]
 
 
 def removed_spans(parts: list[tuple[int, int, int, int]], repeated: set[int], size: int, min_words: int, min_lines: int) -> list[tuple[int, int]]:
-    """Byte spans that go: runs of repeated chunks that are long enough, up to the next chunk or the end of the text."""
+    """Byte spans that go: runs of repeated lines that are long enough, up to the next line or the end of the text."""
     out, k = [], 0
     while k < len(parts):
         to = k
@@ -91,29 +96,27 @@ def removed_spans(parts: list[tuple[int, int, int, int]], repeated: set[int], si
     return out
 
 
-def _chunk_table(docs: DataFrame) -> DataFrame:
-    """(id, mark, place, h1, h2) of every chunk; mark tells texts with one id apart."""
+def _pair_table(docs: DataFrame) -> DataFrame:
+    """(id, mark, place, h1, h2) of every pair; mark tells texts with one id apart."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            rows, place, h1, h2 = [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                for i, (a, b, _, _) in enumerate(chunks(text or b"")):
-                    one, two = chunk_hash(text[a:b])
-                    rows.append(k)
-                    place.append(i)
-                    h1.append(one)
-                    h2.append(two)
-            at = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "place", "h1", "h2"])
+            for row in range(0, batch.num_rows, 256):
+                part = batch.slice(row, 256)
+                found = [pair_hashes(text or b"") for text in part.column(2).to_pylist()]
+                count = np.array([len(f) for f in found])
+                at = pa.array(np.repeat(np.arange(len(found)), count))
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                both = np.concatenate(found)
+                columns = [part.column(0).take(at), part.column(1).take(at), pa.array(place.astype(np.int32)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "place", "h1", "h2"])
 
     return docs.mapInArrow(run, f"id {id_type}, mark long, place int, h1 long, h2 long")
 
 
 def _contents(docs: DataFrame) -> DataFrame:
-    """(h1, h2, content) of the chunks marked as repeated."""
+    """(h1, h2, content) of the pairs marked as repeated."""
 
     def run(batches):
         for batch in batches:
@@ -121,8 +124,7 @@ def _contents(docs: DataFrame) -> DataFrame:
             for text, marked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = chunks(text)
                 for m in marked:
-                    a, b, _, _ = parts[m["place"]]
-                    found.append((m["h1"], m["h2"], text[a:b]))
+                    found.append((m["h1"], m["h2"], pair_content(text, parts, m["place"])))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["h1", "h2", "content"])
 
     return docs.mapInArrow(run, "h1 long, h2 long, content binary")
@@ -131,23 +133,23 @@ def _contents(docs: DataFrame) -> DataFrame:
 def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_lines: int = MIN_LINES) -> DataFrame:
     """All rows and columns with repeated passages taken out of ``text``; ``removed`` has their byte spans in the original.
 
-    The first occurrence of a chunk, by id, then by a hash of the text and by place, stays; later ones, in the same text
-    too, go if they are part of a run of repeated chunks with ``min_words`` words and ``min_lines`` logical lines at
+    The first occurrence of a pair of lines, by id, then by a hash of the text and by place, stays; lines of later ones, in
+    the same text too, go if they are part of a run of such lines with ``min_words`` words and ``min_lines`` logical lines at
     least.  Rows equal in id and text count as one document and get one result.  Null texts stay null, empty ones empty;
     a text of repeated passages only becomes empty.  Null ids come first.  ``removed`` and ``_``-columns of the input
     are replaced.  An empty table gives none.
 
-    The chunk hashes are shuffled, and the texts once, to meet their decisions.  Only the bytes of repeated chunks are
+    The pair hashes are shuffled, and the texts once, to meet their decisions.  Only the bytes of repeated pairs are
     shuffled for the comparison, equal ones combined before.  A hash that turns out to stand for different bytes, which
     128 bits make unlikely, removes nothing.
     """
     base = docs.drop("removed", "_id", "_mark", "_repeated")
     keyed = base.withColumn("_id", F.col(f"`{id}`")).withColumn("_mark", F.xxhash64(F.col(f"`{text}`").cast("binary")))
     bare = keyed.select(F.col("_id").alias("id"), F.col("_mark").alias("mark"), F.col(f"`{text}`").cast("binary").alias("text"))
-    table = materialise(_chunk_table(bare), "line-chunks")
+    table = _pair_table(bare)  # computed twice, which is less than to write it
     where = F.struct("id", "mark", "place")
     hashes = ["h1", "h2"]
-    # Half of the hash finds what may repeat; a chunk that only shares that half turns out to be its own first occurrence.
+    # Half of the hash finds what may repeat; a pair that only shares that half turns out to be its own first occurrence.
     many = materialise(table.groupBy("h1").count().where("count > 1").select("h1"), "line-repeated")
     few = many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     met = materialise(table.join(F.broadcast(many) if few else many, "h1"), "line-met")
@@ -183,7 +185,8 @@ def _without(docs: DataFrame, text: str, min_words: int, min_lines: int) -> Data
                 cut = []
                 if places:
                     raw = texts[k].encode()
-                    cut = removed_spans(chunks(raw), set(places), len(raw), min_words, min_lines)
+                    late = {line for place in places for line in (place, place + 1)}
+                    cut = removed_spans(chunks(raw), late, len(raw), min_words, min_lines)
                     edges = [0, *[x for span in cut for x in span], len(raw)]
                     texts[k] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
                 gone.append(cut)
