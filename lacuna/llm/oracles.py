@@ -114,10 +114,108 @@ def _line_quality() -> str:
     FROM m"""
 
 
+def _collocations() -> str:
+    return rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(string_split_regex({_low("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+    place AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM words, (VALUES (1), (2), (3)) AS sizes(size) WHERE len(w) >= size),
+    f AS (SELECT lang, size, w[k : k + size - 1] AS p, count(*) AS f FROM place GROUP BY ALL),
+    total AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+    cand AS (SELECT * FROM f WHERE size > 1 AND f >= 10),
+    cut AS (
+      SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, k, CAST(1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+      JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 : c.size]),
+    best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    held AS (SELECT lang, p, max(f) AS f FROM (SELECT lang, p[1 : 2] AS p, f FROM cand WHERE size = 3 UNION ALL SELECT lang, p[2 : 3], f FROM cand WHERE size = 3) GROUP BY lang, p),
+    kept AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.p = b.p WHERE h.f IS NULL OR 100 * h.f < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+def _filter_audit() -> str:
+    tests = (
+        "len(w) < 50",
+        "100 * len(list_distinct(w)) < 65 * len(w)",
+        "100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t)",
+        "regexp_matches(t, '[#$%&*|]')",
+        "doc_id > min(doc_id) OVER (PARTITION BY t)",
+    )
+    bits = " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, test in enumerate(tests))
+    letters = "['A', 'B', 'C', 'D', 'E']"
+    return f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, {bits} AS failed
+      FROM (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{BLANKS}') AS w FROM documents)),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    combo AS (SELECT part, failed, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM d LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+    letter AS (SELECT unnest({letters}) AS x, unnest(range(5)) AS k),
+    orders AS (
+      SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks
+      FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+    step AS (SELECT filter_order, CAST(s AS INTEGER) AS step, 1 << ks[s]::INTEGER AS bit, coalesce(list_sum(list_transform(ks[1 : s - 1], lambda k: 1 << k::INTEGER)), 0)::INTEGER AS before
+      FROM (SELECT *, unnest(range(1, 6)) AS s FROM orders)),
+    result AS (
+      SELECT part, filter_order, step, bit, sum(CASE WHEN failed & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN failed & before > 0 AND failed & bit > 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN failed = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN failed & before = 0 AND failed & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM combo, step GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM result"""
+
+
+def _fingerprints() -> str:
+    blank, no_blank, plain = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", r"[^\x20\x09-\x0D.!?,;:]"
+    leaf = f"{blank}*(?:{no_blank}{{0,63}}{plain}{blank}+){{0,3}}{no_blank}{{1,64}}{blank}*|{blank}+"
+    section, paragraph = r"(?:[^\n]|\n[^\n])+\n*|\n+", r"[^\n]*\n|[^\n]+"
+
+    def tree(text: str) -> str:
+        leaves = f"list_transform(regexp_extract_all(p, '{leaf}'), lambda x: sha256(x))"
+        return f"list_transform(regexp_extract_all({text}, '{section}'), lambda s: list_transform(regexp_extract_all(s, '{paragraph}'), lambda p: {leaves}))"
+
+    node = "sha256(array_to_string({0}, ''))"
+    digests = "list_transform({0}, lambda {1}: {2})"
+    of_paragraph = node.format("p")
+    of_section = node.format(digests.format("s", "p", of_paragraph))
+    of_root = node.format(digests.format("tree", "s", of_section))
+    prints = "array_to_string(list_transform(p, lambda x: substr(x, 1, 6)), ',')"
+    paragraphs = f"array_to_string(list_transform(s, lambda p: substr({of_paragraph}, 1, 8) || '=' || {prints}), ';')"
+    sections = f"array_to_string(list_transform(tree, lambda s: '|' || substr({of_section}, 1, 8) || ':' || {paragraphs}), '')"
+
+    def likeness(a: str, b: str) -> str:
+        left, right = (f"list_distinct(regexp_extract_all({x}, '[=,]([0-9a-f]{{6}})', 1))" for x in (a, b))
+        both = f"(len({left}) + len({right}))"
+        return f"CASE WHEN substr({a}, 1, 64) = substr({b}, 1, 64) THEN 1.0::DOUBLE WHEN {both} > 0 THEN 2.0::DOUBLE * len(list_intersect({left}, {right})) / {both} ELSE 0.0::DOUBLE END"
+
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS many FROM documents),
+    e AS (
+      SELECT d.doc_id, d.t, d.k, d.many, left(d.t, length(d.t) - length(d.t) // 4) || left(x.t, length(d.t) // 4) AS edited
+      FROM d JOIN d x ON x.k = d.k % d.many + 1),
+    f AS (
+      SELECT k, many, doc_id, t, edited, print, {of_root} || {sections} AS made
+      FROM (SELECT *, 'own' AS print, {tree('t')} AS tree FROM e UNION ALL SELECT *, 'edited', {tree('edited')} FROM e)),
+    g AS (
+      SELECT k, any_value(many) AS many, any_value(doc_id) AS doc_id, any_value(t) AS t, any_value(edited) AS edited,
+             max(CASE WHEN print = 'own' THEN made END) AS fingerprint, max(CASE WHEN print = 'edited' THEN made END) AS edited_fingerprint
+      FROM f GROUP BY k)
+    SELECT g.doc_id, CAST(length(g.t) AS BIGINT) AS n_chars, sha256(g.edited) AS edited_sha256, g.fingerprint, g.edited_fingerprint,
+           {likeness('g.fingerprint', 'g.edited_fingerprint')} AS near_edited, {likeness('g.fingerprint', 'x.fingerprint')} AS near_next
+    FROM g JOIN g x ON x.k = g.k % g.many + 1"""
+
+
 ORACLES = {
     "op1_url_rules": _url_rules(),
     "op2_warc": _warc(),
     "op3_decontaminate": _decontaminate(),
     "op6_jaccard_join": _jaccard(),
     "op9_line_quality": _line_quality(),
+    "op11_collocations": _collocations(),
+    "op12_filter_audit": _filter_audit(),
+    "op13_fingerprints": _fingerprints(),
 }

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontaminate, jaccard, langid, linededup, linequality, packing, puquality, sharding, urlrules, warc
+from lacuna.llm import collocations, decontaminate, filteraudit, fingerprints, jaccard, langid, linededup, linequality, packing, puquality, sharding, urlrules, warc
 from lacuna.llm.common import bounded_batches, held_out
 from lacuna.llm.oracles import ORACLES, URL_RULES
 
@@ -83,6 +83,18 @@ def op10_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_table(spark, folder, "documents"), SHARDS)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_edits(_table(spark, folder, "documents")).drop("changed")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])
     if root not in sys.path:
@@ -96,6 +108,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_warc, op3_decontaminate, op4_line_dedup, op5_pu_quality, op6_jaccard_join, op7_language, op8_packing,
-        op9_line_quality, op10_jump_shards, pipeline,
+        op9_line_quality, op10_jump_shards, op11_collocations, op12_filter_audit, op13_fingerprints, pipeline,
     )
 }
