@@ -63,7 +63,8 @@ def segments(raw: bytes, size: int) -> Iterator[bytes]:
             step *= 2
         yield raw[at:cut]
         at = cut
-    yield raw[at:]
+    if at < len(raw):
+        yield raw[at:]
 
 
 def suffixes(raw: bytes, max_words: int) -> tuple[list[bytes], list[np.ndarray]]:

@@ -20,7 +20,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def duck():
     duckdb = pytest.importorskip("duckdb")
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "labels"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     yield connection
     connection.close()
@@ -28,7 +28,7 @@ def duck():
 
 def test_all_are_registered():
     assert set(llm.QUERIES) <= set(queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in llm.QUERIES
+    assert sorted(int(n[2:].split("_")[0]) for n in llm.QUERIES if n.startswith("op")) == list(range(1, 14)) and "pipeline" in llm.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
