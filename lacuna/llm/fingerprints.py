@@ -22,10 +22,10 @@ PARAGRAPH = r"[^\n]*\n|[^\n]+"
 BLANK, NO_BLANK, PLAIN = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]", r"[^\x20\x09-\x0D.!?,;:]"
 LEAF = rf"{BLANK}*(?:{NO_BLANK}{{0,63}}{PLAIN}{BLANK}+){{0,3}}{NO_BLANK}{{1,64}}{BLANK}*|{BLANK}+"
 LEAF_DIGITS, NODE_DIGITS = 6, 8
-#: Rows of one partition are numbered from its number times this, as Spark does.
-ROWS_PER_PART = 1 << 33
-#: Copies of a row may lie in so many partitions.
+#: Rows of one key may lie in so many ranges.
 COPY_PARTS = 64
+#: The bounds of ranges are searched in steps of so many.
+STEP = 256
 
 
 def _digest(parts: Column) -> Column:
@@ -106,27 +106,36 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, fingerprint(F.col(f"`{text}`")))
 
 
-def with_next(docs: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
-    """Every row with the columns ``carried`` of the next one in order of ``key``, as struct ``next``; the first follows the last.
+def with_next(docs: DataFrame, key: list[str], carried: str) -> DataFrame:
+    """Every row with ``carried`` of the next one in order of ``key``, as column ``next``; the first follows the last.
 
-    Rows are sorted into ranges of the key, written, and see their follower inside the range; the first row of each
-    range is given to the one before as well.  No range is more than a share of the table: rows with equal keys are spread.
+    The keys alone are sorted into ranges, whose first keys are the bounds.  Every row then goes, once, to the task of its
+    range, and so does a copy of the first row of the range behind, so that the last row of a range sees its follower.
+    Rows of one key are spread over ranges, which is right as rows equal in key are equal in ``carried`` too.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_first(k) for k in key] + [F.asc("_copy")]
-    ranged = docs.withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_PARTS)))
-    ranged = ranged.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_copy")
-    ranged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "in-order")
-    part = F.expr(f"_at div {ROWS_PER_PART}")
-    filled = [r[0] for r in ranged.select(part.alias("part")).distinct().orderBy("part").collect()]  # as many as ranges
-    rows = ranged.withColumn("_part", part)
-    before = F.create_map(*[F.lit(x) for pair in zip(filled, filled[-1:] + filled[:-1]) for x in pair]) if filled else F.lit(None)
-    firsts = rows.where(F.col("_at").isin([p * ROWS_PER_PART for p in filled])) if filled else rows.limit(0)
-    firsts = firsts.withColumn("_part", before[F.col("_part")] if filled else F.col("_part"))
-    both = rows.withColumn("_guest", F.lit(False)).unionByName(firsts.withColumn("_guest", F.lit(True)))
-    follower = F.lead(F.struct(*carried)).over(Window.partitionBy("_part").orderBy("_guest", "_at"))
-    return both.withColumn("next", follower).where(~F.col("_guest")).drop("_at", "_part", "_guest")
+    order = [F.asc_nulls_first(k) for k in [*key, "_copy"]]
+    keyed = docs.withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_PARTS)))
+    own = F.struct(*key, "_copy")
+    ranges = keyed.select(*key, "_copy").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    first = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(own).alias("first"))
+    bounds = materialise(first.agg(F.sort_array(F.collect_list("first")).alias("bounds")), "range-bounds")  # one for each range
+    found = F.expr(
+        f"size(filter(slice(bounds, (top - 1) * {STEP} + 1, {STEP}), b -> b <= own)) + (top - 1) * {STEP}"
+    )
+    marked = keyed.withColumns({"own": own, "bounds": bounds.scalar()})
+    marked = marked.withColumn("top", F.expr(f"greatest(1, size(filter(sequence(1, greatest(1, size(bounds)), {STEP}), i -> bounds[i - 1] <= own)))"))
+    rows = marked.withColumn("_range", found).drop("own", "bounds", "top")
+    # Behind each range stands a guest, the first row of the next range.
+    guest = bounds.select(F.size("bounds").alias("n"), F.posexplode("bounds").alias("place", "first"))
+    guest = guest.select(F.when(F.col("place") == 0, F.col("n")).otherwise(F.col("place")).alias("_range"), *[F.col(f"first.{k}").alias(f"_first_{k}") for k in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_first_{k}"))
+    guests = docs.join(F.broadcast(guest), same).groupBy("_range").agg(F.first(carried).alias(carried))
+    both = rows.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True)), allowMissingColumns=True)
+    follower = F.lead(carried).over(Window.partitionBy("_range").orderBy("_guest", *order))
+    return both.withColumn("next", follower).where(~F.col("_guest")).drop("_copy", "_range", "_guest")
 
 
 def compare_with_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,13 +149,13 @@ def compare_with_edits(docs: DataFrame, id: str = "doc_id", text: str = "text")
     table gives no row.
     """
     bare = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    printed = bare.withColumns({"hash": F.xxhash64("text"), "fingerprint": fingerprint(F.col("text"))})
-    rows = with_next(printed, ["id", "hash"], ["text", "fingerprint"])
+    rows = with_next(bare.withColumn("hash", F.xxhash64("text")), ["id", "hash"], "text")
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.text", F.lit(1), quarter))
-    rows = rows.select("id", n.cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("follower"), edited.alias("edited"))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next", F.lit(1), quarter))
+    rows = rows.select("id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+    prints = {"fingerprint": "text", "edited_fingerprint": "edited", "follower": "next"}
+    rows = rows.select("id", "n_chars", "edited", *[fingerprint(F.col(t)).alias(p) for p, t in prints.items()])
     own, other = F.col("fingerprint"), F.col("edited_fingerprint")
     return rows.select(
         F.col("id").alias(id), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
