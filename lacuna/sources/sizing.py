@@ -66,28 +66,57 @@ def few_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(TOP_N_TASKS)
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", hot_share: float = 0.01) -> DataFrame:
+def pinned(df: DataFrame) -> DataFrame | None:
+    """A small table as a local one, worked out by one job; None if it is beyond the bounds of a broadcast.
+
+    At most ``BROADCAST_MAX_ROWS + 1`` rows reach the driver.
+    """
+    if not fits_broadcast(df):
+        return None
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def lookup_join(
+    big: DataFrame, small: DataFrame, key: str, how: str = "left", hot_share: float = 0.01, fits: bool | None = None
+) -> DataFrame:
     """Left or inner join of ``big`` to a table with one row per ``key``.
 
-    Proven small: broadcast, no shuffle of ``big``.  Otherwise the keys are
-    counted; a key with more than ``hot_share`` of the rows is hot, and there
-    are at most 1 / ``hot_share`` of them.  The lookup rows of the hot keys are
-    therefore few and are broadcast, while all other rows join by shuffle.
-    Both ways give the same rows.
+    Proven small (or known to be by ``fits``): broadcast, no shuffle of
+    ``big``.  Otherwise the keys are counted; a key with more than
+    ``hot_share`` of the rows is hot, and there are at most 1 / ``hot_share``
+    of them.  The lookup rows of the hot keys are therefore few and are
+    broadcast, while all other rows join by shuffle.  Rows with a null key
+    have no lookup row and are not shuffled.  Both ways give the same rows.
     """
-    if fits_broadcast(small):
+    if fits_broadcast(small) if fits is None else fits:
         return big.join(F.broadcast(small), key, how)
-    counts = big.groupBy(key).count()
+    there = F.col(key).isNotNull()
+    counts = big.where(there).groupBy(key).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = [r[0] for r in counts.where((F.col("count") > hot_share * total) & F.col(key).isNotNull()).select(key).collect()]
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
-    if not hot:
-        return big.join(small, key, how)
-    spread = big.where(is_hot).join(F.broadcast(small.where(F.col(key).isin(hot))), key, how)
-    return spread.unionByName(big.where(~is_hot).join(small, key, how))
+    hot = [r[0] for r in counts.where(F.col("count") > hot_share * total).select(key).collect()]
+    known = big.where(there)
+    if hot:
+        is_hot = F.col(key).isin(hot)
+        spread = known.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how)
+        joined = spread.unionByName(known.where(~is_hot).join(small, key, how))
+    else:
+        joined = known.join(small, key, how)
+    if how != "left":
+        return joined
+    return joined.unionByName(big.where(~there), allowMissingColumns=True)
+
+
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the warehouse, which on a cluster must not be a local path then."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if (base.startswith(("/", "file:")) or ":" not in base) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return base
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, else below the warehouse: storage every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lacuna/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/lacuna/{purpose}-{uuid.uuid4().hex}"
