@@ -28,7 +28,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.functions.nested import let, literal, map_text, name, sum_text
+from lacuna.functions.nested import Rewrite, let, literal, map_text, name, sum_text, variant_text
 
 # What counts as a hit. D is a decimal digit, WORD a word
 # character and SPACE the whitespace characters, all in the Unicode sense.
@@ -175,6 +175,18 @@ def found_all_sql(text: str, steps: Sequence[Pattern]) -> str:
     return run(head, text, gated)
 
 
+def found_variant_sql(value: str, steps: Sequence[Pattern]) -> str:
+    """The cascade over all strings of a VARIANT as one struct: the VARIANT and the hits of each pattern by name."""
+    sums = ", ".join(f"{literal(p.name)}, aggregate(f, 0L, (n, h) -> n + coalesce(h.v.{p.name}, 0L))" for p in steps)
+    none = ", ".join(f"{literal(p.name)}, 0L" for p in steps)
+    walked = variant_text(
+        value,
+        lambda t: found_all_sql(t, steps),
+        lambda j, w, f: f"named_struct('text', CASE WHEN {w} <=> {j} THEN {value} ELSE parse_json({w}) END, {sums})",
+    )
+    return f"CASE WHEN {value} IS NULL THEN named_struct('text', {value}, {none}) ELSE {walked} END"
+
+
 def scrub(column: str, p: Pattern) -> Column:
     """The column with the pattern's hits replaced by its token."""
     return F.expr(scrub_sql(name(column), p))
@@ -203,22 +215,31 @@ def cascade(
         return df
     dtypes = {c: df.schema[c].dataType for c in columns}
 
-    def each(column: str, fn: Callable[[str], str], kept: Callable[[str], str]) -> Column:
+    def each(column: str, fn: Rewrite, kept: Rewrite, variant: Rewrite | None = None, variant_kept: Rewrite = str) -> Column:
         cell, dtype = name(column), dtypes[column]
-        changed = map_text(cell, dtype, fn)
+        changed = map_text(cell, dtype, fn, variant=variant)
         skip = unless.get(column) if unless else None
-        return F.expr(f"CASE WHEN {skip} THEN {map_text(cell, dtype, kept)} ELSE {changed} END" if skip else changed)
+        return F.expr(f"CASE WHEN {skip} THEN {map_text(cell, dtype, kept, variant=variant_kept)} ELSE {changed} END" if skip else changed)
 
     if counts is None:
-        return df.withColumns({c: each(c, lambda t: scrub_all_sql(t, steps), lambda t: t) for c in columns})
-    # First every string becomes its struct of text and hits, then those are taken apart.
+        return df.withColumns({c: each(c, lambda t: scrub_all_sql(t, steps), str) for c in columns})
+    # First every string, and every VARIANT as a whole, becomes its struct of text and hits, then those are taken apart.
     none = ", ".join(f"{literal(p.name)}, 0L" for p in steps)
     found = df.withColumns(
-        {c: each(c, lambda t: found_all_sql(t, steps), lambda t: f"named_struct('text', {t}, {none})") for c in columns}
+        {
+            c: each(
+                c,
+                lambda t: found_all_sql(t, steps),
+                lambda t: f"named_struct('text', {t}, {none})",
+                lambda v: found_variant_sql(v, steps),
+                lambda v: f"named_struct('text', {v}, {none})",
+            )
+            for c in columns
+        }
     )
     taken: dict[str, Column] = {}
     for c in columns:
-        taken[c] = F.expr(map_text(name(c), dtypes[c], lambda t: f"{t}.text"))
+        taken[c] = F.expr(map_text(name(c), dtypes[c], lambda t: f"{t}.text", variant=lambda v: f"{v}.text"))
         for p in steps:
             taken[counts(c, p.name)] = F.expr(sum_text(name(c), dtypes[c], lambda t, p=p: f"{t}.{p.name}"))
     return found.withColumns(taken)

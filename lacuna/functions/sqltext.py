@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c"
 
 # One alternation, first match wins.  Group 1 is a comment that opens another
-# comment (its "/*" is kept, which makes the text doubtful), group 2 the name
-# inside a quoted identifier, group 3 a dollar-quote tag.
+# comment (its "/*" is kept, which makes the text doubtful), group 2 the first
+# quote of a literal, group 3 the name inside a quoted identifier, group 4 the
+# dollar and tag that open a dollar quote, group 5 that tag.
 NESTED_COMMENT = r"(/\*[^*/]*+(?:(?:\*(?!/)|/(?!\*))[^*/]*+)*+/\*)"
 LINE_COMMENT = r"--[^\n\r]*+"
 BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-LITERAL = r"'(?:[^']++|'')*+'"
+LITERAL = r"(')(?:[^']++|'')*+'"
 IDENTIFIER = r'"((?:[^"]++|"")*+)"'
-DOLLAR_LITERAL = r"(?<![A-Za-z0-9_$\x{80}-\x{10ffff}])\$([A-Za-z_][A-Za-z0-9_]*+|)\$[\s\S]*?\$\3\$"
+DOLLAR_LITERAL = r"(?<![A-Za-z0-9_$\x{80}-\x{10ffff}])(\$([A-Za-z_][A-Za-z0-9_]*+|)\$)[\s\S]*?\$\5\$"
 TOKENS = "|".join((NESTED_COMMENT, LINE_COMMENT, BLOCK_COMMENT, LITERAL, IDENTIFIER, DOLLAR_LITERAL))
 QUOTED = "QUOTED__"
+# What brackets the opening of a literal while texts are blanked; the text itself is freed of both first.
+_OPEN, _CLOSE = "\x01", "\x02"
+# What stands for a literal in a blanked text.
+VALUE = "0"
 
 # Spellings that change how a literal or a name is read: backslash in an
 # escape string, Unicode-escaped identifier.
@@ -41,9 +46,10 @@ def tidy(sql: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    """Upper-case text with comments and literals blanked and one space between words."""
-    c = F.regexp_replace(text, TOKENS, f" $1 {QUOTED}$2 ")
-    c = F.regexp_replace(c, rf"{QUOTED}( |$)", " ")  # only quoted identifiers keep the mark
+    """Upper-case text with comments blanked, literals as ``0`` and one space between words."""
+    c = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "  "), TOKENS, f" $1 {_OPEN}$2$4{_CLOSE} {QUOTED}$3 ")
+    c = F.regexp_replace(c, f"{_OPEN}[^{_OPEN}{_CLOSE}]+{_CLOSE}", VALUE)
+    c = F.regexp_replace(F.translate(c, _OPEN + _CLOSE, ""), rf"{QUOTED}( |$)", " ")  # only quoted identifiers keep the mark
     c = F.regexp_replace(c, r"\s+", " ")
     c = F.regexp_replace(c, r" ?\. ?", ".")
     return F.upper(F.regexp_replace(c, r"^[; ]+|[; ]+$", ""))
@@ -134,18 +140,38 @@ def first_word(blanked: Column) -> Column:
 RUNS_QUERY = r"^[( ]*EXPLAIN ?(?:ANALY[SZ]E\b|VERBOSE ANALY[SZ]E\b|\([^)]*ANALY[SZ]E\b)"
 
 # Shapes that no grammar accepts: a clause without an operand or followed by the
-# next one, a head word alone, a WITH list without AS.  A literal is blanked, so
-# a clause that has only a literal counts as empty too.
+# next one, a head word alone, a WITH list without AS, an empty place in a list,
+# an operator without a right side, three plain words in a row.
 _CLAUSE = r"(?:(?<!DISTINCT )FROM|WHERE|JOIN|HAVING|GROUP BY|ORDER BY|UNION|EXCEPT|INTERSECT)"
+# Words of the grammar that can stand next to names without a comma or an operator between.
+GRAMMAR_WORDS = (
+    "ABSENT ALL ANALYSE ANALYZE AND ANY ARRAY AS ASC ASYMMETRIC AT BERNOULLI BETWEEN BOTH BY CASE CHARACTER COLLATE "
+    "COLUMNS CONDITIONAL CROSS CUBE CURRENT CYCLE DATE DAY DEFAULT DEPTH BREADTH DESC DISTINCT DOCUMENT DOUBLE ELSE EMPTY END "
+    "ERROR ESCAPE EXCEPT EXCLUDE EXISTS EXPLAIN FALSE FETCH FILTER FIRST FOLLOWING FOR FORMAT FROM FULL GROUP "
+    "GROUPING GROUPS HAVING HOUR ILIKE IN INNER INTERSECT INTERVAL INTO IS ISNULL JOIN JSON KEEP KEY KEYS LAST LATERAL "
+    "LEADING LEFT LIKE LIMIT LOCAL LOCKED MATERIALIZED MINUTE MONTH NATIONAL NATURAL NESTED NEXT NFC NFD NFKC NFKD NO "
+    "NORMALIZED NOT NOTNULL NOWAIT NULL NULLS OBJECT OF OFFSET OMIT ON ONLY OR ORDER ORDINALITY OTHERS OUTER OVER "
+    "OVERLAPS PARTITION PASSING PATH PLACING PRECEDING PRECISION QUOTES RANGE RECURSIVE REPEATABLE RETURNING RIGHT ROLLUP ROW "
+    "ROWS SCALAR SEARCH SECOND SELECT SET SETS SHARE SHOW SIMILAR SKIP SOME SYMMETRIC SYSTEM TABLE TABLESAMPLE TEMP "
+    "TEMPORARY THEN TIES TIME TIMESTAMP TO TRAILING TRUE UESCAPE UNBOUNDED UNCONDITIONAL UNION UNIQUE UNKNOWN UNLOGGED "
+    "UPDATE USING VALUE VALUES VARYING VERBOSE WHEN WHERE WINDOW WITH WITHIN WITHOUT WRAPPER YEAR ZONE"
+).split()
+_PLAIN_WORD = rf"(?!(?:{'|'.join(GRAMMAR_WORDS)})\b)[A-Z_][A-Z0-9_$]*+"
+_NEXT_CLAUSE = r"(?:FROM|WHERE|HAVING|GROUP BY|ORDER BY|LIMIT|OFFSET|UNION|EXCEPT|INTERSECT)"
 _INCOMPLETE = "|".join(
     (
         rf"\b{_CLAUSE} ?(?:$|[),;])",
         rf"\b{_CLAUSE} (?:FROM|WHERE|JOIN|HAVING|GROUP BY|ORDER BY|LIMIT|UNION|EXCEPT|INTERSECT)\b",
         r"^[( ]*(?:SHOW|EXPLAIN|WITH|VALUES|TABLE)[ )]*$",
+        rf", ?(?:,|\)|$|{_NEXT_CLAUSE}\b)|\( ?,|\b(?:SELECT|DISTINCT|VALUES|BY) ?,",
+        r"(?<!OPERATOR\([^)]{0,60})[-+/%<>=|&^] ?(?:$|[),])",
+        r"\b(?:LIMIT|OFFSET) ?(?:$|[),]|(?:LIMIT|OFFSET|FOR|FETCH)\b)",
+        r"^[( ]*SHOW (?!TIME ZONE$|SESSION AUTHORIZATION$|TRANSACTION ISOLATION LEVEL$)[^ ]+ [^ ]",
+        rf"\b{_PLAIN_WORD} {_PLAIN_WORD} {_PLAIN_WORD}\b",
     )
 )
 _WITH_LIST = r"^[( ]*(?:EXPLAIN ?(?:\([^)]*\) ?)?(?:VERBOSE )?)?WITH\b"
-_WITH_AS = r"\bAS (?:NOT )?(?:MATERIALIZED )?\(|\bAS\("
+_WITH_AS = r"\bAS ?(?:NOT )?(?:MATERIALIZED ?)?\("
 
 
 def incomplete(blanked: Column) -> Column:
