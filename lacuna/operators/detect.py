@@ -25,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.column_rules import MASK_TOKEN
+from lacuna.functions.names import unused
 from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
-from lacuna.sources.sizing import fits_broadcast
+from lacuna.sources.bloom import bloom_filter, may_hold
+from lacuna.sources.sizing import fits_broadcast, lookup_join
 
 # Python workers receive this module's code with the job; they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,34 +141,84 @@ def replace_terms(df: DataFrame, column: str, terms: DataFrame, hits: str = "hit
 
     Of a term with several labels the last in order holds.  A table that was
     counted small is broadcast and looked up in each row: no text is shuffled.
-    Otherwise the distinct words of each text meet the first words of the
-    terms in a join, and a text gets the terms that start with one of its
-    words, by a digest of the text; rows with null texts have no terms.
+    Otherwise runs of tokens that may be terms are joined to the terms, see
+    ``_joined_terms``.  Rows with null texts have no terms.
     """
     listed = terms.where("term IS NOT NULL AND term <> ''").groupBy("term").agg(F.max("label").alias("label"))
     if fits_broadcast(listed):
         index = _by_first_word((r["term"], r["label"]) for r in listed.collect())
         return _look_up(df, column, index, hits)
-    first = F.regexp_extract("term", rf"^(?:{WORD}+|[\s\S])", 0)
-    starts = F.array_distinct(F.regexp_extract_all(F.col(name(column)), F.lit(rf"{WORD}+|[\s\S]"), F.lit(0)))
-    texts = df.select(F.sha2(F.col(name(column)), 256).alias("_digest"), F.explode(starts).alias("_first")).distinct()
-    met = texts.join(listed.withColumn("_first", first), "_first")
-    own = met.groupBy("_digest").agg(F.collect_list(F.struct("term", "label")).alias("_terms"))
-    keyed = df.withColumn("_own", F.sha2(F.col(name(column)), 256))
-    joined = keyed.join(own, F.col("_own") == F.col("_digest"), "left")
-
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, listed_terms in batches:
-            done = []
-            for t, found in zip(text, listed_terms):
-                index = _by_first_word((x["term"], x["label"]) for x in found) if t and found is not None else {}
-                done.append(_replace_words(t, index, _starts(index)) if index else (t, 0))
-            yield pd.DataFrame({"text": [d[0] for d in done], "hits": [d[1] for d in done]})
+    return _joined_terms(df, column, listed, hits)
+
+
+_TOKEN = rf"{WORD}+|[\s\S]"
 
-    scan = F.pandas_udf(run, _RESULT)
-    scanned = joined.withColumn("_found", scan(F.col(name(column)), F.col("_terms")))
-    out = scanned.withColumns({column: F.col("_found.text"), hits: F.col("_found.hits")})
-    return out.select(*[F.col(name(c)) for c in df.columns], hits)
+
+def _joined_terms(df: DataFrame, column: str, listed: DataFrame, hits: str) -> DataFrame:
+    """``replace_terms`` for a term table of any size, by native expressions and one join.
+
+    A term is a run of tokens, which are words and single other characters.  Each run of a text that has as many tokens as
+    some term, and starts with the first token of some term, is looked up in a filter of all terms; the few that it lets
+    through are joined to the terms by the whole run, so it does not matter how many terms start alike.  What is found of
+    a text, by its digest, is put in order of place, and the text rebuilt from the offsets.
+    """
+    tokens_of = F.regexp_extract_all("term", F.lit(_TOKEN), F.lit(0))
+    known = listed.select("term", "label", F.size(tokens_of).alias("n"), F.element_at(tokens_of, 1).alias("first"))
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # token counts of terms: a few numbers
+    text, own = name(column), unused("_own", df.columns, [hits])
+    filters = bloom_filter(known.select(F.xxhash64("term"))), bloom_filter(known.select(F.xxhash64("first")).distinct())
+    frame = df.select(F.col(text).alias("text")).withColumns({"terms": filters[0].scalar(), "firsts": filters[1].scalar()})
+    frame = frame.withColumn("tokens", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
+
+    def runs(i: Column) -> Column:
+        """The runs from token i on that may be a term, with the characters before them."""
+        run = lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("tokens", i + 1, n), "").alias("term"))
+        fits = lambda r: (
+            (r["at"] + r["n"] <= F.size("tokens"))
+            & may_hold(F.col("terms"), F.xxhash64(r["term"]))
+            & ~F.coalesce(F.get("tokens", r["at"] + r["n"]).rlike(WORD), F.lit(False))
+        )
+        inner = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), run), fits)
+        # A word token ends where a word ends, so only a last token that is none needs the test above.
+        return inner
+
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
+    started = F.filter(places, lambda i: may_hold(F.col("firsts"), F.xxhash64(F.get("tokens", i))) & ~_cut_word(i))
+    found = frame.select(F.sha2("text", 256).alias("digest"), F.explode(F.flatten(F.transform(started, runs))).alias("r")).select("digest", "r.*").distinct()
+    met = lookup_join(found, known.select("term", "label"), "term", "inner")
+    runs_of = F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "label")))
+    small = met.groupBy(F.col("digest").alias(own)).agg(runs_of.alias("_runs"))
+    names = {n: unused(n, df.columns, [hits]) for n in ("_runs", "_tokens", "_done")}
+    keyed = df.withColumn(own, F.sha2(F.col(text), 256))
+    joined = lookup_join(keyed, small.withColumnRenamed("_runs", names["_runs"]), own)
+    joined = joined.withColumn(names["_tokens"], F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0)))
+    tokens = F.col(names["_tokens"])
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,end:int,label:string>>").alias("kept"))
+
+    def take(state: Column, r: Column) -> Column:
+        """The next run, if it starts behind the last one taken; of runs from one place the longest comes first."""
+        span = F.struct(r["at"].alias("at"), (r["at"] - r["less"]).alias("end"), r["label"].alias("label"))
+        taken = F.struct((r["at"] - r["less"]).alias("end"), F.array_append(state["kept"], span).alias("kept"))
+        return F.when(r["at"] >= state["end"], taken).otherwise(state)
+
+    kept = F.aggregate(F.col(names["_runs"]), start, take, lambda state: state["kept"])
+    joined = joined.withColumn(names["_done"], kept)
+    done = F.col(names["_done"])
+    piece = lambda k, i: F.concat(
+        F.array_join(F.slice(tokens, F.coalesce(F.get(done, i - 1)["end"], F.lit(0)) + 1, k["at"] - F.coalesce(F.get(done, i - 1)["end"], F.lit(0))), ""),
+        F.lit("<"), k["label"], F.lit(">"),
+    )
+    rest = F.array_join(F.slice(tokens, F.element_at(done, -1)["end"] + 1, F.size(tokens)), "")
+    new = F.when(F.size(done) > 0, F.concat(F.array_join(F.transform(done, piece), ""), rest)).otherwise(F.col(text))
+    counted = F.coalesce(F.when(F.size(done) > 0, F.size(done)), F.lit(0)).cast("bigint")
+    out = joined.withColumns({column: new, hits: counted})
+    return out.select(*[F.col(name(c)) for c in df.columns if c != hits], hits)
+
+
+def _cut_word(i: Column) -> Column:
+    """Whether a token that is no word stands right behind a word: no term starts there."""
+    token, before = F.get("tokens", i), F.get("tokens", i - 1)
+    return ~token.rlike(WORD) & F.coalesce(before.rlike(WORD), F.lit(False))
 
 
 # ------------------------------------------------------------------ detector
@@ -288,8 +340,8 @@ def _call_all(call: Callable[[str], str], texts: Sequence[str], timeout: float,
 
 def _python_transform(run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]) -> Transform:
     def transform(df: DataFrame, column: str, hits: str) -> DataFrame:
-        scan = F.pandas_udf(run, _RESULT)
-        scanned = df.withColumn("_found", scan(F.col(f"`{column}`")))
-        return scanned.withColumns({column: F.col("_found.text"), hits: F.col("_found.hits")}).drop("_found")
+        scan, found = F.pandas_udf(run, _RESULT), unused("_found", df.columns, [hits])
+        scanned = df.withColumn(found, scan(F.col(name(column))))
+        return scanned.withColumns({column: F.col(f"{found}.text"), hits: F.col(f"{found}.hits")}).drop(found)
 
     return transform

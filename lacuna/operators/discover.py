@@ -7,12 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions.column_rules import hash_token
 from lacuna.functions.nested import holds_text, literal
-from lacuna.functions.patterns import cascade
+from lacuna.functions.patterns import WORD, cascade
 from lacuna.operators.catalog import rows_from
 from lacuna.policy import ColumnRule, PatternToggles, RedactPolicy
+from lacuna.sources.bloom import bloom_filter, may_hold
 
 # A column is suspicious if its lower-cased name contains one of these.
 NAME_HINTS = (
@@ -180,6 +182,56 @@ def leak_check(redacted: DataFrame, policy: RedactPolicy, table: str) -> DataFra
     return found.select("table_name", "column_name", "pattern", "scanned", "hits", (F.col("hits") > 0).alias("leaked"))
 
 
+#: Values of fewer characters are no sign of anything, and those of more words are not looked for.
+LEAK_CHARS, LEAK_WORDS = 5, 12
+_TEXT_WORDS = rf"{WORD}+"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TEXT_WORDS), F.lit(0))
+
+
+def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFrame], salt: str = "") -> DataFrame:
+    """Whether masked, dropped or hashed values of ``raw`` still stand in a text: value_column, digest, table_name,
+    column_name, texts.
+
+    A value stands in a text if its words stand there one after the other.  Values of fewer than ``LEAK_CHARS`` characters, of
+    no word or of more than ``LEAK_WORDS`` words are not looked for.  ``digest`` is SHA-256 of the salt and the value,
+    ``texts`` counts the rows of each text column that hold it.
+
+    The values fill a filter, sized by their number.  A text gives the runs of words that have the length of some value and
+    that the filter lets through; only these are joined to the values, by the words themselves.
+    """
+    hidden = [c for c in dict.fromkeys(raw.columns) if (r := policy.rule_for(c)) is not None and r.strategy != "partial"]
+    empty = raw.sparkSession.createDataFrame([], "value_column string, digest string, table_name string, column_name string, texts bigint")
+    frames = {t: [c for c, f in zip(df.columns, df.schema.fields) if isinstance(f.dataType, T.StringType)] for t, df in texts.items()}
+    if not hidden or not any(frames.values()):
+        return empty
+    frame = raw.toDF(*[f"c{i}" for i in range(len(raw.columns))])
+    parts = [frame.select(F.lit(c).alias("value_column"), F.col(f"c{raw.columns.index(c)}").cast("string").alias("value")).distinct() for c in hidden]
+    values = reduce(DataFrame.unionAll, parts).where(F.length("value") >= LEAK_CHARS)
+    values = values.withColumn("n", F.size(_words(F.col("value")))).where(F.col("n").between(1, LEAK_WORDS))
+    values = values.select("value_column", "n", F.array_join(_words(F.col("value")), " ").alias("run"), F.sha2(F.concat(F.lit(salt), F.col("value")), 256).alias("digest"))
+    lengths = sorted(r["n"] for r in values.select("n").distinct().collect())  # at most LEAK_WORDS numbers
+    if not lengths:
+        return empty
+    bits = bloom_filter(values.select(F.xxhash64("run")))
+    found = []
+    for table, df in texts.items():
+        own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+        for c in dict.fromkeys(frames[table]):
+            words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words")).withColumn("bits", bits.scalar())
+            runs = [
+                F.when(F.size("words") >= n, F.filter(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i, n=n: F.array_join(F.slice("words", i, n), " ")), lambda r: may_hold(F.col("bits"), F.xxhash64(r))))
+                for n in lengths
+            ]
+            kept = F.array_distinct(F.concat(*[F.coalesce(r, F.array().cast("array<string>")) for r in runs]))
+            hits = words.where("words IS NOT NULL").select(F.explode(kept).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+            found.append(hits.select("run", F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "texts"))
+    met = reduce(DataFrame.unionAll, found).join(values, "run")
+    return met.groupBy("value_column", "digest", "table_name", "column_name").agg(F.sum("texts").alias("texts"))
+
+
 def hash_join_integrity(left: DataFrame, right: DataFrame, key: str, salt: str = "", digits: int = 12) -> DataFrame:
     """One row on whether joining hash tokens equals joining raw keys.
 

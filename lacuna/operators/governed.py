@@ -9,15 +9,16 @@ from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions.column_rules import MASK_TOKEN, hash_token, partial
+from lacuna.functions.names import unused
 from lacuna.functions.patterns import cascade
 from lacuna.operators.redact import redact, redact_with_hits
 from lacuna.policy import Governance, ReadPolicy, RedactPolicy
-from lacuna.sources.sizing import few_tasks, lookup_join
+from lacuna.sources.sizing import few_tasks, lookup_join, pinned, shared_folder
 
 
 class PolicyViolation(ValueError):
@@ -105,9 +106,10 @@ def govern(
     failing source) an *error* one; neither raises.  An unknown database is a
     caller's mistake and does.
 
-    The outcome is computed at once; it moves one row per task.  The rows are
-    read when they are used, in the order of ``order_by``, which makes the cut
-    the same every time.
+    The source is read once: ``max_rows + 1`` rows, in the order of
+    ``order_by``, which makes the cut the same every time, are redacted and
+    written to the shared folder, and shape and flag are observed as they are.
+    The rows come from there, so a source that fails does so here.
     """
     read, policy = governance.for_source(database, sources)
     spark = SparkSession.active()
@@ -115,34 +117,54 @@ def govern(
     names = ", ".join(columns) or "*"
     sql = f"SELECT {names} FROM {table}" + (f" ORDER BY {', '.join(order_by)}" if order_by else "")
     shape, rows, reason, error = (0, 0, False), None, None, None
-    listed: list[str] = []
     try:
-        check_columns(table, columns, read)
         df = sources[database][table]
-        rows = governed_select(df, table, columns, read, policy, order_by)
-        shape = _shape(df, columns, read, policy, order_by)
-        listed = rows.columns
+    except KeyError:
+        df = None
+    try:
+        check_columns(table, columns, read)
+        if df is None:
+            error = f"unknown table {table}"
+        else:
+            rows, shape = _read_once(df, columns, read, policy, order_by)
     except PolicyViolation as e:
         reason = str(e)
-    except KeyError:
-        error = f"unknown table {table}"
     except PySparkException as e:
         rows, error = None, (e.getCondition() or type(e).__name__)
+    listed = rows.columns if rows is not None else []
     taken = (time.monotonic() - started) * 1000
     outcome = (now, database, sql, reason, error, *shape, taken, listed)
     return GovernedResult(spark.createDataFrame([outcome], OUTCOME), rows)
 
 
-def _shape(
+def _read_once(
     df: DataFrame, columns: Sequence[str], read: ReadPolicy, policy: RedactPolicy, order_by: Sequence[str]
-) -> tuple[int, int, bool]:
-    """(rows, redactions, truncated) of a governed read, from one aggregate."""
-    kept = bounded_read(df, read.max_rows, order_by).select(*(columns or ["*"]))
-    hits = redact_with_hits(kept, policy, _HITS)
-    totals = hits.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(_HITS), F.lit(0)).alias("redactions"))
-    cut = bounded_read_flag(df, read.max_rows).select("truncated").scalar()
-    row = totals.withColumn("truncated", cut).first()
-    return row["rows"], row["redactions"], row["truncated"]
+) -> tuple[DataFrame, tuple[int, int, bool]]:
+    """The redacted rows, written and in order, and (rows, redactions, truncated), from one read of ``df``."""
+    spark = df.sparkSession
+    chosen = columns or ["*"]
+    if order_by and not set(order_by) <= set(df.select(*chosen).columns):
+        cut = bounded_read(df, read.max_rows + 1, order_by).select(*chosen)
+    else:
+        cut = bounded_read(df.select(*chosen), read.max_rows + 1, order_by)
+    names = cut.columns
+    # The rows are at most one more than the limit, in order.
+    number = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    placed = cut.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("place", number - 1)
+    place = unused("place", names, [r.column for r in policy.rules])
+    renamed = placed.select(F.col("place").alias(place), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    hits = redact_with_hits(renamed, policy, _HITS)
+    flat = hits.toDF("place", *[f"c{i}" for i in range(len(names))], "hits")
+    kept = F.col("place") < read.max_rows
+    seen = Observation()
+    redactions = F.coalesce(F.sum(F.when(kept, F.col("hits"))), F.lit(0)).cast("bigint").alias("redactions")
+    folder = shared_folder(spark, "governed")
+    flat.observe(seen, F.count(F.lit(1)).alias("fetched"), redactions).where(kept).drop("hits").write.parquet(folder)
+    found = seen.get
+    shape = (min(found["fetched"], read.max_rows), found["redactions"], found["fetched"] > read.max_rows)
+    types = flat.drop("hits").schema
+    back = spark.read.schema(types).parquet(folder).orderBy("place")
+    return back.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)]), shape
 
 
 _HITS = "_hits"
@@ -165,50 +187,60 @@ def redact_by_source(
     last by ``position`` holds if ``rules`` has such a column, else the
     strictest.  Patterns run afterwards on the cells that were not hashed.
 
-    The rules shrink to one map per source and are broadcast only if counted
-    small; the other way spreads a dominant source over many tasks.
+    The rules shrink to one map per source, which is worked out once and
+    broadcast if small; the other way spreads a dominant source over many
+    tasks.  Columns are handled by their place, so no name of ``df`` matters.
     """
     policy = policy or RedactPolicy()
+    names = df.columns
+    frame = df.toDF(*[f"c{i}" for i in range(len(names))])
+    per_source = _rules_by_source(rules, "position" in rules.columns)
+    small = pinned(per_source)
     if columns is None:
-        scalar = {f.name.lower(): f for f in df.schema.fields if not isinstance(f.dataType, T.StringType)}
-        named = rules.select(F.lower("column").alias("name")).where(F.col("name").isin(list(scalar))).distinct()
-        ruled = {r["name"] for r in named.collect()} if scalar else set()  # at most the columns of df
+        ruled = _ruled_columns(small if small is not None else per_source, [f for f in df.schema.fields if not isinstance(f.dataType, T.StringType)])
         columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) or f.name.lower() in ruled]
-    governed = [c for c in columns if c != source]
+    wanted = {c.lower() for c in columns if c != source}
+    governed = {f"c{i}": n for i, n in enumerate(names) if n.lower() in wanted and n != source}
+    at = f"c{names.index(source)}"
+    own = (small if small is not None else per_source).select(F.col("rule_source").alias("source"), "rules")
+    shared = own.where("source IS NULL").select("rules").scalar()
+    joined = lookup_join(frame.withColumn("source", F.col(at)), own.where("source IS NOT NULL"), "source", fits=small is not None)
+    joined = joined.withColumn("shared", shared)
+    rule_of = {}
+    for c, n in governed.items():
+        key = F.lit(n.lower())
+        joined = joined.withColumn(f"{c}_rule", F.coalesce(F.try_element_at("rules", key), F.try_element_at("shared", key)))
+        rule_of[c] = f"{c}_rule"
+    out = joined.withColumns({c: _by_rule(F.col(c), F.col(r), policy) for c, r in rule_of.items()})
+    hashed = {c: f"{r}.strategy = 'hash'" for c, r in rule_of.items()}
+    out = cascade(out, list(rule_of), policy.patterns.enabled(), unless=None if policy.rescan_hashed else hashed)
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _rules_by_source(rules: DataFrame, ordered: bool) -> DataFrame:
+    """(rule_source, rules): for each source, and for the shared rules of a null one, a map from column to rule."""
     given = F.lower(F.btrim("strategy"))
     strategy = F.when(given.isin(*_STRICTNESS), given).otherwise("mask")
     strict = F.coalesce(*[F.when(strategy == n, F.lit(i)) for i, n in enumerate(_STRICTNESS)])
-    weight = F.col("position").cast("bigint") if "position" in rules.columns else strict.cast("bigint")
-    slim = rules.select(
-        F.col("source").alias("_rule_source"),
+    weight = (F.col("position") if ordered else strict).cast("bigint")
+    slim = rules.where(F.col("column").isNotNull()).select(
+        F.col("source").alias("rule_source"),
         F.lower("column").alias("name"),
         F.struct(weight.alias("weight"), (-F.coalesce("keep", F.lit(4))).alias("less"), strategy.alias("strategy")).alias("rule"),
     )
-    single = slim.groupBy("_rule_source", "name").agg(F.max("rule").alias("top")).select(
-        "_rule_source", "name", F.struct(F.col("top.strategy").alias("strategy"), (-F.col("top.less")).alias("keep")).alias("rule")
-    )
-    wanted = single.where(F.col("name").isin([c.lower() for c in governed]))
-    per_source = wanted.groupBy("_rule_source").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "rule"))).alias("_rules")
-    )
-    shared = per_source.where(F.col("_rule_source").isNull()).select("_rules").scalar()
-    own = per_source.where(F.col("_rule_source").isNotNull())
-    joined = lookup_join(df.withColumn("_rule_source", F.col(source)), own, "_rule_source")
-    joined = joined.withColumn("_shared", shared)
-
-    rule_of: dict[str, str] = {}
-    for i, name in enumerate(governed):
-        key = F.lit(name.lower())
-        joined = joined.withColumn(
-            f"_rule{i}",
-            F.coalesce(F.try_element_at("_rules", key), F.try_element_at("_shared", key)),
-        )
-        rule_of[name] = f"_rule{i}"
-    changed = {n: _by_rule(F.col(f"`{n}`"), F.col(rule_of[n]), policy) for n in governed}
-    out = joined.withColumns(changed)
-    hashed = {n: f"{rule_of[n]}.strategy = 'hash'" for n in governed}
-    out = cascade(out, governed, policy.patterns.enabled(), unless=None if policy.rescan_hashed else hashed)
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    top = slim.groupBy("rule_source", "name").agg(F.max("rule").alias("top"))
+    rule = F.struct(F.col("top.strategy").alias("strategy"), (-F.col("top.less")).alias("keep"))
+    entries = top.select("rule_source", F.struct("name", rule.alias("rule")).alias("entry"))
+    return entries.groupBy("rule_source").agg(F.map_from_entries(F.collect_list("entry")).alias("rules"))
+
+
+def _ruled_columns(per_source: DataFrame, fields: Sequence[T.StructField]) -> set[str]:
+    """The lower-case names of those fields that some source has a rule for."""
+    wanted = {f.name.lower() for f in fields}
+    if not wanted:
+        return set()
+    named = per_source.select(F.explode(F.map_keys("rules")).alias("name")).where(F.col("name").isin(sorted(wanted))).distinct()
+    return {r["name"] for r in named.collect()}  # at most the columns of the table
 
 
 # From the least to the most that a rule hides.

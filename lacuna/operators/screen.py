@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import sqltext
+from lacuna.functions.names import unused
+from lacuna.functions.nested import name
+from lacuna.operators.asof import as_of_join
 from lacuna.policy import ReadPolicy
 from lacuna.sources.sizing import lookup_join
 
@@ -24,6 +27,7 @@ RULE_COLUMNS = (
     "violations",
     "star_pii",
 )
+_VERDICT = ("rule", "reason", "allowed")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,8 +80,9 @@ def _outcome(sql: str, guarded: Column | None) -> Column:
 
 def rule_columns(df: DataFrame, sql: str = "sql", policy: ReadPolicy | None = None) -> DataFrame:
     """Add the outcome of every rule, whether or not an earlier rule already decided."""
-    screened = df.withColumn("_screen", _outcome(sql, _guarded(policy)))
-    return screened.withColumns({c: F.col(f"_screen.{c}") for c in RULE_COLUMNS}).drop("_screen")
+    found = unused("_screen", df.columns, RULE_COLUMNS)
+    screened = df.withColumn(found, _outcome(sql, _guarded(policy)))
+    return screened.withColumns({c: F.col(f"{found}.{c}") for c in RULE_COLUMNS}).drop(found)
 
 
 # The wording of the verdicts.
@@ -113,7 +118,7 @@ def _verdict(r: Column) -> Column:
         ),
     ]
     return F.coalesce(
-        *[F.when(hit, F.struct(F.lit(name).alias("rule"), text.alias("reason"))) for name, hit, text in ladder]
+        *[F.when(hit, F.struct(F.lit(label).alias("rule"), text.alias("reason"))) for label, hit, text in ladder]
     )
 
 
@@ -131,23 +136,45 @@ def screen_by_source(df: DataFrame, policies: DataFrame, sql: str = "sql", sourc
     parts hold together: all tables, and no star unless all allow it.
     """
     merged = policies.groupBy("source").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_tables")))).alias("tables"),
-        F.bool_and(F.coalesce("allow_star", F.lit(False))).alias("free"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pii_tables")))).alias("pii_tables"),
+        F.bool_and(F.coalesce("allow_star", F.lit(False))).alias("allow_star"),
     )
-    lower = F.transform("tables", lambda t: F.lower(t))
-    tables = merged.select("source", F.when(F.col("free"), F.array().cast("array<string>")).otherwise(lower).alias("_guarded"))
-    shared = tables.where("source IS NULL").select("_guarded").scalar()
-    own = tables.where("source IS NOT NULL").withColumnRenamed("source", "_source")
-    joined = lookup_join(df.withColumn("_source", F.col(source)), own, "_source").withColumn("_shared", shared)
-    guarded = F.coalesce("_guarded", "_shared", F.array().cast("array<string>"))
-    judged = _judged(joined, sql, guarded)
-    return judged.select(*[F.col(f"`{c}`") for c in df.columns], "rule", "reason", "allowed")
+    key, own_tables, shared_tables = (unused(n, df.columns, _VERDICT) for n in ("_source", "_guarded", "_shared"))
+    tables = merged.select("source", _tables_of(F.col("pii_tables"), F.col("allow_star")).alias(own_tables))
+    shared = tables.where("source IS NULL").select(own_tables).scalar()
+    own = tables.where("source IS NOT NULL").withColumnRenamed("source", key)
+    joined = lookup_join(df.withColumn(key, F.col(name(source))), own, key).withColumn(shared_tables, shared)
+    guarded = F.coalesce(own_tables, shared_tables, F.array().cast("array<string>"))
+    return _judged(joined, sql, guarded).select(*[F.col(name(c)) for c in df.columns if c not in _VERDICT], *_VERDICT)
+
+
+def screen_as_of(df: DataFrame, versions: DataFrame, sql: str = "sql", source: str = "database", at: str = "ts") -> DataFrame:
+    """``screen_by_source`` with the policy that was in force when each query ran.
+
+    ``versions`` has (source, since, pii_tables array<string>, allow_star): a version holds for its source from ``since``
+    until the next one.  Versions of a NULL source are the shared policy, used where the source has none yet.  A query
+    without a time or before every version is guarded by nothing.
+    """
+    own, shared = (unused(n, df.columns, _VERDICT) for n in ("_guarded", "_shared"))
+    listed = versions.select("source", "since", _tables_of(F.col("pii_tables"), F.col("allow_star")).alias(own))
+    dated = as_of_join(df, listed, source, at, "source", "since", [own])
+    general = listed.where("source IS NULL").select("since", F.col(own).alias(shared))
+    dated = as_of_join(dated, general, None, at, None, "since", [shared])
+    guarded = F.coalesce(own, shared, F.array().cast("array<string>"))
+    return _judged(dated, sql, guarded).select(*[F.col(name(c)) for c in df.columns if c not in _VERDICT], *_VERDICT)
+
+
+def _tables_of(pii_tables: Column, allow_star: Column) -> Column:
+    """The tables that a policy keeps from being read by star, in lower case and in order."""
+    lower = F.array_sort(F.array_distinct(F.transform(F.coalesce(pii_tables, F.array().cast("array<string>")), lambda t: F.lower(t))))
+    return F.when(F.coalesce(allow_star, F.lit(False)), F.array().cast("array<string>")).otherwise(lower)
 
 
 def _judged(df: DataFrame, sql: str, guarded: Column | None) -> DataFrame:
-    judged = df.withColumn("_verdict", _let(_outcome(sql, guarded), _verdict))
-    rule, reason = F.col("_verdict.rule"), F.col("_verdict.reason")
-    return judged.withColumns({"rule": rule, "reason": reason, "allowed": rule.isNull()}).drop("_verdict")
+    found = unused("_verdict", df.columns, _VERDICT)
+    judged = df.withColumn(found, _let(_outcome(sql, guarded), _verdict))
+    rule, reason = F.col(f"{found}.rule"), F.col(f"{found}.reason")
+    return judged.withColumns({"rule": rule, "reason": reason, "allowed": rule.isNull()}).drop(found)
 
 
 def screen_summary(screened: DataFrame, *by: str) -> DataFrame:
