@@ -280,6 +280,8 @@ def _profile(t: str, i: int, c: str, family: str) -> str:
 ORACLES["column_profile"] = " UNION ALL ".join(
     _profile(t, i, c, family) for t, cols in SCHEMAS.items() for i, (c, family) in enumerate(cols.items(), 1)
 )
+ORACLES["profile_incremental"] = f"""SELECT table_name, ordinal, column_name, nulls, max_length, true AS distinct_ok
+  FROM ({ORACLES['column_profile']}) p"""
 
 # ------------------------------------------------------------- column rules
 
@@ -331,6 +333,11 @@ ORACLES["pattern_counts"] = " UNION ALL ".join(
 )
 ORACLES["pattern_counts_by_lang"] = f"SELECT lang, {_sums('text')} FROM ({_DOCS}) d GROUP BY lang"
 
+_TAKEN = " + ".join(f"{len(p) + 2} * n_text_{p}" for p in ORDER)
+ORACLES["pii_findings"] = f"""SELECT d.doc_id, {total(('text',))} AS hits,
+  CAST(length(raw.text) - length(d.text) + {_TAKEN} AS BIGINT) AS covered, d.text
+  FROM ({_DOCS}) d JOIN documents raw ON raw.doc_id = d.doc_id"""
+
 # ------------------------------------------------------------ full redactor
 
 ORACLES["redact_full"] = f"SELECT {CONTACT_COLUMNS}, n_rules + {total(_SCANNED)} AS redactions FROM ({FULL}) f"
@@ -346,6 +353,20 @@ _PARTS = ("note", "ip", "phone", "card", "email")
 _NESTED = cascade(f"SELECT contact_id, {', '.join(_PARTS)} FROM ({CONTACTS}) c", _PARTS)
 ORACLES["redact_nested"] = f"""SELECT contact_id, note || ' | ' || ip AS items, phone, card, email AS mail,
   {total(_PARTS)} AS redactions FROM ({_NESTED}) n"""
+_VARIANT_PARTS = ("note", "ip", "card", "email")
+
+
+def _variant(source: str) -> str:
+    inner = r"""'{"ip":' || to_json(ip) || ',"list":[' || to_json(note) || ',"a \"quoted\" é\n"],"map":{"1.2.3.4":' || to_json(card) || '}}'"""
+    return f"""SELECT *, CASE WHEN contact_id % 7 <> 3 THEN '{{"deep":[' || {inner} || ',' || {inner} || '],'
+      || CASE WHEN email IS NULL THEN '' ELSE '"email":' || to_json(email) || ',' END || '"n":' || contact_id || '}}' END AS v FROM ({source}) s"""
+
+
+_VARIANTS = cascade(f"SELECT contact_id, {', '.join(_VARIANT_PARTS)} FROM ({CONTACTS}) c", _VARIANT_PARTS)
+ORACLES["redact_variant"] = f"""SELECT contact_id, v, CASE WHEN v IS NULL THEN 0
+    ELSE 2 * ({total(('note', 'ip', 'card'))}) + {total(('email',))} END AS redactions FROM ({_variant(_VARIANTS)}) x"""
+ORACLES["wire_variant"] = f"""SELECT '{{"contact_id":' || contact_id || ',"v":' || coalesce(v, 'null') || '}}' AS json
+  FROM ({_variant(f'SELECT * FROM ({CONTACTS}) c')}) x"""
 ORACLES["redact_stream"] = f"SELECT {CONTACT_COLUMNS} FROM ({FULL}) f"
 ORACLES["redact_stream_counts"] = ORACLES["redact_full_counts"]
 
@@ -442,6 +463,24 @@ _OWN_POLICY = f"""SELECT * REPLACE (CASE WHEN database = 'prod' AND star_pii = '
   FROM ({RULES}) r"""
 ORACLES["screen_by_source"] = f"""SELECT query_id, database, rule IS NULL AS allowed, rule, reason
   FROM ({_decided(_OWN_POLICY)}) d"""
+# What the fragments of a text do, by construction.
+_EFFECTS = ", ".join(f"{derived.shape_effect(i)} AS {n}" for i, n in enumerate(("head", "list", "origin", "filter", "tail")))
+_SHAPE_RULES = f"""SELECT query_id, database, false AS is_empty,
+    CASE WHEN tail = 'incomplete' THEN 'incomplete statement' END AS parse_error, tail = 'multi' AS is_multi, NULL AS bad_top,
+    head = 'analyze' AS explain_analyze,
+    concat_ws(', ', CASE WHEN filter <> '' THEN filter END, CASE WHEN tail = 'lock' THEN 'row-locking clause (FOR UPDATE/SHARE)' END) AS violations,
+    CASE WHEN list = 'star' THEN origin ELSE '' END AS star_pii
+  FROM (SELECT *, {_EFFECTS} FROM ({derived.SHAPED_SQL}) s) e"""
+ORACLES["screen_shapes"] = f"SELECT query_id, rule IS NULL AS allowed, rule, reason FROM ({_decided(_SHAPE_RULES)}) d"
+# What each query's own policy, else the shared one, says at its time; the texts read contacts or users by star.
+_VERSIONS = f"SELECT source, since, CASE WHEN allow_star THEN '' ELSE lower(tables) END AS guarded FROM ({derived.VERSIONS_SQL}) v"
+_IN_FORCE = f"""SELECT r.* REPLACE (CASE WHEN star_pii <> '' AND contains(coalesce(own.guarded, shared.guarded, ''), star_pii)
+    THEN star_pii ELSE '' END AS star_pii)
+  FROM (SELECT r.*, l.ts FROM ({RULES}) r JOIN ({LOG}) l USING (query_id)) r
+  ASOF LEFT JOIN ({_VERSIONS}) own ON own.source = r.database AND r.ts >= own.since
+  ASOF LEFT JOIN (SELECT * FROM ({_VERSIONS}) s WHERE source IS NULL) shared ON r.ts >= shared.since"""
+ORACLES["screen_as_of"] = f"""SELECT query_id, database, rule IS NULL AS allowed, rule, reason
+  FROM ({_decided(_IN_FORCE)}) d"""
 ORACLES["screen_summary"] = f"""SELECT database, rule IS NULL AS allowed, rule, count(*) AS queries
   FROM ({_DECIDED}) d GROUP BY ALL"""
 _GOVERNED = cascade(
@@ -536,6 +575,29 @@ ORACLES["audit_stream_windowed"] = f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') A
   count(*) AS queries, CAST(sum(redactions) AS BIGINT) AS redactions
   FROM (SELECT *, date_trunc('hour', ts) AS w FROM ({AUDIT}) a) b GROUP BY w, database, status"""
 
+# A window that ends ten minutes before the newest entry of an earlier delivery is closed.
+_DELIVERY = "CAST(floor((floor(epoch(ts)) - 1704067200) / 691200) AS INTEGER)"
+ORACLES["audit_stream_watermark"] = f"""WITH a AS (
+    SELECT *, date_trunc('hour', ts) AS w, {_DELIVERY} + CASE WHEN query_id % 17 = 0 THEN 1 ELSE 0 END AS d FROM ({AUDIT}) x),
+  newest AS (SELECT d, max(ts) AS ts FROM a GROUP BY d),
+  marks AS (SELECT d, max(ts) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM newest),
+  judged AS (SELECT a.*, coalesce(w + INTERVAL 1 HOUR <= mark - INTERVAL 10 MINUTE, false) AS late FROM a JOIN marks USING (d))
+  SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, database, status, count(*) FILTER (NOT late) AS queries,
+    CAST(coalesce(sum(redactions) FILTER (NOT late), 0) AS BIGINT) AS redactions, count(*) FILTER (late) AS late
+  FROM judged GROUP BY w, database, status"""
+ORACLES["audit_sessions"] = f"""WITH a AS (
+    SELECT *, coalesce(ts - lag(ts) OVER o > INTERVAL 30 MINUTE, true) AS first FROM ({AUDIT}) x WINDOW o AS (PARTITION BY database ORDER BY ts)),
+  b AS (SELECT *, count(*) FILTER (first) OVER (PARTITION BY database ORDER BY ts) AS n FROM a)
+  SELECT database, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended,
+    count(*) AS queries, CAST(sum(redactions) AS BIGINT) AS redactions FROM b GROUP BY database, n"""
+ORACLES["audit_sessions_stream"] = ORACLES["audit_sessions"]
+ORACLES["audit_stream_dedup"] = f"""SELECT query_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, database, status, redactions
+  FROM ({AUDIT}) a"""
+ORACLES["match_outcomes_stream"] = f"""SELECT q.query_id, strftime(q.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, database,
+    strftime(o.ts, '%Y-%m-%d %H:%M:%S.%f') AS answered, status
+  FROM ({LOG}) q LEFT JOIN ({derived.REPLIES_SQL}) o
+  ON o.query_id = q.query_id AND o.ts BETWEEN q.ts AND q.ts + INTERVAL 10 MINUTE"""
+
 # ----------------------------------------------------- policies, verification
 
 _BY_SOURCE = cascade(
@@ -546,6 +608,7 @@ _BY_SOURCE = cascade(
     ("full_name", "card", "ip", "note"),
 )
 ORACLES["redact_by_source"] = f"SELECT {CONTACT_COLUMNS} FROM ({_BY_SOURCE}) b"
+ORACLES["redact_by_source_stream"] = ORACLES["redact_by_source"]
 _PROD = cascade(f"SELECT contact_id, email, note FROM ({CONTACTS}) c WHERE source = 'prod'", ("note",), _DEFAULT)
 _STAGING = cascade(f"SELECT contact_id, email, note, ip FROM ({CONTACTS}) c WHERE source = 'staging'", ("note", "ip"))
 ORACLES["multi_source_redact"] = f"""
@@ -560,11 +623,13 @@ _LEAKS = " UNION ALL ".join(
     ]
     + [
         f"SELECT * FROM {_content(t, cascade(f'SELECT {", ".join(_TEXT_OF[t])} FROM {t}', _TEXT_OF[t]), _TEXT_OF[t])} x"
-        for t in TEXT_TABLES
+        for t in _TEXT_OF
     ]
 )
 ORACLES["leak_check"] = f"""SELECT table_name, column_name, pattern, scanned, hits, hits > 0 AS leaked
   FROM ({_LEAKS}) l"""
+ORACLES["value_leaks"] = f"""SELECT 'full_name' AS value_column, sha256('{SALT}' || full_name) AS digest, 'tickets' AS table_name,
+  'note' AS column_name, count(*) AS texts FROM ({derived.TICKETS_SQL}) t WHERE ticket_id % 9 = 0 GROUP BY full_name"""
 _KEYS = f"""SELECT raw, {token('raw')} AS token, coalesce(l, 0) AS l, coalesce(r, 0) AS r FROM
   (SELECT o_custkey AS raw, count(*) AS l FROM orders GROUP BY 1) a
   FULL JOIN (SELECT c_custkey AS raw, count(*) AS r FROM customer GROUP BY 1) b USING (raw)"""

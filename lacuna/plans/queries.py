@@ -10,12 +10,14 @@ from functools import reduce
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lacuna.functions import column_rules, wire
 from lacuna.functions.patterns import PATTERNS, hits, luhn_valid, scrub
 from lacuna.operators import audit as audits
 from lacuna.operators import catalog, detect, discover, governed, screen
 from lacuna.operators.detect import Span
+from lacuna.operators.findings import cut, findings
 from lacuna.operators.redact import (
     apply_rules,
     column_rule_counts,
@@ -25,13 +27,24 @@ from lacuna.operators.redact import (
     redaction_counts,
     text_hits,
 )
+from lacuna.operators.sessions import sessions
 from lacuna.plans import derived
 from lacuna.policy import ColumnRule, Governance, PatternToggles, ReadPolicy, RedactPolicy
 from lacuna.sources.audit_log import append_audit, parse_audit_lines, read_audit, stream_to_audit
 from lacuna.sources.registry import Sources
 from lacuna.sources.sizing import shared_folder, spread_small
-from lacuna.streaming.audit_stream import read_rollup, write_rollup
-from lacuna.streaming.redact_stream import observed_counts, write_redacted
+from lacuna.streaming.audit_stream import (
+    closing_entry,
+    late_entries,
+    read_appended,
+    read_rollup,
+    write_closed_rollup,
+    write_matches,
+    write_rollup,
+    write_sessions,
+    write_without_replays,
+)
+from lacuna.streaming.redact_stream import observed_counts, read_redacted, write_redacted, write_redacted_by_source
 
 # The stand-in models below travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -214,6 +227,25 @@ def column_profile(t: Sources) -> DataFrame:
     return catalog.profile_tables({n: spread_small(df) for n, df in t.frames().items()}, exact=True)
 
 
+@query
+def profile_incremental(t: Sources) -> DataFrame:
+    """Profiles of two halves of every table, kept one after the other and merged, against the exact profile."""
+    folder = shared_folder(t.spark, "profile")
+    for half in (0, 1):
+        own = F.pmod(F.xxhash64("c0"), F.lit(2)) == half
+        parts = []
+        for table, df in t.frames().items():
+            named = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).where(own).toDF(*df.columns)
+            parts.append(catalog.profile_sketches(named, table))
+        catalog.keep_profile(reduce(DataFrame.unionAll, parts), folder, str(half))
+    kept = catalog.profile_of(catalog.kept_sketches(t.spark, folder))
+    exact = catalog.profile_tables({n: spread_small(df) for n, df in t.frames().items()}, exact=True)
+    exact = exact.select("table_name", "ordinal", F.col("distinct_values").alias("exact"))
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= 1 + 0.033 * F.col("exact")  # four standard errors
+    both = kept.join(exact, ["table_name", "ordinal"])
+    return both.select("table_name", "ordinal", "column_name", "nulls", "max_length", near.alias("distinct_ok"))
+
+
 # ------------------------------------------------------------ column rules
 
 
@@ -383,7 +415,7 @@ def redact_stream(t: Sources) -> DataFrame:
     out, checkpoint, counts = (shared_folder(t.spark, p) for p in ("stream", "checkpoint", "counts"))
     incoming = derived.contacts(t.stream("customer"))
     write_redacted(incoming, CONTACT_POLICY, out, checkpoint, counts).awaitTermination()
-    return t.spark.read.parquet(out).drop("batch")
+    return read_redacted(t.spark, out)
 
 
 @query
@@ -393,6 +425,38 @@ def redact_stream_counts(t: Sources) -> DataFrame:
     return observed_counts(t.spark, counts)
 
 
+@query
+def pii_findings(t: Sources) -> DataFrame:
+    """Every document with its hits, the characters they take, and its text with the spans of the hits cut out."""
+    docs = _documents(t)
+    found = findings(docs, ["doc_id"], ["text"], ALL, SALT)
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), "pattern")
+    own = found.groupBy("doc_id").agg(F.collect_list(span).alias("spans"), F.count(F.lit(1)).alias("hits"), F.sum(F.col("stop") - F.col("start")).alias("covered"))
+    both = docs.join(own, "doc_id", "left")
+    none = F.lit(0).cast("bigint")
+    return both.select("doc_id", F.coalesce("hits", none).alias("hits"), F.coalesce("covered", none).alias("covered"), F.expr(cut("text", "spans")).alias("text"))
+
+
+def _variants(t: Sources) -> DataFrame:
+    """Contacts as one value of a shape that no schema tells."""
+    c = _contacts(t)
+    inner = F.struct("ip", F.array("note", F.lit("a \"quoted\" é\n")).alias("list"), F.create_map(F.lit("1.2.3.4"), "card").alias("map"))
+    deep = F.to_json(F.struct(F.array(inner, inner).alias("deep"), "email", F.col("contact_id").alias("n")))
+    return c.select("contact_id", F.parse_json(F.when(F.col("contact_id") % 7 != 3, deep)).alias("v"))
+
+
+@query
+def redact_variant(t: Sources) -> DataFrame:
+    """Strings inside a VARIANT are scanned at every depth; keys and numbers stay."""
+    done = redact_with_hits(_variants(t), RedactPolicy(patterns=ALL))
+    return done.select("contact_id", F.to_json("v").alias("v"), "redactions")
+
+
+@query
+def wire_variant(t: Sources) -> DataFrame:
+    return wire.wire_json(_variants(t))
+
+
 # -------------------------------------------------------- free-text backstops
 
 TERMS = {"mary jones": "PERSON", "mary": "PERSON", "London": "LOCATION", "file": "THING", "the": "WORD"}
@@ -531,6 +595,21 @@ def screen_by_source(t: Sources) -> DataFrame:
     return judged.select("query_id", "database", "allowed", "rule", "reason")
 
 
+@query
+def screen_shapes(t: Sources) -> DataFrame:
+    """Verdicts on texts put together from fragments, thousands of shapes."""
+    judged = screen.screen_queries(derived.shaped_log(t["events"].select("event_id")), policy=SCREEN_POLICY)
+    return judged.select("query_id", "allowed", "rule", "reason")
+
+
+@query
+def screen_as_of(t: Sources) -> DataFrame:
+    """Each query judged by the policy that was in force when it ran."""
+    log = derived.query_log(_events(t))
+    judged = screen.screen_as_of(log, derived.policy_versions(t["events"].select("event_id", "ts")))
+    return judged.select("query_id", "database", "allowed", "rule", "reason")
+
+
 @query
 def screen_summary(t: Sources) -> DataFrame:
     return screen.screen_summary(_screened(t), "database")
@@ -645,6 +724,91 @@ def audit_stream_windowed(t: Sources) -> DataFrame:
     return windows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _replay(parts: dict[str, DataFrame], run: Callable[[dict[str, DataFrame]], Sequence[StreamingQuery]]) -> None:
+    """Deliver tables with a column ``delivery`` one delivery after the other, running the streams over what has come.
+
+    Each table is staged once, by delivery.  The last delivery ends with a closing entry.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    inboxes, staged, schemas = {}, {}, {}
+    for name, rows in parts.items():
+        staged[name], inboxes[name] = shared_folder(spark, f"staged-{name}"), shared_folder(spark, f"inbox-{name}")
+        rows.write.partitionBy("delivery").parquet(staged[name])
+        schemas[name] = rows.drop("delivery").schema
+    arrived = {n: {r["delivery"] for r in spark.read.parquet(p).select("delivery").distinct().collect()} for n, p in staged.items()}
+    numbers = sorted(set().union(*arrived.values()))  # a handful of deliveries
+    for number in numbers:
+        for name, path in staged.items():
+            if number in arrived[name]:
+                spark.read.schema(schemas[name]).parquet(f"{path}/delivery={number}").write.mode("append").parquet(inboxes[name])
+            if number == numbers[-1]:
+                closing_entry(spark, schemas[name], query_id=-1).write.mode("append").parquet(inboxes[name])
+        streams = {name: spark.readStream.schema(schemas[name]).parquet(path) for name, path in inboxes.items()}
+        for query in run(streams):
+            query.awaitTermination()
+
+
+def _shown(df: DataFrame, *times: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in times})
+
+
+@query
+def audit_stream_watermark(t: Sources) -> DataFrame:
+    """Windows given once, when the watermark has passed them, and the entries that came after that, apart."""
+    closed, seen, state, counted = (shared_folder(t.spark, n) for n in ("closed", "seen", "state", "counted"))
+    entries = derived.delivered(_audit(t).select("query_id", "ts", "database", "status", "redactions"), late=True)
+    _replay(
+        {"audit": entries},
+        lambda s: [write_closed_rollup(s["audit"], closed, state), write_rollup(s["audit"], seen, counted)],
+    )
+    windows = read_appended(t.spark, closed)
+    late = late_entries(read_rollup(t.spark, seen), windows)
+    keys = ["window_start", "database", "status"]
+    none = F.lit(0).cast("bigint")
+    both = windows.withColumn("late", none).unionByName(
+        late.select(*keys, none.alias("queries"), none.alias("redactions"), F.col("queries").alias("late"))
+    )
+    sums = both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("queries", "redactions", "late")])
+    return sums.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query
+def audit_sessions(t: Sources) -> DataFrame:
+    """Runs of entries of a database without a break of half an hour."""
+    return _shown(sessions(_audit(t).withColumn("ts", F.col("ts").cast("timestamp"))), "started", "ended")
+
+
+@query
+def audit_sessions_stream(t: Sources) -> DataFrame:
+    """The same sessions from a stream, each given once it has ended."""
+    out, state = shared_folder(t.spark, "sessions"), shared_folder(t.spark, "state")
+    entries = derived.delivered(_audit(t).select("query_id", "ts", "database", "redactions"))
+    _replay({"audit": entries}, lambda s: [write_sessions(s["audit"], out, state)])
+    return _shown(read_appended(t.spark, out), "started", "ended")
+
+
+@query
+def audit_stream_dedup(t: Sources) -> DataFrame:
+    """Entries delivered twice, in one delivery and in a later one, are held once."""
+    out, state = shared_folder(t.spark, "once"), shared_folder(t.spark, "state")
+    entries = derived.delivered(_audit(t).select("query_id", "ts", "database", "status", "redactions"))
+    again = entries.where("query_id % 7 = 0")
+    later = entries.where("query_id % 5 = 0").withColumn("delivery", F.col("delivery") + 1)
+    inputs = {"audit": entries.unionAll(again).unionAll(later)}
+    _replay(inputs, lambda s: [write_without_replays(s["audit"], ["query_id"], out, state)])
+    return _shown(read_appended(t.spark, out).where("query_id >= 0"), "ts")
+
+
+@query
+def match_outcomes_stream(t: Sources) -> DataFrame:
+    """Two streams: every query with its outcomes within ten minutes, or with none."""
+    out, state = shared_folder(t.spark, "matches"), shared_folder(t.spark, "state")
+    log = derived.delivered(derived.query_log(_events(t)).select("query_id", "ts", "database"))
+    outcomes = derived.delivered(derived.replies(_events(t)))
+    _replay({"log": log, "outcomes": outcomes}, lambda s: [write_matches(s["log"], s["outcomes"], out, state)])
+    return _shown(read_appended(t.spark, out).where("query_id >= 0"), "ts", "answered")
+
+
 # ----------------------------------------------------- policies, verification
 
 
@@ -672,6 +836,17 @@ def redact_by_source(t: Sources) -> DataFrame:
     return governed.redact_by_source(_contacts(t), "source", source_rules(t), policy=policy)
 
 
+@query
+def redact_by_source_stream(t: Sources) -> DataFrame:
+    """Row-level policy on a stream, its rules read from their table for every micro-batch."""
+    out, state, listed = (shared_folder(t.spark, n) for n in ("by-source", "state", "rules"))
+    source_rules(t).write.parquet(listed)
+    policy = RedactPolicy(patterns=ALL, salt=SALT)
+    incoming = derived.contacts(t.stream("customer"))
+    write_redacted_by_source(incoming, "source", lambda spark: spark.read.parquet(listed), out, state, policy).awaitTermination()
+    return read_redacted(t.spark, out)
+
+
 def _two_sources(t: Sources) -> DataFrame:
     governance = Governance(
         redact=RedactPolicy(rules=(ColumnRule("email", "hash"), ColumnRule("key", "hash")), salt=SALT),
@@ -692,10 +867,18 @@ def multi_source_redact(t: Sources) -> DataFrame:
 def leak_check(t: Sources) -> DataFrame:
     docs = RedactPolicy(patterns=ALL)
     c = discover.leak_check(redact(_contacts(t), CONTACT_POLICY), CONTACT_POLICY, "contacts")
-    texts = [discover.leak_check(redact(spread_small(t[n]), docs), docs, n) for n in TEXT_TABLES]
+    texts = [discover.leak_check(redact(spread_small(df), docs), docs, n) for n, df in t.frames().items() if n not in NO_TEXT]
     return reduce(DataFrame.unionAll, [c, *texts])
 
 
+@query
+def value_leaks(t: Sources) -> DataFrame:
+    """Names that are masked in one column and still stand in another's text."""
+    people = derived.tickets(spread_small(t["customer"]))
+    policy = RedactPolicy(rules=(ColumnRule("full_name"), ColumnRule("email", "hash")), patterns=ALL, salt=SALT)
+    return discover.value_leaks(people, policy, {"tickets": redact(people, policy), "documents": t["documents"].select("text")}, SALT)
+
+
 @query
 def hash_join_integrity(t: Sources) -> DataFrame:
     o = t["orders"].select(F.col("o_custkey").alias("key"))
