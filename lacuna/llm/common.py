@@ -8,12 +8,15 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.sources.sizing import shared_base
+
 
 def ship_by_value(module: str) -> None:
     """Send a module's functions to the workers by value, so that they need not find the package."""
@@ -22,6 +25,11 @@ def ship_by_value(module: str) -> None:
 
 ship_by_value(__name__)
 
+#: A filter of hashes has so many bits for each, and 2 to this power at most; beyond, it lets more through.
+FILTER_BITS = 8
+FILTER_POWER = 30
+FILTER_BLOCKS = 64
+
 
 def worker_state() -> dict:
     """What a worker process keeps from task to task; functions sent by value have no globals of their own there."""
@@ -30,10 +38,18 @@ def worker_state() -> dict:
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that all executors reach: below ``spark.checkpoint.dir``, else below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    base = shared_base(spark)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that ``materialise`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, purpose)
@@ -81,3 +97,33 @@ def map_arrow(df: DataFrame, fields: list[T.StructField], make: Callable[[], Cal
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=names)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+
+
+class HashFilter:
+    """A bit for each of many hashes, by their leading bits; without false negatives."""
+
+    def __init__(self, bits: np.ndarray, power: int):
+        self.bits, self.power = bits, power
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) >> np.uint64(64 - self.power)
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def hash_filter(hashes: DataFrame) -> HashFilter:
+    """The filter of a table of one column, 64-bit hashes, sized by their number; each block of it is made by one task."""
+    n, (name,) = hashes.count(), hashes.columns
+    power = min(FILTER_POWER, max(16, (FILTER_BITS * max(1, n) - 1).bit_length()))
+    shift = power - (FILTER_BLOCKS - 1).bit_length()
+
+    def fill(table: pa.Table) -> pa.Table:
+        at = (table.column(name).to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64) & ((1 << shift) - 1)
+        bits = np.zeros(1 << shift, bool)
+        bits[at] = True
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    blocks = hashes.withColumn("block", F.shiftrightunsigned(name, 64 - power + shift).cast("int")).groupBy("block").applyInArrow(fill, "block int, bits binary")
+    bits = np.zeros((FILTER_BLOCKS, 1 << (shift - 3)), np.uint8)
+    for row in blocks.collect():  # as large as the filter
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return HashFilter(bits.ravel(), power)
