@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import arrow_rows, materialise, ship_by_value
+from lacuna.llm.common import arrow_rows, hash_filter, materialise, ship_by_value
 from lacuna.llm.graph import components
 
 ship_by_value(__name__)
@@ -42,6 +43,12 @@ BATCH_ROWS = 1_000
 BROADCAST_ROWS = 200_000
 #: So many pairs of a node are compared in one place.
 PAIRS_PER_PLACE = 256
+#: A shingle with more nodes, and more than one in so many of all, is hot: its nodes are spread over so many places.
+HOT_NODES = 50_000
+HOT_SHARE = 1_000_000
+HOT_PLACES = 64
+#: So many nodes outside a shingle's largest component meet the others in one place.
+LOOSE_NODES = 1_000
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 M64 = 0xFFFFFFFFFFFFFFFF
 
@@ -222,10 +229,16 @@ def _close(l: str, r: str, percent: int) -> Column:
     return _reaches(n - F.expr(bits), 2 * n, percent)  # twice the common ones are n less those that differ
 
 
+def _unordered(pairs: DataFrame) -> DataFrame:
+    """Each pair once, whichever way round: (low, high, hub, member)."""
+    once = pairs.groupBy(F.least("hub", "member").alias("low"), F.greatest("hub", "member").alias("high")).agg(F.min("hub").alias("hub"))
+    return once.withColumn("member", F.when(F.col("hub") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+
+
 def _suffix_filter(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, member) that the suffix filter lets through."""
+    """The pairs that the suffix filter lets through."""
     hub, member = (prefixes.select(F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_sketch")) for k in ("hub", "member"))
-    return pairs.join(hub, "hub").join(member, "member").where(_close("hub_", "member_", percent)).select("hub", "member")
+    return pairs.join(hub, "hub").join(member, "member").where(_close("hub_", "member_", percent)).select(*pairs.columns)
 
 
 def _broadcast_if_small(table: DataFrame) -> DataFrame:
@@ -291,11 +304,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, pe
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
-    """One row per document: ``id``, ``n_shingles``, ``component_id``, ``n_copies``.
+    """One row per document: ``id``, ``n_shingles``, ``component_id``, ``n_copies``, ``text_hash``, ``is_least``.
 
     Two documents link if their sets of distinct ``size``-word shingles have a Jaccard similarity of ``percent`` in a
     hundred at least.  ``component_id`` is the smallest id reachable by links, its own included.  ``n_copies`` counts the
-    other documents with an equal set.  A text with fewer words is one shingle; null and wordless
+    other documents with an equal set.  ``is_least`` marks one document of each component, that with the smallest id and, of
+    several texts with that id, the smallest ``text_hash``; rows equal in both are marked alike.  A text with fewer words is one shingle; null and wordless
     texts have no shingle, link with nothing and are their own component.  Repeated rows have equal sets and one
     component; a null id is smaller than none, so a component of null ids only has a null id.  Other columns are not
     read.  An empty table gives none.
@@ -317,44 +331,90 @@ def _components(docs: DataFrame, id: str, text: str, size: int, percent: int) ->
     rank = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.round(8 * np.log2(counts + 1.0))).astype(np.uint8))
     prefixes = _prefixes(bare, size, percent, rank).join(nodes, mark).where(F.col("id").eqNullSafe(F.col("min_id")))
     prefixes = materialise(prefixes.select("node", "n", "prefix", "sketch"), "jaccard-prefixes")
-    token = prefixes.select("node", F.explode("prefix").alias("token"))
-    shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = materialise(shared, "jaccard-shared")
-    placed = prefixes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).join(_broadcast_if_small(shared), "token")
-    placed = materialise(placed.dropDuplicates(["token", "node"]), "jaccard-placed")
+    placed = materialise(_placed(prefixes), "jaccard-placed")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs.distinct(), "jaccard-pairs")
         return materialise(_verified(bare, nodes, pairs, size, percent), "jaccard-links")
 
-    links = links_of(_suffix_filter(_leader_pairs(placed, percent).distinct(), prefixes, percent))
+    first = materialise(_suffix_filter(_unordered(_leader_pairs(placed, percent)), prefixes, percent), "jaccard-pairs")
+    links = links_of(first.select("hub", "member"))
     labels = materialise(components(links), "jaccard-components")
-    labels = components(links.union(links_of(_cross_pairs(placed, labels, prefixes, percent))))
+    second = _unordered(_cross_pairs(placed, labels, prefixes, percent))
+    second = materialise(second.join(first, ["low", "high"], "left_anti"), "jaccard-pairs")
+    labels = components(links.union(links_of(second.select("hub", "member"))))
     named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    classes = named.join(least, "component").select(*mark, "component_id", (F.col("copies") - 1).alias("n_copies"))
-    out = rows.drop("mark").join(classes, mark, "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    first = F.struct(F.isnull("min_id").alias("without"), "min_id", "min_mark")
+    least = named.groupBy("component").agg(F.min("min_id").alias("component_id"), F.min(first).alias("least"))
+    classes = named.join(least, "component").select(*mark, "component_id", (F.col("copies") - 1).alias("n_copies"), "least.min_id", "least.min_mark")
+    out = rows.join(classes, mark, "left")
+    some = F.col("n") > 0
+    own = F.when(some, F.col("component_id")).otherwise(F.col("id"))
+    is_least = ~some | (F.col("id").eqNullSafe(F.col("min_id")) & (F.col("mark") == F.col("min_mark")))
+    return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"), F.col("mark").alias("text_hash"), is_least.alias("is_least"))
+
+
+def _placed(prefixes: DataFrame) -> DataFrame:
+    """(token, place, places, node, n, pos, low, high) of the shingles in the prefixes of two nodes at least, low and high
+    being their first and last node.
+
+    A filter of the shared shingles keeps the others, which are most, from being shuffled again.  The nodes of a hot shingle
+    are spread over several places.
+    """
+    token = prefixes.select("node", F.explode("prefix").alias("token"))
+    shared = token.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("nodes")).where("low < high")
+    shared = materialise(shared, "jaccard-shared")
+    known = prefixes.sparkSession.sparkContext.broadcast(hash_filter(shared.select("token")))
+
+    def keep(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                size = pc.list_value_length(part.column(2)).to_numpy()
+                value = part.column(2).flatten().to_numpy()
+                owner = np.repeat(np.arange(len(size)), size)
+                pos = (np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+                kept = known.value(value)
+                at = pa.array(owner[kept])
+                yield pa.RecordBatch.from_arrays([pa.array(value[kept]), part.column(0).take(at), part.column(1).take(at), pa.array(pos[kept])], names=["token", "node", "n", "pos"])
+
+    rows = prefixes.select("node", "n", "prefix").mapInArrow(keep, "token long, node long, n int, pos int")
+    limit = max(HOT_NODES, (shared.agg(F.sum("nodes")).first()[0] or 0) // HOT_SHARE)
+    places = F.when(F.col("nodes") > limit, HOT_PLACES).otherwise(1)
+    hot = shared.where(F.col("nodes") > limit).select("token", places.alias("places"))  # a millionth of all each, so they are few
+    rows = rows.join(F.broadcast(hot), "token", "left").withColumn("place", F.coalesce(F.pmod(F.xxhash64("node"), F.col("places")), F.lit(0)).cast("int")).drop("places")
+    spread = shared.select("token", places.alias("places"), "low", "high").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
+    return rows.join(spread, ["token", "place"]).dropDuplicates(["token", "place", "node"])
 
 
 def _leader_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """Every node of a shared shingle with the shingle's first and last node: linear in the size of a group."""
-    leader = placed.where("node = low OR node = high").alias("r")
-    met = placed.alias("l").join(leader, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") != F.col("r.node")) & _may_reach(percent))
+    leader = placed.where("node = low OR node = high").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).alias("r")
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.place") == F.col("r.place"))
+    met = placed.alias("l").join(leader, same & (F.col("l.node") != F.col("r.node")) & _may_reach(percent))
     return met.select(F.col("r.node").alias("hub"), F.col("l.node").alias("member"))
 
 
 def _cross_pairs(placed: DataFrame, labels: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components: nodes outside a shingle's largest component with all nodes of the shingle."""
+    """Pairs of different components: nodes outside a shingle's largest component with all nodes of the shingle.
+
+    Where many are outside, they are spread over several places, to each of which the others go, and only sets of like
+    sizes meet: those of one band of sizes or of neighbouring ones.
+    """
     known = placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = materialise(known.select("token", "node", "n", "pos", "component"), "jaccard-known")
     sizes = known.groupBy("token", "component").count()
-    largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parties"), F.max_by("component", F.struct("count", "component")).alias("largest"))
-    mixed = largest.where("parties > 1").select("token", "largest")
+    loose = F.sum("count") - F.max("count")
+    largest = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parties"), F.max_by("component", F.struct("count", "component")).alias("largest"), F.ceil(loose / LOOSE_NODES).alias("places"))
+    mixed = largest.where("parties > 1").select("token", "largest", "places")
     open_rows = materialise(known.join(mixed, "token").join(prefixes.select("node", "sketch"), "node"), "jaccard-open")
-    left, right = open_rows.where("component <> largest").alias("l"), open_rows.alias("r")
-    differ = (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component"))
+    band = F.floor(F.log("n") / math.log(100.001 / percent))  # sets that reach the threshold are at most one apart
+    many = F.col("places") > 1
+    left = open_rows.where("component <> largest").withColumns({"band": F.when(many, band).otherwise(0), "place": F.pmod(F.xxhash64("node"), F.col("places"))})
+    bands = F.when(many, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))
+    right = open_rows.withColumn("band", F.explode(bands)).withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)))
+    left, right = left.alias("l"), right.alias("r")
+    met = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("token", "band", "place")]
+    differ = met[0] & met[1] & met[2] & (F.col("l.component") != F.col("r.component"))
     once = (F.col("r.component") == F.col("r.largest")) | (F.col("l.node") < F.col("r.node"))
     met = left.join(right, differ & once & _may_reach(percent) & _close("l.", "r.", percent))
     return met.select(F.col("l.node").alias("hub"), F.col("r.node").alias("member"))
