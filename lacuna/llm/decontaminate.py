@@ -8,6 +8,7 @@ and a position in the codes is the ordinal of a word, whose place in the origina
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import ahocorasick
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import materialise, ship_by_value
+from lacuna.llm.common import materialise, ship_by_value, worker_state
 
 ship_by_value(__name__)
 
 WINDOW = 13
-#: An automaton holds items of at most so many bytes; more items are taken in blocks, each against all documents.
-BLOCK_BYTES = 32 * 1024 * 1024
+#: An automaton holds items of at most so many bytes; more items are taken in blocks, each against all documents.  It takes
+#: some 200 MB for each MB of items.
+BLOCK_BYTES = 2 * 1024 * 1024
 #: Lower-cases A-Z and blanks all bytes that no word has: below 0x80 all but digits and letters.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 FIRST_CODE = 0x21
@@ -34,29 +36,40 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD).split() if text else []
 
 
+#: So many numbers of words have a character of their own; all have two characters if there are more.
+CODES = 0x10FFFF - FIRST_CODE - 0x800
+
+
 def code_point(ordinal: int) -> str:
     """The character of a word's number, leaving out the surrogates."""
     at = FIRST_CODE + ordinal
     return chr(at if at < 0xD800 else at + 0x800)
 
 
+def code_of(ordinal: int, width: int) -> str:
+    """The characters of a word's number.  Of two, the first is from the lower half and the second from the upper, so that a
+    code is only ever found where one starts."""
+    half = CODES // 2
+    return code_point(ordinal) if width == 1 else code_point(ordinal // half) + code_point(half + ordinal % half)
+
+
 def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
 def automaton_of(items: list[tuple[object, bytes]], size: int) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
     """Codes of the items' words, and the automaton; a pattern's value is (length, its items)."""
-    codes: dict[bytes, str] = {}
+    known = dict.fromkeys(w for _, text in items for w in words_of(text))
+    width = 1 if len(known) <= CODES else 2
+    codes = {w: code_of(k, width) for k, w in enumerate(known)}
     owners: dict[str, set] = {}
     for item, text in items:
         words = words_of(text)
-        for w in words:
-            codes.setdefault(w, code_point(len(codes)))
         for window in windows(words, size):
             owners.setdefault("".join(codes[w] for w in window), set()).add(item)
     machine = ahocorasick.Automaton()
     for pattern, found in owners.items():
-        machine.add_word(pattern, (len(pattern), sorted(found, key=str)))
+        machine.add_word(pattern, (len(pattern) // width, sorted(found, key=str)))
     if owners:
         machine.make_automaton()
     return codes, machine
@@ -74,10 +87,12 @@ def scan(words: list[bytes], codes: dict[bytes, str], machine: ahocorasick.Autom
     items: set = set()
     if fits is None:
         return runs, items
-    coded = "".join(map(codes.get, words, repeat(" ")))
+    width = len(next(iter(codes.values())))
+    coded = "".join(map(codes.get, words, repeat(" " * width)))
     for known in fits.finditer(coded):
         for end, (length, owners) in machine.iter(coded, known.start(), known.end()):
-            start, stop = end - length + 1, end + 1
+            stop = (end + 1) // width
+            start = stop - length
             while runs and runs[-1][1] >= start:  # ends only grow, starts need not
                 start = min(start, runs.pop()[0])
             runs.append((start, stop))
@@ -127,29 +142,34 @@ def find_contamination(
             T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.LongType()))),
         ]
     )
-    out = docs.drop("n_words", "n_hit", "n_items", "items", "hit_spans", "_found", "_bytes")
-    out = out.withColumn("_found", F.lit(None).cast(found_type))
+    kept = docs.drop("n_words", "n_hit", "n_items", "items", "hit_spans")
+    own = [f"c{i}" for i in range(len(kept.columns))]  # by place, so that no name of the input matters
+    raw = F.col(f"`{text}`").cast("binary")
+    out = kept.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept.columns, own)], raw.alias("_bytes"), F.lit(None).cast(found_type).alias("_found"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(str(r["item"]), bytes(r["bytes"])) for r in part.collect()])
         if block:
             out = materialise(out, "decontaminate")
-        out = _scan_block(out.withColumn("_bytes", F.col(text).cast("binary")), shared, window, found_type)
+        out = _scan_block(out, shared, window, found_type)
     length = F.aggregate("_found.runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     new = [F.col("_found.n_words"), length.alias("n_hit"), F.size("_found.items").cast("long").alias("n_items"), F.col("_found.items"), F.col("_found.hit_spans")]
-    return out.select(*[f"`{c}`" for c in docs.columns if c in out.columns], *new)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(kept.columns, own)], *new)
 
 
 def _scan_block(docs: DataFrame, shared, window: int, found_type: T.StructType) -> DataFrame:
-    columns = docs.columns
+    columns, token = docs.columns, uuid.uuid4().hex
     raw, earlier = columns.index("_bytes"), columns.index("_found")
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("_bytes", "_found")] + [T.StructField("_found", found_type)])
+    schema = T.StructType([f for f in docs.schema.fields if f.name != "_found"] + [T.StructField("_found", found_type)])
     arrow_type = pa.struct(
         [("n_words", pa.int64()), ("runs", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.list_(pa.int64())))]
     )
 
     def run(batches):
-        codes, machine = automaton_of(shared.value, window)
+        kept = worker_state()
+        if kept.get("automaton_of") != token:  # a worker builds it once for all of its tasks
+            kept.update(automaton_of=token, automaton=automaton_of(shared.value, window))
+        codes, machine = kept["automaton"]
         fits = known_runs(machine)
         for batch in batches:
             values = []
@@ -161,8 +181,8 @@ def _scan_block(docs: DataFrame, shared, window: int, found_type: T.StructType)
                     runs, items = merged(runs + [tuple(r) for r in before["runs"]]), items | set(before["items"])
                 spans = byte_spans(text, runs) if runs else []
                 values.append({"n_words": len(words), "runs": runs, "items": sorted(items), "hit_spans": spans})
-            kept = [batch.column(i) for i in range(len(columns)) if i not in (raw, earlier)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(values, arrow_type)], names=schema.names)
+            others = [batch.column(i) for i in range(len(columns)) if i != earlier]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(values, arrow_type)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
