@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.functions.names import unused
 from lacuna.llm.common import map_arrow, ship_by_value
 
 ship_by_value(__name__)
@@ -45,8 +46,9 @@ def with_shards(df: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
     """
     plain = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     number = F.col(f"`{key}`").cast("long") if plain else F.xxhash64(F.col(f"`{key}`").cast("string"))
-    base = df.drop(*counts, "_key").withColumn("_key", F.coalesce(number, F.lit(0).cast("long")))
-    position = base.columns.index("_key")
+    own = unused("_key", df.columns, counts)
+    base = df.drop(*counts).withColumn(own, F.coalesce(number, F.lit(0).cast("long")))
+    position = base.columns.index(own)
 
     def make():
         def compute(batch: pa.RecordBatch) -> list:
@@ -55,7 +57,7 @@ def with_shards(df: DataFrame, key: str, counts: dict[str, int]) -> DataFrame:
 
         return compute
 
-    return map_arrow(base, [T.StructField(name, T.IntegerType()) for name in counts], make).drop("_key")
+    return map_arrow(base, [T.StructField(name, T.IntegerType()) for name in counts], make).drop(own)
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], parts: int = PARTS) -> DataFrame:

@@ -88,8 +88,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     carried = held.select("cell", F.last("carried", ignorenulls=True).over(before).alias("carried"))
     sweep = Window.partitionBy("cell").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("started", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1").join(F.broadcast(carried), "cell")
-    judged = swept.select("row.*", F.col("key").alias("_key"), F.coalesce("started", "carried").alias("_stack"))
-    path = url_path(F.col(f"`{url}`"))
-    open_rules = F.filter("_stack", lambda r: F.col("_key").startswith(r["key"]) & F.col("_path").startswith(r["path"]))
-    judged = judged.withColumn("_path", path).withColumn("_rule", F.get(open_rules, F.lit(0)))
-    return judged.select(*[f"`{c}`" for c in base.columns], url_host(F.col(f"`{url}`")).alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.lit(default)).alias("verdict"))
+    judged = swept.select("row", "key", F.coalesce("started", "carried").alias("stack"), url_path(F.col("row").getField(url)).alias("path"))
+    open_rules = F.filter("stack", lambda r: F.col("key").startswith(r["key"]) & F.col("path").startswith(r["path"]))
+    judged = judged.withColumn("found", F.get(open_rules, F.lit(0)))
+    own = [F.col("row").getField(c).alias(c) for c in base.columns]
+    return judged.select(*own, url_host(F.col("row").getField(url)).alias("host"), "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
