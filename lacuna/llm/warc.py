@@ -13,6 +13,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import materialise, scratch_path, ship_by_value
 from lacuna.llm.urlrules import host_key, url_host
+from lacuna.sources.sizing import lookup_join
 
 ship_by_value(__name__)
 
@@ -28,8 +30,6 @@ ship_by_value(__name__)
 FILE_BYTES = 64 << 20
 #: A range of the merged index has about so many records.
 RANGE_RECORDS = 100_000
-#: So many digests of repeated payloads are broadcast at most.
-BROADCAST_ROWS = 200_000
 INDEX = "page_id string, urlkey string, captured long, run string, file string, position long, size long, record_type string"
 
 
@@ -49,18 +49,27 @@ def record(page: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = page["refers_to"] is not None
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page['page_id'] or ''}>", f"WARC-Date: {stamp}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {urn(page['page_id'])}", f"WARC-Date: {stamp}",
         f"WARC-Payload-Digest: sha1:{base32(page['sha1'])}", "Content-Type: application/http; msgtype=response",
     ]
     if page["url"] is not None:
         head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode()) for c in page["url"]))
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{page['refers_to']}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(page['refers_to'])}"]
     block = http if revisit else http + payload
     head.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
+def urn(id: str | None) -> str:
+    """An id as a header's value: escaped, so that any text can be one; a null id is told from an empty one."""
+    return "<urn:page>" if id is None else f"<urn:page:{quote(id, safe='')}>"
+
+
+def id_of(value: str | None) -> str | None:
+    return None if value is None or value == "<urn:page>" else unquote(value[len("<urn:page:") : -1])
+
+
 def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
@@ -76,15 +85,14 @@ def parse(member: bytes) -> dict:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if fields["WARC-Type"] == "response" and (len(payload) != size or base32(hashlib.sha1(payload).hexdigest()) != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    name = lambda field: fields.get(field, "")[len("<urn:page:") : -1] or None
-    return {"page_id": name("WARC-Record-ID"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": name("WARC-Refers-To")}
+    return {"page_id": id_of(fields.get("WARC-Record-ID")), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": id_of(fields.get("WARC-Refers-To"))}
 
 
 def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", captured: str | None = None, least_bytes: int = 0) -> DataFrame:
     """Write every row as a record below ``folder`` and return the index runs, one sorted file per task.
 
     Of records with one payload, of ``least_bytes`` at least, that with the largest id is the response and the others
-    revisit it; equal payloads are those with equal SHA-1.  Smaller payloads are responses always.  A row that repeats
+    revisit it; equal payloads are those with equal SHA-1, length and xxHash64.  Smaller payloads are responses always.  A row that repeats
     the largest id is a response too.  A null payload is empty; a null id is smaller than all and null when read back;
     a null URL has no target and an empty key.  ``captured`` names a column of epoch seconds, 0 where null; without one
     the times are drawn from a hash of the id.  An empty table gives no records.
@@ -96,10 +104,10 @@ def write_archives(pages: DataFrame, folder: str, id: str = "page_id", url: str
     time = F.col(captured).cast("long") if captured else F.coalesce(F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 30)), F.lit(0))
     key = F.concat(host_key(url_host(F.col(url))), F.lit(")"), F.coalesce(F.regexp_extract(url, r"://[^/?#]*(.*)", 1), F.lit("")))
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), data.alias("payload"), F.sha1(data).alias("sha1"), F.coalesce(time, F.lit(0)).alias("captured"), key.alias("urlkey"))
-    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("content", F.concat_ws(" ", "sha1", F.octet_length("payload").cast("string"), F.xxhash64("payload").cast("string")))
+    groups = rows.where(F.octet_length("payload") >= least_bytes).groupBy("content").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n"))
     groups = materialise(groups.where("n > 1").drop("n"), "warc-groups")
-    bounded = groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(groups) if bounded else groups, "sha1", "left")
+    rows = lookup_join(rows, groups, "content")  # payloads of a hot digest, as of empty pages, stay where they are
     refers = F.when(~F.col("id").eqNullSafe(F.col("winner")), F.col("winner")).cast("string")
     rows = rows.select(F.col("id").cast("string").alias("page_id"), "url", "urlkey", "captured", "payload", "sha1", refers.alias("refers_to"))
 
