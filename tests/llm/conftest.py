@@ -6,7 +6,7 @@ from hypothesis import settings
 settings.register_profile("unhurried", deadline=None)
 settings.load_profile("unhurried")
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, words array<string>, n_words long, items string, host string, score double, removed string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, words array<string>, n_words long, items string, host string, score double, removed string, _key string, _stack int, _path string, _id2 long, _mark2 long, _found string, _rules string, batch int"
 LONG = " ".join(f"word{i % 997} and" for i in range(60_000)) + "."
 ROWS = [
     (1, "The first text. It has two sentences!", "en", "a"),
@@ -25,7 +25,7 @@ ROWS = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows and columns with clashing names."""
-    rows = [(i, t, lang, source, None, 7, ["w"], None, "i", "h", 0.5, "r") for i, t, lang, source in ROWS]
+    rows = [(i, t, lang, source, None, 7, ["w"], None, "i", "h", 0.5, "r", "k", 1, "p", 2, 3, "f", "u", 9) for i, t, lang, source in ROWS]
     return spark.createDataFrame(rows, SCHEMA)
 
 
