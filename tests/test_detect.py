@@ -170,3 +170,50 @@ def test_other_columns_stay_out_of_python(spark):
     out = redact_with_hits(df.select("id", "note"), RedactPolicy(free_text=detect.detector_backstop(lambda: make_detector())))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def beyond_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_MAX_ROWS", 0)
+
+
+def test_many_terms_with_one_first_word(spark, monkeypatch):
+    """Terms meet texts by all their tokens, so that their first word gathers nothing; no Python runs."""
+    beyond_broadcast(spark, monkeypatch)
+    n = 20_000
+    terms = spark.range(n).selectExpr("CASE WHEN id % 2 = 0 THEN 'the w' || id ELSE 'the w' || (id - 1) || ' and more' END AS term", "'L' || id AS label")
+    df = spark.range(2_000).selectExpr("id", "CASE WHEN id % 4 = 0 THEN null ELSE 'x the w' || id * 2 || CASE WHEN id % 2 = 0 THEN ' and more' ELSE ' and' END || ', the w' END AS note")
+    out = detect.replace_terms(df, "note", terms)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        if r.id % 4 == 0:
+            assert (r.note, r.hits) == (None, 0)
+        else:
+            found = f"x <L{2 * r.id + 1}>, the w" if r.id % 2 == 0 else f"x <L{2 * r.id}> and, the w"
+            assert (r.note, r.hits) == (found, 1)
+    met = terms.select(F.pmod(F.xxhash64("term"), F.lit(64)).alias("task")).groupBy("task").count()
+    low, mid, high = met.agg(F.min("count"), F.median("count"), F.max("count")).first()
+    assert high < 4 * mid and low > 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_terms_of_any_characters_equal_the_row_lookup(spark, monkeypatch, broadcast):
+    terms = {"C++": "LANG", "++": "PLUS", "a b": "AB", "b c": "BC", "a b c d": "LONG", "é": "E", "\U0001f600": "FACE", "x.": "DOT", ".": "STOP", "_u": "U", "": "NONE", "9 9": "NINES"}
+    texts = ["C++ C+++ xC++ C++x", "a b c", "a b c d", "a b c dd", "é éa aé", "\U0001f600\U0001f600x", "x. x.y .", "_u _ux 9 9 9 9", "", None, "a  b", "a\nb c", "++a", "a++"] * 2
+    index = detect._by_first_word(terms.items())
+    want = [(t, 0) if not t else detect._replace_words(t, index, detect._starts(index)) for t in texts]
+    if not broadcast:
+        beyond_broadcast(spark, monkeypatch)
+    table = spark.createDataFrame([*terms.items(), (None, "X"), ("a b", "A0")], "term string, label string")
+    got = detect.replace_terms(notes(spark, *texts), "note", table).orderBy("id").collect()
+    assert [(r.note, r.hits) for r in got] == want
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_names_that_the_lookup_uses_come_through(spark, monkeypatch, broadcast):
+    if not broadcast:
+        beyond_broadcast(spark, monkeypatch)
+    df = notes(spark, "mary", "x").withColumns({c: F.lit(c) for c in ("_found", "_own", "_digest", "_terms", "_runs", "_tokens", "_done", "term", "label")})
+    got = detect.replace_terms(df, "note", term_table(spark), "n").orderBy("id").collect()
+    assert [r.note for r in got] == ["<P>", "x"] and all(r[c] == c for r in got for c in df.columns if c not in ("id", "note"))
+    piped = detect.detector_backstop(lambda: make_detector())(df, "note", "n")
+    assert piped.columns == [*df.columns, "n"] and piped.where("_found = '_found'").count() == 2

@@ -104,3 +104,42 @@ def test_session_catalog(spark):
     tables(spark)["users"].createOrReplaceTempView("people_view")
     found = catalog.catalog_tables(spark)
     assert found["people_view"].columns == ["uid", "Email", "comment"]
+
+
+def test_value_leaks(spark, monkeypatch):
+    """Each planted value is found and nothing else: no part of one, no other order, no short one, none that is gone."""
+    rows = [(k, f"Ann{k} de Vries", f"u{k}@x.org", "abc" if k else "k", 1.5) for k in range(30)] + [(99, None, None, None, None)]
+    people = spark.createDataFrame(rows, "id int, name string, mail string, code string, rate double")
+    policy = RedactPolicy(rules=(ColumnRule("name"), ColumnRule("mail", "hash"), ColumnRule("code", "null"), ColumnRule("rate", "partial")))
+    texts = [("Ann3 de Vries was here", "Ann3, de Vries"), ("ask Ann4 de", "Vries de Ann5"), ("XAnn6 de Vries", "abc k 1.5"), ("(Ann7 de Vries)", "u8@x.org; Ann7 de Vries"), (None, ""), ("Ann3 de Vries Ann3 de Vries", "ann9 de vries")]
+    notes = spark.createDataFrame(texts, "note string, other string")
+    got = {(r.value_column, r.table_name, r.column_name): (r.texts, r.digest) for r in discover.value_leaks(people, policy, {"notes": notes, "none": spark.range(3)}, "s").collect()}
+    digest = lambda v: __import__("hashlib").sha256(f"s{v}".encode()).hexdigest()
+    found = discover.value_leaks(people, policy, {"notes": notes}, "s").collect()
+    assert sorted((r.value_column, r.column_name, r.texts, r.digest) for r in found) == sorted(
+        [("name", "note", 2, digest("Ann3 de Vries")), ("name", "other", 1, digest("Ann3 de Vries")), ("name", "note", 1, digest("Ann7 de Vries")),
+         ("name", "other", 1, digest("Ann7 de Vries")), ("mail", "other", 1, digest("u8@x.org"))]
+    )
+    assert len(got) == 3 and discover.value_leaks(people.limit(0), policy, {"notes": notes}).count() == 0
+    assert discover.value_leaks(people, RedactPolicy(), {"notes": notes}).count() == 0
+    monkeypatch.setattr("lacuna.sources.bloom.MOST_LONGS", 1)  # a filter that says yes to nearly everything
+    assert sorted(map(repr, discover.value_leaks(people, policy, {"notes": notes}, "s").collect())) == sorted(map(repr, found))
+
+
+def test_profiles_merge(spark, tmp_path):
+    """Two halves and a replaced part give the profile of the whole."""
+    df = spark.range(40_000).selectExpr("id", "'t' || id % 9000 AS text", "CASE WHEN id % 3 = 0 THEN id * 0.5 END AS half", "array(id % 7) AS list", "CAST(id AS STRING) = '1' AS flag", "CAST(NULL AS STRING) AS never", "CAST('x' AS BINARY) AS raw")
+    whole = {r.column_name: r for r in catalog.profile_of(catalog.profile_sketches(df, "t")).collect()}
+    folder = str(tmp_path / "profile")
+    catalog.keep_profile(catalog.profile_sketches(df.where("id < 5"), "t"), folder, "a")
+    for part, rule in (("a", "id < 17000"), ("b", "id >= 17000")):
+        catalog.keep_profile(catalog.profile_sketches(df.where(rule), "t"), folder, part)
+    kept = {r.column_name: r for r in catalog.profile_of(catalog.kept_sketches(spark, folder)).collect()}
+    assert kept == whole
+    exact = {r.column_name: r for r in catalog.column_profile(df, exact=True).collect()}
+    for name, r in kept.items():
+        e = exact[name]
+        assert (r.ordinal, r.family, r.nulls, r.max_length, r.n_rows) == (e.ordinal, e.family, e.nulls, e.max_length, 40_000)
+        assert abs(r.distinct_values - e.distinct_values) <= 1 + 0.033 * e.distinct_values
+    empty = catalog.profile_of(catalog.profile_sketches(df.limit(0), "t")).collect()
+    assert all((r.n_rows, r.nulls, r.distinct_values) == (0, 0, 0) for r in empty) and len(empty) == 7

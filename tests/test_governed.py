@@ -169,3 +169,50 @@ def test_registry(spark):
     assert sources.names() == ["a"]
     with pytest.raises(KeyError, match="registered: a"):
         sources["b"]
+
+
+def test_a_governed_read_reads_its_source_once(spark, tmp_path):
+    """Rows, shape and flag come from one job over the source; whatever its columns are called."""
+    people(spark, 50).withColumns({"place": F.lit(7), "hits": F.lit(8), "_hits": F.lit(9)}).write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    columns = ["note", "id", "place", "hits", "id"]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("governed", "one read")
+    run = governed.govern({"prod": {"t": df}}, Governance(read=READ, redact=POLICY), "prod", "t", columns, ["id"])
+    jobs = tracker.getJobIdsForGroup("governed")
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(jobs) <= 2  # the sorted cut may plan its only exchange as a job of its own
+    outcome = run.outcome.first()
+    assert (outcome.rows, outcome.truncated, outcome.redactions, outcome.result_columns) == (3, True, 3, columns)
+    assert [tuple(r) for r in run.rows.collect()] == [("call [phone]", k, 7, 8, k) for k in range(3)]
+    broken = df.withColumn("id", F.expr("CASE WHEN id = 1 THEN raise_error('broken') ELSE id END"))
+    failed = governed.govern({"prod": {"t": broken}}, Governance(read=READ, redact=POLICY), "prod", "t", ["id"], ["id"])
+    assert failed.rows is None and failed.outcome.first().error and not failed.outcome.first().rows
+
+
+def test_row_level_policy_with_clashing_names(spark, monkeypatch):
+    df, rules = source_data(spark)
+    odd = df.withColumns({c: F.lit(c) for c in ("_rules", "_shared", "rules", "shared", "source", "c0", "c1_rule", "_rule_source", "rule_source")})
+    for most in (sizing.BROADCAST_MAX_ROWS, 0):
+        monkeypatch.setattr(sizing, "BROADCAST_MAX_ROWS", most)
+        got = governed.redact_by_source(odd, "src", rules, ["email", "note", "n"], RedactPolicy(salt="s"))
+        assert got.columns == odd.columns
+        own = {r.id: r for r in got.collect()}
+        assert own[2].email is None and own[3].email == "[redacted]" and own[4].n is None
+        assert all(r[c] == c for r in own.values() for c in odd.columns[5:])
+
+
+def test_rows_without_a_key_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "BROADCAST_MAX_ROWS", 0)
+    big = spark.range(0, 900, 1, 3).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'k' || id % 9 END AS key")
+    small = spark.createDataFrame([("k1", 1), (None, 5)], "key string, v int")
+    assert sizing.lookup_join(big, small, "key").where("key IS NULL AND v IS NULL").count() == 300
+    assert sizing.lookup_join(big, small, "key").count() == 900
+    assert sizing.lookup_join(big, small, "key", "inner").count() == 100
+
+
+def test_small_tables_are_pinned(spark):
+    rules = spark.createDataFrame([("a", {"x": ("hash", 4)})], "source string, rules map<string, struct<strategy: string, keep: int>>")
+    local = sizing.pinned(rules)
+    assert local.collect() == rules.collect() and local.schema == rules.schema
+    assert sizing.pinned(spark.range(sizing.BROADCAST_MAX_ROWS + 1)) is None

@@ -168,3 +168,33 @@ def test_each_row_is_judged_by_its_source(spark):
     got = {(r.database, r.sql): r.rule for r in screen_by_source(df, policies).collect()}
     assert [got["a", t] for t in texts] == ["star", "star", None] and [got["b", t] for t in texts] == [None] * 3
     assert [got["c", t] for t in texts] == [got[None, t] for t in texts] == [None, None, "star"]
+
+
+def test_ungrammatical_texts_and_literals(spark):
+    """What no grammar accepts is told; a literal holds its place in a list, so lists of literals pass."""
+    blocked = [
+        "SELECT a b c d FROM t", "SELECT a,, b FROM t", "SELECT 1 +", "VALUES (1),", "SHOW a b c", "SELECT a FROM t LIMIT", "SELECT , a FROM t", "SELECT a, FROM t",
+        "SELECT f(a,) FROM t", "SELECT f(,a) FROM t", "SELECT a FROM t ORDER BY a,", "SELECT a FROM t LIMIT OFFSET 3", "SELECT (a -) FROM t", "SELECT DISTINCT , a FROM t",
+        "SELECT 'x', , 'y'", "SELECT a FROM t WHERE b =",
+    ]
+    passing = [
+        "SELECT 'a', 'b' FROM t", "SELECT a FROM t WHERE b IN ('x', $$y$$, $q$z$q$) LIMIT '5'", "WITH w AS MATERIALIZED(SELECT 1) SELECT a FROM w",
+        "WITH w AS NOT MATERIALIZED(SELECT 1) SELECT a FROM w", "SELECT a COLLATE c FROM t", "SELECT CAST(a AS double precision) b FROM t x", "SELECT a FROM t TABLESAMPLE BERNOULLI (10)",
+        "SELECT a AT TIME ZONE 'utc' b FROM t", "SHOW TIME ZONE", "SHOW TRANSACTION ISOLATION LEVEL", "SHOW work_mem", "SELECT CAST(a AS timestamp without time zone) FROM t",
+        "SELECT sum(a) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) FROM t", "SELECT a FROM t ORDER BY a DESC NULLS LAST LIMIT 5 OFFSET 2",
+        "SELECT CASE WHEN a THEN b ELSE c END d FROM t", "SELECT 1 * -a FROM t", "SELECT a FROM t FETCH FIRST 5 ROWS WITH TIES", "SELECT 'x' * 2, 'y' FROM contacts", "SELECT interval '1 day' d FROM t",
+        "SELECT trim(BOTH 'x' FROM a) FROM t", "SELECT a FROM b CROSS JOIN LATERAL f(a) x", "SELECT a IS NOT DISTINCT FROM b FROM t", "EXPLAIN (COSTS off, VERBOSE) SELECT a FROM t",
+    ]
+    cases = [(t, "parse") for t in blocked] + [(t, None) for t in passing]
+    wrong = [(text, row.rule) for (text, rule), row in zip(cases, screened(spark, cases)) if row.rule != rule]
+    assert not wrong
+
+
+def test_literals_never_hide_what_follows(spark):
+    cases = [
+        ("SELECT 'a'; DELETE FROM t", "multi"), ("SELECT 'a', * FROM contacts", "star"), ("SELECT'a',* FROM contacts", "star"), ("SELECT 'a' INTO x FROM t", "write"),
+        ("SELECT 'a' FROM t FOR UPDATE", "write"), ("SELECT $$a$$; DROP TABLE t", "multi"), ("SELECT '\x01'; DELETE FROM t; --\x02'", "multi"), ("SELECT 'a\x01", "parse"),
+        ("SELECT \x01'\x02 ; DROP TABLE t --'", "parse"), ("/* c */ SELECT * /* d */ FROM -- e\n contacts", "star"), ("SELECT 'it''s', \"a\"\"b\".* FROM contacts", "star"),
+    ]
+    wrong = [(text, row.rule) for (text, rule), row in zip(cases, screened(spark, cases)) if row.rule is None]
+    assert not wrong
