@@ -148,7 +148,7 @@ GRAMMAR_WORDS = (
     "ABSENT ALL ANALYSE ANALYZE AND ANY ARRAY AS ASC ASYMMETRIC AT BERNOULLI BETWEEN BOTH BY CASE CHARACTER COLLATE "
     "COLUMNS CONDITIONAL CROSS CUBE CURRENT CYCLE DATE DAY DEFAULT DEPTH BREADTH DESC DISTINCT DOCUMENT DOUBLE ELSE EMPTY END "
     "ERROR ESCAPE EXCEPT EXCLUDE EXISTS EXPLAIN FALSE FETCH FILTER FIRST FOLLOWING FOR FORMAT FROM FULL GROUP "
-    "GROUPING GROUPS HAVING HOUR ILIKE IN INNER INTERSECT INTERVAL INTO IS ISNULL JOIN JSON KEEP KEY KEYS LAST LATERAL "
+    "GROUPING GROUPS HAVING HOUR ILIKE IN INNER INTERSECT INTERVAL INTO IS ISNULL ISOLATION JOIN JSON KEEP KEY KEYS LAST LATERAL "
     "LEADING LEFT LIKE LIMIT LOCAL LOCKED MATERIALIZED MINUTE MONTH NATIONAL NATURAL NESTED NEXT NFC NFD NFKC NFKD NO "
     "NORMALIZED NOT NOTNULL NOWAIT NULL NULLS OBJECT OF OFFSET OMIT ON ONLY OR ORDER ORDINALITY OTHERS OUTER OVER "
     "OVERLAPS PARTITION PASSING PATH PLACING PRECEDING PRECISION QUOTES RANGE RECURSIVE REPEATABLE RETURNING RIGHT ROLLUP ROW "

@@ -191,6 +191,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TEXT_WORDS), F.lit(0))
 
 
+def _runs(n: int) -> Column:
+    """The runs of n of the column ``words`` that the filter ``bits`` lets through."""
+    run = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
+    return F.when(F.size("words") >= n, F.filter(run, lambda r: may_hold(F.col("bits"), F.xxhash64(r))))
+
+
 def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFrame], salt: str = "") -> DataFrame:
     """Whether masked, dropped or hashed values of ``raw`` still stand in a text: value_column, digest, table_name,
     column_name, texts.
@@ -221,10 +227,7 @@ def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFr
         own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         for c in dict.fromkeys(frames[table]):
             words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words")).withColumn("bits", bits.scalar())
-            runs = [
-                F.when(F.size("words") >= n, F.filter(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i, n=n: F.array_join(F.slice("words", i, n), " ")), lambda r: may_hold(F.col("bits"), F.xxhash64(r))))
-                for n in lengths
-            ]
+            runs = [_runs(n) for n in lengths]
             kept = F.array_distinct(F.concat(*[F.coalesce(r, F.array().cast("array<string>")) for r in runs]))
             hits = words.where("words IS NOT NULL").select(F.explode(kept).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
             found.append(hits.select("run", F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "texts"))
