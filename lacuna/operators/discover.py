@@ -192,9 +192,10 @@ def _words(text: Column) -> Column:
 
 
 def _runs(n: int) -> Column:
-    """The runs of n of the column ``words`` that the filter ``bits`` lets through."""
-    run = F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " "))
-    return F.when(F.size("words") >= n, F.filter(run, lambda r: may_hold(F.col("bits"), F.xxhash64(r))))
+    """The runs of n of the column ``words``, from the places ``starts`` on, that the filter ``bits`` lets through."""
+    fit = F.filter("starts", lambda i: i + n - 1 <= F.size("words"))
+    run = F.transform(fit, lambda i: F.array_join(F.slice("words", i, n), " "))
+    return F.filter(run, lambda r: may_hold(F.col("bits"), F.xxhash64(r)))
 
 
 def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFrame], salt: str = "") -> DataFrame:
@@ -222,11 +223,14 @@ def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFr
     if not lengths:
         return empty
     bits = bloom_filter(values.select(F.xxhash64("run")))
+    firsts = bloom_filter(values.select(F.xxhash64(F.substring_index("run", " ", 1))).distinct())
     found = []
     for table, df in texts.items():
         own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         for c in dict.fromkeys(frames[table]):
-            words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words")).withColumn("bits", bits.scalar())
+            words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words")).withColumns({"bits": bits.scalar(), "firsts": firsts.scalar()})
+            places = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
+            words = words.withColumn("starts", F.filter(places, lambda i: may_hold(F.col("firsts"), F.xxhash64(F.get("words", i - 1)))))
             runs = [_runs(n) for n in lengths]
             kept = F.array_distinct(F.concat(*[F.coalesce(r, F.array().cast("array<string>")) for r in runs]))
             hits = words.where("words IS NOT NULL").select(F.explode(kept).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("texts"))

@@ -16,7 +16,7 @@ from lacuna.functions.names import unused
 from lacuna.functions.nested import name
 from lacuna.operators.asof import as_of_join
 from lacuna.policy import ReadPolicy
-from lacuna.sources.sizing import lookup_join
+from lacuna.sources.sizing import lookup_join, shared_folder
 
 RULE_COLUMNS = (
     "is_empty",
@@ -157,10 +157,17 @@ def screen_as_of(df: DataFrame, versions: DataFrame, sql: str = "sql", source: s
     """
     own, shared = (unused(n, df.columns, _VERDICT) for n in ("_guarded", "_shared"))
     listed = versions.select("source", "since", _tables_of(F.col("pii_tables"), F.col("allow_star")).alias(own))
-    dated = as_of_join(df, listed, source, at, "source", "since", [own])
+    dated = as_of_join(df, listed.where("source IS NOT NULL"), source, at, "source", "since", [own])
     general = listed.where("source IS NULL").select("since", F.col(own).alias(shared))
-    dated = as_of_join(dated, general, None, at, None, "since", [shared])
-    guarded = F.coalesce(own, shared, F.array().cast("array<string>"))
+    guarded = F.coalesce(own, F.array().cast("array<string>"))
+    if not general.isEmpty():
+        # The second join looks at its rows several times, so the first is done once and written.
+        folder = shared_folder(df.sparkSession, "as-of")
+        plain = [f"c{i}" for i in range(len(dated.columns))]
+        dated.toDF(*plain).write.parquet(folder)
+        back = df.sparkSession.read.parquet(folder).toDF(*dated.columns)
+        dated = as_of_join(back, general, None, at, None, "since", [shared])
+        guarded = F.coalesce(own, shared, F.array().cast("array<string>"))
     return _judged(dated, sql, guarded).select(*[F.col(name(c)) for c in df.columns if c not in _VERDICT], *_VERDICT)
 
 
