@@ -164,10 +164,10 @@ _INCOMPLETE = "|".join(
         rf"\b{_CLAUSE} (?:FROM|WHERE|JOIN|HAVING|GROUP BY|ORDER BY|LIMIT|UNION|EXCEPT|INTERSECT)\b",
         r"^[( ]*(?:SHOW|EXPLAIN|WITH|VALUES|TABLE)[ )]*$",
         rf", ?(?:,|\)|$|{_NEXT_CLAUSE}\b)|\( ?,|\b(?:SELECT|DISTINCT|VALUES|BY) ?,",
-        r"(?<!OPERATOR\([^)]{0,60})[-+/%<>=|&^] ?(?:$|[),])",
+        r"[-+/%<>=|&^](?<!OPERATOR\([^)]{0,60}) ?(?:$|[),])",
         r"\b(?:LIMIT|OFFSET) ?(?:$|[),]|(?:LIMIT|OFFSET|FOR|FETCH)\b)",
         r"^[( ]*SHOW (?!TIME ZONE$|SESSION AUTHORIZATION$|TRANSACTION ISOLATION LEVEL$)[^ ]+ [^ ]",
-        rf"\b{_PLAIN_WORD} {_PLAIN_WORD} {_PLAIN_WORD}\b",
+        rf"\b(?=[A-Z_][A-Z0-9_$]*+ [A-Z_][A-Z0-9_$]*+ [A-Z_]){_PLAIN_WORD} {_PLAIN_WORD} {_PLAIN_WORD}\b",
     )
 )
 _WITH_LIST = r"^[( ]*(?:EXPLAIN ?(?:\([^)]*\) ?)?(?:VERBOSE )?)?WITH\b"
