@@ -42,14 +42,6 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the folder of a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts its lineage."""
     path = scratch_path(df.sparkSession, purpose)
