@@ -167,24 +167,18 @@ def _joined_terms(df: DataFrame, column: str, listed: DataFrame, hits: str) -> D
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # token counts of terms: a few numbers
     text, own = name(column), unused("_own", df.columns, [hits])
     filters = bloom_filter(known.select(F.xxhash64("term"))), bloom_filter(known.select(F.xxhash64("first")).distinct())
-    frame = df.select(F.col(text).alias("text")).withColumns({"terms": filters[0].scalar(), "firsts": filters[1].scalar()})
-    frame = frame.withColumn("tokens", F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))
-
-    def runs(i: Column) -> Column:
-        """The runs from token i on that may be a term, with the characters before them."""
-        run = lambda n: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice("tokens", i + 1, n), "").alias("term"))
-        fits = lambda r: (
-            (r["at"] + r["n"] <= F.size("tokens"))
-            & may_hold(F.col("terms"), F.xxhash64(r["term"]))
-            & ~F.coalesce(F.get("tokens", r["at"] + r["n"]).rlike(WORD), F.lit(False))
-        )
-        inner = F.filter(F.transform(F.array(*[F.lit(n) for n in lengths]), run), fits)
-        # A word token ends where a word ends, so only a last token that is none needs the test above.
-        return inner
-
-    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
-    started = F.filter(places, lambda i: may_hold(F.col("firsts"), F.xxhash64(F.get("tokens", i))) & ~_cut_word(i))
-    found = frame.select(F.sha2("text", 256).alias("digest"), F.explode(F.flatten(F.transform(started, runs))).alias("r")).select("digest", "r.*").distinct()
+    tokens = F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)).alias("tokens")
+    frame = df.select(F.col(text).alias("text")).select(F.sha2("text", 256).alias("digest"), tokens)
+    # Each token is a row of its own, so that a filter is asked by generated code and no row holds a copy of it.  The outer
+    # forms, as Spark would work the tokens out twice to leave rows without any out.
+    at = F.col("at")
+    each = frame.select("digest", "tokens", F.posexplode_outer("tokens").alias("at", "token"))
+    started = each.where(F.col("token").isNotNull() & may_hold(filters[1].scalar(), F.xxhash64("token")) & ~_cut_word(at))
+    run = lambda n: F.when(at + n <= F.size("tokens"), F.struct(F.lit(n).alias("n"), F.array_join(F.slice("tokens", at + 1, n), "").alias("term")))
+    runs = started.select("digest", "tokens", "at", F.explode_outer(F.array(*[run(n) for n in lengths])).alias("r"))
+    # A word token ends where a word ends, so only a last token that is none needs the test of the next one.
+    ends = ~F.coalesce(F.get("tokens", at + F.col("r.n")).rlike(WORD), F.lit(False))
+    found = runs.where(F.col("r").isNotNull() & may_hold(filters[0].scalar(), F.xxhash64("r.term")) & ends).select("digest", "at", "r.*").distinct()
     met = lookup_join(found, known.select("term", "label"), "term", "inner")
     runs_of = F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "label")))
     small = met.groupBy(F.col("digest").alias(own)).agg(runs_of.alias("_runs"))

@@ -191,11 +191,19 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TEXT_WORDS), F.lit(0))
 
 
-def _runs(n: int) -> Column:
-    """The runs of n of the column ``words``, from the places ``starts`` on, that the filter ``bits`` lets through."""
-    fit = F.filter("starts", lambda i: i + n - 1 <= F.size("words"))
-    run = F.transform(fit, lambda i: F.array_join(F.slice("words", i, n), " "))
-    return F.filter(run, lambda r: may_hold(F.col("bits"), F.xxhash64(r)))
+def _candidates(texts: DataFrame, lengths: list[int], bits: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(row, run) of the runs of words of the column ``words`` that have one of the lengths and that the filters let through.
+
+    Each word is a row of its own, so that a filter is asked by generated code and is nowhere a column, which every row would
+    hold a copy of.
+    """
+    # The outer form, as Spark would work the words out twice to leave rows without any out.
+    rows = texts.withColumn("row", F.monotonically_increasing_id())
+    word = rows.select("row", "words", F.posexplode_outer("words").alias("at", "word"))
+    word = word.where(F.col("word").isNotNull() & may_hold(firsts.scalar(), F.xxhash64("word")))
+    run = lambda n: F.when(F.col("at") + n <= F.size("words"), F.array_join(F.slice("words", F.col("at") + 1, n), " "))
+    runs = word.select("row", F.explode_outer(F.array(*[run(n) for n in lengths])).alias("run"))
+    return runs.where(F.col("run").isNotNull() & may_hold(bits.scalar(), F.xxhash64("run")))
 
 
 def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFrame], salt: str = "") -> DataFrame:
@@ -228,12 +236,8 @@ def value_leaks(raw: DataFrame, policy: RedactPolicy, texts: Mapping[str, DataFr
     for table, df in texts.items():
         own = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
         for c in dict.fromkeys(frames[table]):
-            words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words")).withColumns({"bits": bits.scalar(), "firsts": firsts.scalar()})
-            places = F.when(F.size("words") > 0, F.sequence(F.lit(1), F.size("words")))
-            words = words.withColumn("starts", F.filter(places, lambda i: may_hold(F.col("firsts"), F.xxhash64(F.get("words", i - 1)))))
-            runs = [_runs(n) for n in lengths]
-            kept = F.array_distinct(F.concat(*[F.coalesce(r, F.array().cast("array<string>")) for r in runs]))
-            hits = words.where("words IS NOT NULL").select(F.explode(kept).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
+            words = own.select(_words(F.col(f"c{df.columns.index(c)}")).alias("words"))
+            hits = _candidates(words, lengths, bits, firsts).distinct().groupBy("run").agg(F.count(F.lit(1)).alias("texts"))
             found.append(hits.select("run", F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "texts"))
     met = reduce(DataFrame.unionAll, found).join(values, "run")
     return met.groupBy("value_column", "digest", "table_name", "column_name").agg(F.sum("texts").alias("texts"))

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from lacuna.operators import catalog, discover
+from lacuna.operators import catalog, detect, discover
 from lacuna.operators.redact import redact
 from lacuna.policy import ColumnRule, PatternToggles, RedactPolicy
 
@@ -126,6 +126,24 @@ def test_value_leaks(spark, monkeypatch):
     assert sorted(map(repr, discover.value_leaks(people, policy, {"notes": notes}, "s").collect())) == sorted(map(repr, found))
 
 
+def test_no_row_holds_a_filter(spark):
+    """The filters of the lookups are asked within a condition; as a column every row would hold a copy of them."""
+    people = spark.createDataFrame([(k, f"Ann{k} de Vries") for k in range(30)], "id int, name string")
+    notes = spark.createDataFrame([("Ann3 de Vries was here, Ann3 de Vries",), ("Ann3 de",), (None,), ("",)], "note string")
+    leaks = discover.value_leaks(people, RedactPolicy(rules=(ColumnRule("name"),)), {"notes": notes})
+    terms = spark.createDataFrame([("de Vries", "NAME"), ("was", "WORD"), ("!", "SIGN")], "term string, label string")
+    replaced = detect._joined_terms(notes, "note", terms, "hits")
+    assert [r.texts for r in leaks.collect()] == [1]
+    assert {(r.note, r.hits) for r in replaced.collect()} == {("Ann3 <NAME> <WORD> here, Ann3 <NAME>", 3), ("Ann3 de", 0), (None, 0), ("", 0)}
+
+    def schemas(plan):
+        children = plan.children()
+        return [plan.schema().json(), *(s for i in range(children.size()) for s in schemas(children.apply(i)))]
+
+    for df in (leaks, replaced):
+        assert not any('"elementType":"long"' in s for s in schemas(df._jdf.queryExecution().optimizedPlan()))
+
+
 def test_profiles_merge(spark, tmp_path):
     """Two halves and a replaced part give the profile of the whole."""
     df = spark.range(40_000).selectExpr("id", "'t' || id % 9000 AS text", "CASE WHEN id % 3 = 0 THEN id * 0.5 END AS half", "array(id % 7) AS list", "CAST(id AS STRING) = '1' AS flag", "CAST(NULL AS STRING) AS never", "CAST('x' AS BINARY) AS raw")
