@@ -192,7 +192,10 @@ def _hash_counts(docs: DataFrame) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, repeated) -> DataFrame:
-    """(id, mark, h1, h2, a, b, pre, post) of the chunks that the filter lets through; mark tells texts with one id apart."""
+    """(id, mark, h1, h2, a, b, pre, post, content) of the chunks that the filter lets through; mark tells texts with one id apart.
+
+    Each content of a slice stands in one of its rows, the others have none.
+    """
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -207,25 +210,14 @@ def _occurrences(docs: DataFrame, repeated) -> DataFrame:
                 first = lines.first[owner]
                 at = pa.array(owner)
                 numbers = [h1, h2, (a - first).astype(np.int32), (b - first).astype(np.int32), lines.near(a - 1, a), lines.near(b + 1, b)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, numbers)], names=["id", "mark", "h1", "h2", "a", "b", "pre", "post"])
-
-    return docs.mapInArrow(run, f"id {id_type}, mark long, h1 long, h2 int, a int, b int, pre int, post int")
-
-
-def _contents(docs: DataFrame, repeated) -> DataFrame:
-    """(h1, h2, content) of the chunks that the filter lets through, each content of a slice once."""
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in _slices(batch, 2):
-                lines = Lines(texts)
-                a, b = lines.chunk_lines()
-                h1, h2 = lines.hashes(a, b)
-                keep = np.flatnonzero(repeated.value(h1))
-                found = list(set(zip(h1[keep].tolist(), h2[keep].tolist(), lines.contents(a[keep], b[keep]))))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["h1", "h2", "content"])
+                contents = lines.contents(a, b)
+                found = {key: k for k, key in enumerate(zip(h1.tolist(), h2.tolist(), contents))}
+                told = np.ones(len(a), bool)
+                told[list(found.values())] = False
+                content = pa.array(contents, pa.binary(), mask=told)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, numbers), content], names=["id", "mark", "h1", "h2", "a", "b", "pre", "post", "content"])
 
-    return docs.mapInArrow(run, "h1 long, h2 int, content binary")
+    return docs.mapInArrow(run, f"id {id_type}, mark long, h1 long, h2 int, a int, b int, pre int, post int, content binary")
 
 
 def _later(rows: DataFrame, many: DataFrame) -> DataFrame:
@@ -242,7 +234,6 @@ def _later(rows: DataFrame, many: DataFrame) -> DataFrame:
     if hot.isEmpty():
         later = rows.withColumns({"first": F.first(ends).over(order), "rank": F.rank().over(order)}).where("rank > 1")
     else:
-        rows = materialise(rows, "line-occurrences")
         cold = rows.join(F.broadcast(hot), "h1", "left_anti")
         later = cold.withColumns({"first": F.first(ends).over(order), "rank": F.rank().over(order)}).where("rank > 1").drop("rank")
         warm = rows.join(F.broadcast(hot), "h1", "left_semi")
@@ -264,7 +255,8 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     other column comes out as it went in.  An empty table gives none.
 
     The chunks' hashes are counted; a filter of those that repeat, sized by their number, keeps all others from being
-    shuffled again.  Texts are shuffled once, to meet their decisions.  Bytes are compared with equal ones combined
+    shuffled again.  What it lets through is written to the shared folder once, so that texts are cut into lines twice, and
+    once more where they change.  Texts are shuffled once, to meet their decisions.  Bytes are compared with equal ones combined
     before.  A hash that turns out to stand for different bytes, which 96 bits make unlikely, removes nothing.
     """
     spark = docs.sparkSession
@@ -274,9 +266,10 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", min
     many = materialise(_hash_counts(bare).groupBy("h1").agg(F.sum("n").alias("n")).where("n > 1"), "line-repeated")
     repeated = spark.sparkContext.broadcast(hash_filter(many.select("h1")))
     hashes = ["h1", "h2"]
-    wrong = _contents(bare, repeated).distinct().groupBy(*hashes).count().where("count > 1").select(*hashes)
-    wrong = materialise(wrong, "line-collisions")
-    later = _later(_occurrences(bare, repeated), many)
+    rows = materialise(_occurrences(bare, repeated), "line-occurrences")
+    told = rows.where("content IS NOT NULL").select(*hashes, "content")
+    wrong = materialise(told.distinct().groupBy(*hashes).count().where("count > 1").select(*hashes), "line-collisions")
+    later = _later(rows.drop("content"), many)
     if not wrong.isEmpty():
         later = later.join(wrong, hashes, "left_anti")
     marked = later.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("_ranges"))

@@ -91,3 +91,23 @@ def test_runs_of_several_texts_at_once():
         late = [{x for k, i, j in marks if k == n for x in range(i, j + 1)} for n in range(len(texts))]
         want = [linededup.removed_spans(linededup.chunks(t), late[k], len(t), 3, 2) for k, t in enumerate(texts)]
         assert linededup.cut_runs(texts, owner, a, b, 3, 2) == want
+
+
+def test_texts_are_cut_twice_and_bytes_told_once(spark, monkeypatch):
+    """Hashes first, then places and bytes together; each content of a slice stands in one row."""
+    passage = " ".join(f"Line {k} of the passage says a few words more." for k in range(12))
+    rows = [(k, f"Own words number {k}. {passage} An end of its own, {k}.") for k in range(6)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    calls, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: calls.append(1) or real(self, *a, **b))
+    found = {r.doc_id: r for r in linededup.remove_repeated(docs).collect()}
+    assert len(calls) == 3  # hashes, places and bytes, removal
+    assert found[0].text == rows[0][1] and all(passage[200:300] not in found[k].text for k in range(1, 6)) and found[9].text is None
+
+    class Everything:
+        value = staticmethod(lambda hashes: hashes == hashes)
+
+    bare = docs.coalesce(1).selectExpr("doc_id AS id", "doc_id AS mark", "CAST(text AS BINARY) AS text")
+    made = linededup._occurrences(bare, Everything()).collect()
+    told = [(r.h1, r.h2, bytes(r.content)) for r in made if r.content is not None]
+    assert len(told) == len(set(told)) == len({(r.h1, r.h2) for r in made}) < len(made)
