@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import decontaminate, jaccard, langid, linededup, packing
-from lacuna.llm.common import bounded_batches, held_out, materialise
+from lacuna.llm.common import held_out, materialise
 from lacuna.llm.queries import END_ID, TOKENIZER
+from lacuna.sources.sizing import bounded_batches
 
 #: A document is rejected if its best language has less than this share of its n-grams.
 LEAST_LANGUAGE_SCORE = 0.5

@@ -61,14 +61,6 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """From now on the session's Arrow batches have so many rows at most: whole texts take memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = int(spark.conf.get(name))
-    if before <= 0 or before > rows:
-        spark.conf.set(name, str(rows))
-
-
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """True for rows that no model may learn from; a null key counts as held out."""
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(True))

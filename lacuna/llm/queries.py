@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm import collocations, decontaminate, filteraudit, fingerprints, jaccard, langid, linededup, linequality, packing, puquality, sharding, urlrules, warc
-from lacuna.llm.common import bounded_batches, held_out
+from lacuna.llm.common import held_out
 from lacuna.llm.oracles import ORACLES, URL_RULES
+from lacuna.sources.sizing import bounded_batches
 
 __all__ = ["ORACLES", "QUERIES"]
 

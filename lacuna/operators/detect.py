@@ -19,7 +19,10 @@ import time
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from lacuna.functions.names import unused
 from lacuna.functions.nested import literal, name
 from lacuna.functions.patterns import WORD, WORD_BEHIND, replace_matches
 from lacuna.sources.bloom import bloom_filter, may_hold
-from lacuna.sources.sizing import fits_broadcast, lookup_join
+from lacuna.sources.sizing import bounded_batches, fits_broadcast, lookup_join
 
 # Python workers receive this module's code with the job; they need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,6 +47,8 @@ CELL_TIMEOUT_SECONDS = 30.0
 
 # A list up to this size becomes one alternation inside the plan; a longer one is looked up word by word.
 INLINE_TERMS = 500
+# Texts of a batch are looked up so many bytes at a time.
+SLICE_BYTES = 1_000_000
 
 
 # ---------------------------------------------------------------- dictionary
@@ -122,18 +127,29 @@ def _starts(index: TermIndex) -> re.Pattern:
     return re.compile(r"\w+" if all(_is_word(k[0]) for k in index) else r"\w+|\W")
 
 
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts, some ``SLICE_BYTES`` of them at a time, or one."""
+    group = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        yield texts.slice(a, b - a).to_pylist()
+
+
 def _look_up(df: DataFrame, column: str, index: TermIndex, hits: str) -> DataFrame:
-    """In-row lookup of terms that are small enough to broadcast."""
+    """In-row lookup of terms that are small enough to broadcast; a worker holds a slice of a batch as Python's strings."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = shared.value
         starts = _starts(known)
         for batch in batches:
-            done = [_replace_words(t, known, starts) if t else (t, 0) for t in batch]
-            yield pd.DataFrame({"text": [d[0] for d in done], "hits": [d[1] for d in done]})
+            for texts in _slices(batch):
+                done = [_replace_words(t, known, starts) if t else (t, 0) for t in texts]
+                parts = pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())
+                yield pa.StructArray.from_arrays(parts, names=["text", "hits"])
 
-    return _python_transform(run)(df, column, hits)
+    return _scanned(F.arrow_udf(run, _RESULT))(df, column, hits)
 
 
 def replace_terms(df: DataFrame, column: str, terms: DataFrame, hits: str = "hits") -> DataFrame:
@@ -333,8 +349,12 @@ def _call_all(call: Callable[[str], str], texts: Sequence[str], timeout: float,
 
 
 def _python_transform(run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]) -> Transform:
+    return _scanned(F.pandas_udf(run, _RESULT))
+
+
+def _scanned(scan: Callable[[Column], Column]) -> Transform:
     def transform(df: DataFrame, column: str, hits: str) -> DataFrame:
-        scan, found = F.pandas_udf(run, _RESULT), unused("_found", df.columns, [hits])
+        found = unused("_found", df.columns, [hits])
         scanned = df.withColumn(found, scan(F.col(name(column))))
         return scanned.withColumns({column: F.col(f"{found}.text"), hits: F.col(f"{found}.hits")}).drop(found)
 

@@ -217,3 +217,25 @@ def test_names_that_the_lookup_uses_come_through(spark, monkeypatch, broadcast):
     assert [r.note for r in got] == ["<P>", "x"] and all(r[c] == c for r in got for c in df.columns if c not in ("id", "note"))
     piped = detect.detector_backstop(lambda: make_detector())(df, "note", "n")
     assert piped.columns == [*df.columns, "n"] and piped.where("_found = '_found'").count() == 2
+
+
+def test_lookup_holds_slices_of_texts(spark, monkeypatch):
+    """A worker turns some texts of a batch into Python's strings, not all of them, and batches are bounded."""
+    import pyarrow as pa
+
+    texts = pa.array(["x" * 600_000, "y" * 600_000, None, "", "z" * 3_000_000, "end", None])
+    cut = list(detect._slices(texts))
+    assert [t for part in cut for t in part] == texts.to_pylist() and max(map(len, cut)) < len(texts)
+    assert max(sum(len(t or "") for t in part) for part in cut) == 3_000_003 and list(detect._slices(texts[:0])) == [[]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        monkeypatch.setattr(detect, "SLICE_BYTES", 40)
+        rows = [(k, None if k % 7 == 3 else "" if k % 7 == 4 else f"Ann{k} met Bob, ann met Ann") for k in range(300)]
+        df = spark.createDataFrame(rows, "k int, t string").coalesce(2)
+        terms = spark.createDataFrame([("Bob", "B"), ("met Ann", "M"), ("Ann", "A")], "term string, label string")
+        got = {r.k: (r.t, r.hits) for r in detect.replace_terms(df, "t", terms).collect()}
+        assert got == {k: (t, 0) if not t else (f"Ann{k} met <B>, ann <M>", 2) for k, t in rows}
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
